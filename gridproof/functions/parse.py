@@ -109,7 +109,7 @@ def split_names(x: Column) -> Column:
 def code_block(x: Column) -> Column:
     """The first fenced block of a text, else the first in single backticks, else the text."""
     fenced, ticked = r"(?s)```(?:\w+\n)?(.*?)```", r"(?s)`([^`]*)`"
-    return F.when(x.rlike(fenced), F.trim(F.regexp_extract(x, fenced, 1))).when(x.rlike(ticked), F.regexp_extract(x, ticked, 1)).otherwise(x)
+    return F.when(x.rlike(fenced), F.regexp_replace(F.regexp_extract(x, fenced, 1), r"^\s+|\s+$", "")).when(x.rlike(ticked), F.regexp_extract(x, ticked, 1)).otherwise(x)
 
 
 def question_text(question: Column, constraints: Column, answer_format: Column) -> Column:

@@ -22,7 +22,7 @@ def reshape_check(wide: DataFrame, long: DataFrame, ids: list[str], values: list
     """issue, n: cardinality, repeated keys, and values that the inverse does not recover."""
     n_wide, n_long = wide.agg(F.count("*").alias("n")), long.agg(F.count("*").alias("m"))
     size = n_wide.crossJoin(n_long).select(F.lit("cardinality_mismatch").alias("issue"), F.abs(F.col("m") - F.col("n") * len(values)).alias("n"))
-    repeats = long.groupBy(*ids, name).agg(F.count("*").alias("k")).filter("k > 1").agg(F.count("*").alias("n")).select(F.lit("repeated_key").alias("issue"), "n")
+    repeats = long.groupBy(*ids, name).agg(F.count("*").alias("_k")).filter("_k > 1").agg(F.count("*").alias("n")).select(F.lit("repeated_key").alias("issue"), "n")
     lost = multiset_difference(wide_to_long(wide, ids, values, name, value), long).agg(F.count("*").alias("n")).select(F.lit("reshape_inverse_mismatch").alias("issue"), "n")
     return size.unionByName(repeats).unionByName(lost)
 
@@ -51,7 +51,7 @@ def rejoin_check(original: DataFrame, tables: dict[str, DataFrame], keys: list[s
     out = []
     first, *rest = tables
     for name, t in tables.items():
-        repeats = t.groupBy(*keys).agg(F.count("*").alias("k")).filter("k > 1")
+        repeats = t.groupBy(*keys).agg(F.count("*").alias("_k")).filter("_k > 1")
         out.append(repeats.agg(F.count("*").alias("n")).select(F.lit(f"unsafe_join_cardinality:{name}").alias("issue"), "n"))
     for name in rest:
         orphans = tables[name].select(*keys).exceptAll(tables[first].select(*keys)).unionByName(tables[first].select(*keys).exceptAll(tables[name].select(*keys)))
