@@ -108,11 +108,16 @@ def runs(texts: list[bytes], length: int) -> Iterator[tuple[bytes, np.ndarray, n
         yield close()
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def _shared_keys(docs: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Keys that two documents or more have."""
-    order = np.lexsort((docs, keys))
+    """Keys that two documents or more have; docs ascend."""
+    order = np.argsort(keys, kind="stable")
     k, d = keys[order], docs[order]
-    return np.unique(k[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])])
+    return _distinct(k[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])])
 
 
 def _part(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -131,8 +136,12 @@ class _Block:
 
     def __init__(self, ids: pd.Series, texts: pd.Series, length: int):
         filled = ids.astype("Int64").fillna(NULL_ID).astype("int64").to_numpy()
-        self.order = np.lexsort(([hashlib.blake2b(t or b"", digest_size=8).digest() for t in texts], filled)) if len(filled) else np.empty(0, int)
-        self.ids, self.texts = filled[self.order], [texts.iloc[i] or b"" for i in self.order]
+        texts = [t or b"" for t in texts]
+        if len(_distinct(filled)) < len(filled):  # rows with one id in an order that every step finds again
+            self.order = np.lexsort(([hashlib.blake2b(t, digest_size=8).digest() for t in texts], filled))
+        else:
+            self.order = np.argsort(filled)
+        self.ids, self.texts = filled[self.order], [texts[i] for i in self.order.tolist()]
         self.pieces = list(runs(self.texts, length))
         self.length = length
         sizes = [len(p[3]) for p in self.pieces]
@@ -179,14 +188,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     def send_keys(f: pd.DataFrame) -> pd.DataFrame:
         b = _Block(f[id_col], _bytes(f[text_col]), length)
-        keys = np.unique(b.key)
+        keys = _distinct(b.key)
         low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
         return pd.DataFrame(list(_dealt(int(f["sx_block"].iloc[0]), _part(keys, parts), [low], parts)), columns=["part", "sx_block", "low"])
 
     def common_keys(f: pd.DataFrame) -> pd.DataFrame:
         each = [np.frombuffer(x, "<u4") for x in f["low"]]
         every = np.sort(np.concatenate(each))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        twice = _distinct(every[1:][every[1:] == every[:-1]])
         found = [(f["part"].iloc[0], k, x[_in(x, twice)].tobytes()) for k, x in zip(f["sx_block"], each)]
         return pd.DataFrame([x for x in found if x[2]], columns=["part", "sx_block", "low"])
 
@@ -270,9 +279,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         same, same_least, other, other_least = join("same"), join("same_least"), join("other"), join("other_least")
         marked = np.zeros(len(b.key), bool)
         marked[same], marked[other] = True, True
-        wanted = _in(b.key, np.union1d(b.key[marked], b.shared))
+        found = list(b.strings(_in(b.key, np.union1d(b.key[marked], b.shared))))
+        at_run = {f[0]: f[4] for f in found if marked[f[0]]}
         fixed: dict[bytes, np.ndarray | int] = {}
-        at_run = {i: s for i, _, _, _, s in b.strings(marked)}
         for i, d in zip(same.tolist(), same_least.tolist()):
             fixed[at_run[i]] = d
         pos = 0
@@ -281,16 +290,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             fixed[at_run[i]] = other_least[pos : pos + n]
             pos += n
         own: dict[bytes, int] = {}
-        for _, d, _, _, s in b.strings(wanted):
-            own[s] = min(own.get(s, NULL_ID), int(b.ids[d]))
+        mine = b.ids.tolist()
         gone: dict[int, list[tuple[int, int]]] = {}
-        for _, d, place, n, s in b.strings(wanted):
-            known = fixed.get(s, own[s])
+        for _, d, place, n, s in found:  # in the order of ids: the first to have a string has the least id
+            least = own.setdefault(s, mine[d])
+            known = fixed.get(s, least)
             if isinstance(known, int):
-                if known < b.ids[d]:
+                if known < mine[d]:
                     gone.setdefault(d, []).append((place, place + n + length - 1))
             else:
-                for w in np.flatnonzero(np.minimum(known, own[s]) < b.ids[d]).tolist():
+                for w in np.flatnonzero(np.minimum(known, least) < mine[d]).tolist():
                     gone.setdefault(d, []).append((place + w, place + w + length))
         kept: list = [None] * len(b.texts)
         counts = np.zeros((len(b.texts), 3), np.int64)
@@ -319,17 +328,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
 def _least_of_windows(numbers: np.ndarray, strings: list[bytes], low: np.ndarray, length: int, out: dict[int, np.ndarray]) -> None:
     """Sort the windows of these strings deep-shallow; out gets, by string, the least document of each window where they differ from its own."""
-    sizes = np.array([len(strings[i]) - length + 1 for i in numbers.tolist()])
-    rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(strings[i], np.uint8), length) for i in numbers.tolist()])
+    chosen = [strings[i] for i in numbers.tolist()]
+    lengths = np.array([len(t) for t in chosen])
+    sizes = lengths - length + 1
+    starts, ends = np.cumsum(lengths) - lengths, np.cumsum(sizes)
+    every = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(chosen), np.uint8), length)
+    rows = every[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)]
     document = np.repeat(low[numbers], sizes)
     order, equal = deep_shallow_sort(rows)
     first = np.flatnonzero(np.diff(equal, prepend=-1))
     least = np.empty(len(rows), np.int64)
     least[order] = np.minimum.reduceat(document[order], first)[equal]
-    ends = np.cumsum(sizes)
-    for i, a, b in zip(numbers.tolist(), (ends - sizes).tolist(), ends.tolist()):
-        if (least[a:b] < low[i]).any():
-            out[i] = least[a:b]
+    earlier = np.minimum.reduceat(least, ends - sizes) < low[numbers]
+    for k in np.flatnonzero(earlier).tolist():
+        out[int(numbers[k])] = least[ends[k] - sizes[k] : ends[k]]
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

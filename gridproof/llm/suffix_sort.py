@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SHALLOW = 2  # super-characters of 8 bytes
+SHALLOW = 3  # super-characters of 8 bytes
 
 
 class _Node:
@@ -82,12 +82,14 @@ def deep_shallow_sort(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new_class = np.zeros(n, bool)
     new_class[first] = True
     if length > depth * 8:
-        many = last - first > 1
-        flat, rows = suffixes.tobytes(), order.copy()
-        for a, b in zip(first[many].tolist(), last[many].tolist()):
-            members = rows[a:b].tolist()
-            at = a
-            for leaf in blind_trie([flat[m * length : (m + 1) * length] for m in members]):
+        ordered = suffixes[order]
+        differ = np.append(False, (ordered[1:, depth * 8 :] != ordered[:-1, depth * 8 :]).any(1))
+        differ[first] = False
+        deep = np.add.reduceat(differ, first, dtype=np.int64) > 0  # the others agree to the end: one class
+        flat = ordered.tobytes()
+        for a, b in zip(first[deep].tolist(), last[deep].tolist()):
+            members, at = order[a:b].tolist(), a
+            for leaf in blind_trie([flat[m * length : (m + 1) * length] for m in range(a, b)]):
                 new_class[at] = True
                 for i in leaf:
                     order[at] = members[i]
