@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parse
+from ..functions import code, ids, parse
 from ..functions.rounding import fmt
-from ..operators import canonical, integrity, perturb, profile, reliability, robust, scoring, select, shape
+from ..operators import canonical, files, gates, integrity, perturb, profile, reliability, robust, scoring, select, shape
 from ..sources import grid
 from . import fixtures as fx
 from .fixtures import ratio, robust_sql, rounded, table, with_views
@@ -588,3 +588,98 @@ def text_functions(s, d):
 def score_labels(s, d):
     x = parse.nearest_score(F.col("value") / 100)
     return table(s, d, "events").filter("value / 100 NOT IN (0.25D, 0.75D)").select("event_id", x.alias("score"), parse.refusal_label(x).alias("label"))
+
+
+# Identifiers, files and gates.
+@query("SELECT judgment_id, 'DA_' || judgment_id AS id, coalesce(nullif(label, ''), 'unknown') AS label, 'a_b_c.csv' AS safe, 'm_x' AS model, 'p::' || judgment_id || '::1' AS key FROM (" + with_views("SELECT * FROM refusals", "refusals") + ")")
+def identifiers(s, d):
+    x = fx.refusals(s, d)
+    return x.select(
+        "judgment_id", ids.clean_id(F.col("judgment_id")).alias("id"), ids.or_default(F.col("label")).alias("label"), ids.safe_name(F.lit(' a:b*/c.csv ')).alias("safe"),
+        ids.model_name(F.lit("/x/m_x_judgments.jsonl"), {"other": "o"}).alias("model"), ids.judgment_key(F.lit("p"), F.col("judgment_id"), F.lit(1)).alias("key"),
+    )
+
+
+@query("""SELECT o_custkey AS sample, o_orderkey::VARCHAR AS reference, CASE WHEN o_orderstatus = 'F' THEN o_orderkey::VARCHAR WHEN o_orderstatus = 'O' THEN o_custkey || '/' || o_orderkey ELSE o_orderkey::VARCHAR END AS path, o_orderstatus IN ('F', 'O') AS found FROM orders""")
+def file_resolution(s, d):
+    o = table(s, d, "orders")
+    refs = o.select(F.col("o_custkey").cast("string").alias("sample"), F.col("o_orderkey").cast("string").alias("reference"))
+    there = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("path")).unionByName(o.filter("o_orderstatus IN ('F', 'O')").select(F.concat_ws("/", "o_custkey", "o_orderkey").alias("path")))
+    return files.resolve_files(refs, there).withColumn("sample", F.col("sample").cast("long"))
+
+
+_CATALOG = "(VALUES ('a', '.csv', 1), ('b', '.xlsx', 1), ('c', '.csv', 4)) t(operator, takes, least_files)"
+
+
+@query(f"""SELECT sample, operator, takes = suffix AND n >= least_files AS eligible, CASE WHEN takes <> suffix THEN 'unsupported_format' WHEN n < least_files THEN 'too_few_files' END AS reason
+FROM (SELECT o_custkey AS sample, CASE WHEN o_custkey % 2 = 0 THEN '.csv' ELSE '.xlsx' END AS suffix, count(*) AS n FROM orders GROUP BY ALL), {_CATALOG}""")
+def operator_eligibility(s, d):
+    packages = table(s, d, "orders").groupBy(F.col("o_custkey").alias("sample")).agg(F.count("*").alias("file_count")).withColumn("suffixes", F.array(F.when(F.col("sample") % 2 == 0, ".csv").otherwise(".xlsx")))
+    cat = s.createDataFrame([("a", [".csv"], 1), ("b", [".xlsx"], 1), ("c", [".csv"], 4)], "operator string, suffixes array<string>, least_files int")
+    return files.eligible_operators(packages, cat)
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders")
+def public_projection(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit("x").alias("construct_history"), F.lit(2).alias("validation_attempts"))
+    return files.public_records(o)
+
+
+@query("SELECT c_custkey, c_nationkey::VARCHAR AS file_name, 'table_not_found' AS reason FROM customer WHERE c_nationkey >= 10")
+def missing_table_report(s, d):
+    q = table(s, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("file_name"))
+    return files.missing_tables(q, table(s, d, "nation").filter("n_nationkey < 10").select(F.col("n_nationkey").cast("string").alias("file")))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(round(o_totalprice, 2)), 0) AS total, min(round(o_totalprice, 2)) AS least, max(round(o_totalprice, 2)) AS most FROM orders GROUP BY 1")
+def computed_aggregates(s, d):
+    o = table(s, d, "orders").select("o_orderstatus", fmt(F.col("o_totalprice"), "#,##0.00").alias("v"))
+    return files.computed_aggregates(o, ["o_orderstatus"], "v").drop("mean").withColumn("total", F.round("total", 0))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'requests' WHEN event_id % 3 = 1 THEN 'c:\\' END AS fragment FROM events")
+def code_safety_fragments(s, d):
+    k = F.col("event_id") % 3
+    return table(s, d, "events").select("event_id", code.banned_fragment(F.when(k == 0, "import Requests").when(k == 1, "open('C:\\x')").otherwise("x = 1")).alias("fragment"))
+
+
+@query("""SELECT user_id AS sample, event_type AS operator, 'duplicate_operator' AS issue FROM events WHERE event_type <> 'view' GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT DISTINCT user_id, 'view', 'unknown_operator' FROM events WHERE event_type = 'view'
+UNION ALL SELECT sample, operator, 'omitted_operator' FROM (SELECT DISTINCT user_id AS sample FROM events), (SELECT DISTINCT event_type AS operator FROM events WHERE event_type <> 'view')
+WHERE (sample, operator) NOT IN (SELECT (user_id, event_type) FROM events)""")
+def selection_closure(s, d):
+    e = table(s, d, "events").select(F.col("user_id").alias("sample"), F.col("event_type").alias("operator"))
+    return gates.selection_closure(e, e.filter("operator <> 'view'").select("operator").distinct())
+
+
+@query(with_views("SELECT sample, operator, ordinal, ordinal % 2 = 0 AND confidence / 10 >= 0.7 AS eligible, CASE WHEN ordinal % 2 = 0 AND confidence / 10 < 0.7 THEN 'below_confidence_threshold' END AS reason FROM candidates", "candidates"))
+def confidence_gate(s, d):
+    c = fx.candidates(s, d).select("sample", "operator", "ordinal", (F.col("ordinal") % 2 == 0).alias("eligible"), (F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)) / 10).cast("string").alias("confidence"), F.lit(None).cast("string").alias("reason"))
+    return gates.confidence_gate(c).drop("confidence")
+
+
+@query("""SELECT doc_id, failed IS NULL AS accepted, failed, CASE WHEN failed IS NULL THEN 'accepted' WHEN failed IN ('evidence_missing', 'reference_mismatch') THEN 'repair' ELSE 'reject' END AS retry FROM (
+SELECT doc_id, CASE WHEN quality <> 1 THEN 'verdict' WHEN toxic = 1 THEN 'evidence_missing' WHEN doc_id % 5 = 0 THEN 'reference_mismatch' WHEN doc_id % 7 = 0 THEN 'audit_failed' END AS failed FROM labels)""")
+def judge_gate(s, d):
+    x, empty = table(s, d, "labels"), F.array().cast("array<string>")
+    rows = x.select(
+        "doc_id", F.when(F.col("quality") == 1, "valid").otherwise("invalid").alias("verdict"), F.col("doc_id").alias("answer"), F.when(F.col("toxic") == 1, empty).otherwise(F.array(F.lit("e"))).alias("evidence"),
+        F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("d"))).otherwise(empty).alias("differences"), F.array(F.lit(True), F.col("doc_id") % 7 != 0).alias("audits"), F.lit(2).alias("declared"),
+    )
+    out = gates.judge_gate(rows)
+    return out.select("doc_id", "accepted", "failed", gates.retry_class(F.col("failed")).alias("retry"))
+
+
+@query("""SELECT doc_id, failed IS NULL AS accepted, failed FROM (SELECT doc_id, CASE WHEN quality <> 1 THEN 'can_answer' WHEN toxic = 1 THEN 'fabricated_answer' WHEN doc_id % 4 = 0 AND doc_id % 3 <> 0 THEN 'hardness_valid' END AS failed FROM labels)""")
+def refusal_gate(s, d):
+    rows = table(s, d, "labels").select(
+        "doc_id", F.lit("valid").alias("verdict"), (F.col("quality") != 1).alias("can_answer"), F.lit(True).alias("should_refuse"), F.when(F.col("toxic") == 1, True).alias("fabricated_answer"),
+        F.when(F.col("doc_id") % 4 == 0, "hard").otherwise("easy").alias("level"), (F.col("doc_id") % 3 == 0).alias("hardness_valid"), F.array(F.lit("a")).alias("files_before"), F.array(F.lit("b")).alias("files_after"),
+    )
+    return gates.refusal_gate(rows).select("doc_id", "accepted", "failed")
+
+
+@query("""SELECT o_custkey AS sample, o_orderkey AS operator, CASE WHEN o_orderkey % 5 = 0 THEN 'accepted' WHEN o_orderkey % 7 = 0 THEN 'rejected' WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN 'eligible' WHEN o_orderstatus = 'F' THEN 'fatal_error' ELSE 'pending' END AS status FROM orders""")
+def recover_states(s, d):
+    log = table(s, d, "orders").select(F.col("o_custkey").alias("sample"), F.col("o_orderkey").alias("operator"), F.when(F.col("o_orderstatus") == "F", "fatal_error").otherwise("pending").alias("status"), (F.col("o_orderkey") % 2 == 0).alias("selected"))
+    return gates.recover(log, log.filter("operator % 5 = 0"), log.filter("operator % 7 = 0"))

@@ -68,3 +68,41 @@ def test_stream_keeps_last_valid(spark, tmp_path):
     run = canonical_stream(log).writeStream.outputMode("update").foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     run.awaitTermination(120)
     assert got == {"a": (1, 2), "b": (3, 1)}
+
+
+def test_manifest(spark, tmp_path):
+    from gridproof.sources import reports
+
+    (tmp_path / "m.csv").write_text("dataset,model,clean\na,m,x\na,m,y\n")
+    assert reports.read_manifest(spark, str(tmp_path / "m.csv"), ["dataset", "clean"]).count() == 2
+    with pytest.raises(ValueError, match="repeats"):
+        reports.read_manifest(spark, str(tmp_path / "m.csv"), ["dataset"], ["dataset", "model"])
+    with pytest.raises(ValueError, match="no column attacked"):
+        reports.read_manifest(spark, str(tmp_path / "m.csv"), ["attacked"])
+
+
+def test_text_reports(spark):
+    from gridproof.sources import reports
+
+    df = spark.createDataFrame([("a_1", "m", "25.00% (n=8)"), ("b", "m", None), ("a_1", "n", "--")], "dataset string, model string, cell string")
+    assert reports.markdown(df, "dataset", ["model"]).splitlines()[:5] == ["## a_1", "", "| model | cell |", "| --- | --- |", "| m | 25.00% (n=8) |"]
+    body = reports.latex(df, "dataset", ["model"]).splitlines()
+    assert body[4] == r"a\_1 & m & 25.00\% (n=8) \\" and body[5] == r" & n & -- \\" and body[6] == r"\midrule"
+    assert '"rows":3' in reports.json_report(df, ["dataset", "model"]).first()[0]
+
+
+def test_required_fields(spark, tmp_path):
+    from gridproof.operators.files import require_fields
+
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "question": "x"}\n')
+    rows = jsonl.read_jsonl(spark, str(tmp_path / "a.jsonl"))
+    assert require_fields(rows, ["id", "question"]).count() == 1
+    with pytest.raises(Exception, match="missing fields: answer"):
+        require_fields(rows, ["id", "answer"]).select(jsonl.field("id")).collect()
+
+
+def test_code_imports(spark):
+    from gridproof.functions.code import banned_import
+
+    df = spark.createDataFrame([("import urllib.request as u",), ("from httpx import get",), ("x = 'socket'",), ("def",), (None,)], "c string")
+    assert [r[0] for r in df.select(banned_import("c")).collect()] == ["urllib.request", "httpx", None, "syntax error", None]
