@@ -7,6 +7,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fragments that make code unsafe.
 BANNED_FRAGMENTS = ("subprocess", "socket", "requests", "urllib", "http://", "https://", "os.system", "popen", "eval(", "exec(", "rmtree", "unlink(", "remove(", "rmdir(", "d:/", "d:\\", "c:/", "c:\\")
@@ -20,7 +21,7 @@ def banned_fragment(code: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(x)), F.lit(x)) for x in BANNED_FRAGMENTS])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def banned_import(code: pd.Series) -> pd.Series:
     """The first banned module that the code imports, 'syntax error' where it doesn't parse, else null."""
 
