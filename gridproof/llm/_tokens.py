@@ -1,26 +1,28 @@
 """Word-wise memoised encoding with a public tokenizer file.
 
 No token of the supported tokenizers holds white space after a character that is not white space, so a text
-may be cut before every space that follows such a character, and each piece (its space included) encoded by itself.
-Pieces repeat very often; their ids are kept in a bounded memo for the life of a Python worker.
+may be cut before every space or line end that follows such a character, and each piece encoded by itself. A line end
+between two such characters is a token of its own. Pieces repeat very often; their ids are kept in a bounded memo for
+the life of a Python worker.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
-_UNSAFE = re.compile(r"\s ").search
+_UNSAFE = re.compile(r"\s[ \n]|\n\s").search
 _SAFE_SPACE = re.compile(r"(?<=\S) ")
-_PROBES = ("the", "Erheth", "été", "über", "años", "A")
-MEMO_LIMIT = 600_000
-
-
-def pieces(text: str) -> list[str]:
-    """Pieces of a text; all but the first stand for themselves with a space in front."""
-    return text.split(" ") if _UNSAFE(text) is None else _SAFE_SPACE.split(text)
+#: Letters up to U+00FF, which are in one normal form, and ASCII marks; contractions, digits and special tokens are left to the library.
+_LETTERS, _MARKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"""!"#$%&()*+,\-./:;=>?@\[\\\]^_`{}~"""
+_WORD = re.compile(rf"([{_LETTERS}]+)([{_MARKS}]*)").fullmatch
+_PROBES = ("the", "Erheth", "été", "über", "años", "A", "end.", "été***", "Über!!", "a_")
+MEMO_LIMIT = 500_000
+LONGEST = 64
 
 
 @lru_cache(maxsize=1)
@@ -31,11 +33,47 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
 
 
-class Encoder(dict):
-    """Memo from piece to ids (bytes) or, with lengths_only, to the number of ids."""
+def _plain(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_byte_letters())
 
-    def __init__(self, path: str, lengths_only: bool = False):
+
+def _spaced(word: str) -> str:
+    return (" " + word).encode().decode("latin-1").translate(_byte_letters())
+
+
+def _lowered(word: str) -> str:
+    return _plain(word.lower())
+
+
+class _Memo(dict):
+    """Values by piece, in two generations of MEMO_LIMIT at most.
+
+    When the younger is full it becomes the older, and a piece that is met again moves back, so frequent pieces stay.
+    """
+
+    def __init__(self, make: Callable[[str], object]):
         super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str):
+        value = self.older.get(piece)
+        if value is None:
+            value = self.make(piece)
+        self.keep(piece, value)
+        return value
+
+    def keep(self, piece: str, value) -> None:
+        if len(self) >= MEMO_LIMIT:
+            self.older = dict(self)
+            self.clear()
+        if len(piece) <= LONGEST:
+            self[piece] = value
+
+
+class Encoder:
+    """Ids of texts as bytes or, with lengths_only, their number."""
+
+    def __init__(self, path: str, lengths_only: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,57 +81,51 @@ class Encoder(dict):
         self.tokenizer.no_padding()
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
         self.lengths_only = lengths_only
+        self._code = "H" if self.dtype == "<u2" else "I"
         self._model = self.tokenizer.model.tokenize
-        self._form = next((f for f in (self._spaced, self._lowered) if all(self._same(f, w) for w in _PROBES)), None)
-        self._ends = {x: self._value(self._encode(x)) for x in ".,;:!?"} if self._form else {}
-
-    @staticmethod
-    def _spaced(word: str) -> str:
-        return (" " + word).encode().decode("latin-1").translate(_byte_letters())
-
-    @staticmethod
-    def _lowered(word: str) -> str:
-        return word.lower().encode().decode("latin-1").translate(_byte_letters())
-
-    def _same(self, form, word: str) -> bool:
-        return [t.id for t in self._model(form(word))] == self._encode(" " + word)
+        self._line = self._value(self._encode("\n"))
+        for forms in ((_spaced, _plain), (_lowered, _lowered), None):
+            self.forms = forms
+            self.spaced, self.bare = _Memo(lambda x: self._piece(x, 0)), _Memo(lambda x: self._piece(x, 1))
+            self.marks = _Memo(lambda x: self._value(self._encode(x)))
+            self.marks[""] = self._value([])
+            if not forms or all(self.spaced[x] == self._value(self._encode(" " + x)) and self.bare[x] == self._value(self._encode(x)) for x in _PROBES):
+                break  # the library's model gives for the parts of a piece what the library gives for the whole
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _value(self, ids: list[int]):
-        return len(ids) if self.lengths_only else np.array(ids, self.dtype).tobytes()
-
-    def __missing__(self, piece: str):
-        if self._form and piece.isalpha() and max(piece) < "Ā":  # one word of the model, in one normal form
-            value = self._value([t.id for t in self._model(self._form(piece))])
-        elif piece[-1:] in self._ends and piece[:-1].isalpha():  # letters and a mark are always two words
-            value = self[piece[:-1]] + self._ends[piece[-1]]
-        else:
-            value = self._value(self._encode(" " + piece))
-        if len(self) >= MEMO_LIMIT:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = value
-        return value
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode in one batch all pieces that are not known yet (the first of each text apart)."""
-        new = [x for x in set().union(*(t[1:] for t in texts)).difference(self) if len(x) <= 64]
-        if len(self) + len(new) > MEMO_LIMIT:
-            self.clear()
-            new = [x for x in set().union(*(t[1:] for t in texts)) if len(x) <= 64]
+        return len(ids) if self.lengths_only else array(self._code, ids).tobytes()
+
+    def _piece(self, piece: str, kind: int):
+        """kind 0: with a space in front, 1: without. Letters are one word of the model, marks after them another."""
+        match = self.forms and _WORD(piece)
+        if not match:
+            return self._value(self._encode(piece if kind else " " + piece))
+        word, marks = match.groups()
+        if marks:
+            return (self.spaced, self.bare)[kind][word] + self.marks[marks]
+        return self._value([t.id for t in self._model(self.forms[kind](word))])
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encode in one batch the pieces (with a space in front) that are not known and not made of plain words."""
+        new = [x for x in set(pieces).difference(self.spaced) if len(x) <= LONGEST and x not in self.spaced.older and not (self.forms and _WORD(x))]
         for piece, got in zip(new, self.tokenizer.encode_batch_fast([" " + x for x in new], add_special_tokens=False)):
-            self[piece] = self._value(got.ids)
+            self.spaced.keep(piece, self._value(got.ids))
+
+    def values(self, text: str) -> list:
+        """Values of the pieces of a text in order."""
+        safe = _UNSAFE(text) is None
+        out = []
+        for i, line in enumerate(text.split("\n") if safe else [text]):
+            head, *rest = line.split(" ") if safe else _SAFE_SPACE.split(line)
+            out += (self._line, self.bare[head]) if i else (self.bare[head],)
+            out += map(self.spaced.__getitem__, rest)
+        return out
 
     def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, self.dtype)
-        first, *rest = pieces(text)
-        return np.frombuffer(self._value(self._encode(first)) + b"".join(map(self.__getitem__, rest)), self.dtype)
-
-    def count(self, parts: list[str]) -> int:
-        return len(self._encode(parts[0])) + sum(map(self.__getitem__, parts[1:]))
+        return np.frombuffer(b"".join(self.values(text)) if text else b"", self.dtype)
 
 
 @lru_cache(maxsize=2)

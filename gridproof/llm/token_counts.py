@@ -7,16 +7,16 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ._tokens import encoder, pieces
+from ._tokens import encoder
 
 BATCH_BYTES = 1 << 20
 SPLIT_CHARS = 1 << 20
 
 
-def _parts(text: str) -> Iterator[list[str]]:
-    """Pieces of a text, at most about SPLIT_CHARS characters at a time, cut only at safe boundaries."""
+def _parts(text: str) -> Iterator[str]:
+    """Parts of a text of at most about SPLIT_CHARS characters, cut only at safe boundaries."""
     if len(text) <= SPLIT_CHARS:
-        yield pieces(text)
+        yield text
         return
     start = 0
     while start < len(text):
@@ -29,7 +29,7 @@ def _parts(text: str) -> Iterator[list[str]]:
                 end += 1
             else:
                 break
-        yield pieces(text[start:end])
+        yield text[start:end]
         start = end
 
 
@@ -46,9 +46,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
         enc = encoder(tokenizer_path, True)
 
         def close(batch: list[tuple]) -> pd.DataFrame:
-            parts = [p for _, _, ps in batch for p in ps]
-            enc.learn(parts)
-            counts = [sum(enc.count(p) for p in ps) for _, _, ps in batch]
+            enc.learn([x for _, _, t in batch for x in t.split(" ")])
+            counts = [sum(enc.values(t)) if t else 0 for _, _, t in batch]
             return pd.DataFrame({"id": pd.Series([x for x, _, _ in batch], dtype="Int64"), "n_bytes": [n for _, n, _ in batch], "n_tokens": counts})
 
         batch, size = [], 0
@@ -56,13 +55,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col
             for key, text in zip(frame["id"].astype("Int64"), frame["text"]):
                 n = len(text.encode("utf-8", "surrogatepass")) if text else 0
                 if n > SPLIT_CHARS:  # alone, part by part, so that memory stays bounded
-                    counted = 0
-                    for p in _parts(text):
-                        enc.learn([p])
-                        counted += enc.count(p)
+                    counted = sum(sum(enc.values(p)) for p in _parts(text))
                     yield pd.DataFrame({"id": pd.Series([key], dtype="Int64"), "n_bytes": [n], "n_tokens": [counted]})
                     continue
-                batch.append((key, n, [pieces(text)] if text else []))
+                batch.append((key, n, text or ""))
                 size += n
                 if size >= BATCH_BYTES:
                     yield close(batch)
