@@ -96,7 +96,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     lang_pred or score are replaced.
     """
     names, weights = model
-    rows = docs.drop("lang_pred", "score")
+    rows = docs.drop("lang_pred", "score", "_language")
     kept = docs.sparkSession.sparkContext.broadcast(weights)  # places x languages, fixed
 
     @F.pandas_udf("lang_pred string, score double")
@@ -113,4 +113,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
                 out[i] = (names[b], float(np.clip((s[b] + 1) / 2, 0, 1)))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return rows.withColumn("lang_id", scored(F.col(text_col))).select(*rows.columns, "lang_id.lang_pred", "lang_id.score")
+    return rows.withColumn("_language", scored(F.col(text_col))).select(*rows.columns, "_language.lang_pred", "_language.score")
