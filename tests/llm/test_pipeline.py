@@ -67,3 +67,16 @@ def test_run_and_queries(spark):
         assert sorted(df.columns) == sorted(names)
         assert sorted(map(tuple, df.select(*names).collect())) == sorted(found.fetchall())
     assert len(queries.QUERIES) == 10
+
+
+def test_near_dedup_without_ids(spark):
+    rows = [(None, "one text of its own"), (None, "one text of its own"), (None, "quite another matter here"), (3, "third thing said by nobody"), (3, "third thing said by nobody")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, docs, DATA).collect()), key=repr)
+    assert got == sorted({*rows}, key=repr)
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, DATA).count() == 0
