@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Fields of a record that are not published.
 PRIVATE_FIELDS = ("construct_history", "validate_history", "judge_history", "construct_attempts", "validation_attempts")
 #: Suffixes of tables that each family of operators takes.
-WORKBOOKS, DELIMITED = (".xlsx", ".xlsm"), (".csv", ".tsv")
+TABLES, DELIMITED, WORKBOOKS = (".xlsx", ".csv", ".tsv"), (".csv", ".tsv"), (".xlsx",)
 
 
 def resolve_files(references: DataFrame, inventory: DataFrame) -> DataFrame:

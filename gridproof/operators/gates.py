@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 LEAST_CONFIDENCE = 0.7
 #: Failures after which a construction is tried again, and final ones.
-RETRYABLE = ("semantic_invalid", "answer_changed", "evidence_missing", "reference_mismatch", "integrity_failed", "quality_failed")
+RETRYABLE = ("attack_not_effective", "answer_changed", "unanswerable", "ambiguity_introduced", "evidence_lost", "invalid_file")
 FINAL = ("judge_error", "unverifiable")
 
 
@@ -48,8 +48,9 @@ def refusal_gate(results: DataFrame) -> DataFrame:
     })
 
 
-def retry_class(failure: Column) -> Column:
-    return F.when(failure.isNull(), "accepted").when(failure.isin(*RETRYABLE), "repair").when(failure.isin(*FINAL), "final").otherwise("reject")
+def retry_class(category: Column) -> Column:
+    """accepted (no failure), repair, final or reject, by the category of a failure."""
+    return F.when(category.isNull(), "accepted").when(category.isin(*RETRYABLE), "repair").when(category.isin(*FINAL), "final").otherwise("reject")
 
 
 def recover(log: DataFrame, accepted: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -58,3 +59,19 @@ def recover(log: DataFrame, accepted: DataFrame, rejected: DataFrame) -> DataFra
     rows = log.join(accepted.select(*keys, F.lit(True).alias("_a")).distinct(), keys, "left").join(rejected.select(*keys, F.lit(True).alias("_r")).distinct(), keys, "left")
     status = F.when(F.col("_a"), "accepted").when(F.col("_r"), "rejected").when((F.col("status") == "fatal_error") & F.col("selected"), "eligible").otherwise(F.col("status"))
     return rows.select(*keys, status.alias("status"))
+
+
+#: Evidence fields that a repair may see.
+FEEDBACK_FIELDS = ("original_files", "attacked_files", "fields", "filters", "joins", "units", "transformation_checks")
+
+
+def repair_feedback(results: DataFrame, longest: int = 1200) -> DataFrame:
+    """id, evidence (only the fields that a repair may see), reason cut to a length. results: id, evidence map<string,string>, reason."""
+    seen = F.map_filter("evidence", lambda k, _: k.isin(*FEEDBACK_FIELDS))
+    return results.select("id", seen.alias("evidence"), F.substring("reason", 1, longest).alias("reason"))
+
+
+def catalog_order(rows: DataFrame, operator: str, known: list[str]) -> DataFrame:
+    """rows with catalog_index: known operators by their place in the catalog, unknown ones after them."""
+    place = F.array_position(F.array(*[F.lit(x) for x in known]), F.col(operator)) - 1
+    return rows.withColumn("catalog_index", F.when(place >= 0, place).otherwise(len(known)).cast("int"))

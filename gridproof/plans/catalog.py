@@ -667,7 +667,7 @@ def judge_gate(s, d):
         F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("d"))).otherwise(empty).alias("differences"), F.array(F.lit(True), F.col("doc_id") % 7 != 0).alias("audits"), F.lit(2).alias("declared"),
     )
     out = gates.judge_gate(rows)
-    return out.select("doc_id", "accepted", "failed", gates.retry_class(F.col("failed")).alias("retry"))
+    return out.select("doc_id", "accepted", "failed", gates.retry_class(F.when(F.col("failed") == "evidence_missing", "evidence_lost").when(F.col("failed") == "reference_mismatch", "answer_changed").otherwise(F.col("failed"))).alias("retry"))
 
 
 @query("""SELECT doc_id, failed IS NULL AS accepted, failed FROM (SELECT doc_id, CASE WHEN quality <> 1 THEN 'can_answer' WHEN toxic = 1 THEN 'fabricated_answer' WHEN doc_id % 4 = 0 AND doc_id % 3 <> 0 THEN 'hardness_valid' END AS failed FROM labels)""")
@@ -683,3 +683,29 @@ def refusal_gate(s, d):
 def recover_states(s, d):
     log = table(s, d, "orders").select(F.col("o_custkey").alias("sample"), F.col("o_orderkey").alias("operator"), F.when(F.col("o_orderstatus") == "F", "fatal_error").otherwise("pending").alias("status"), (F.col("o_orderkey") % 2 == 0).alias("selected"))
     return gates.recover(log, log.filter("operator % 5 = 0"), log.filter("operator % 7 = 0"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, unnest(range(l_linenumber, l_linenumber + 1 + l_partkey % 3))::BIGINT AS \"row\" FROM lineitem")
+def declared_row_ranges(s, d):
+    x = table(s, d, "lineitem")
+    first = F.col("l_linenumber").cast("long")
+    rows = parse.declared_rows(first, F.when(F.col("l_partkey") % 3 > 0, first + F.col("l_partkey") % 3))
+    return x.select("l_orderkey", "l_linenumber", "l_partkey", F.explode(rows).alias("row"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 > 1 THEN value END AS number, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events")
+def json_safe_values(s, d):
+    e = table(s, d, "events")
+    bad = F.when(F.col("event_id") % 5 == 0, float("nan")).when(F.col("event_id") % 5 == 1, float("-inf")).otherwise(F.col("value"))
+    return e.select("event_id", parse.json_number(bad).alias("number"), parse.json_time(F.col("ts")).alias("at"))
+
+
+@query("SELECT DISTINCT event_type AS operator, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS catalog_index FROM events")
+def operator_catalog_order(s, d):
+    return gates.catalog_order(table(s, d, "events").select(F.col("event_type").alias("operator")).distinct(), "operator", ["view", "click"])
+
+
+@query("SELECT doc_id AS id, 1 AS fields, 1200 AS longest FROM labels")
+def repair_feedback(s, d):
+    rows = table(s, d, "labels").select(F.col("doc_id").alias("id"), F.create_map(F.lit("joins"), F.lit("a"), F.lit("secret"), F.lit("b")).alias("evidence"), F.repeat(F.lit("x"), F.lit(2000)).alias("reason"))
+    return gates.repair_feedback(rows).select("id", F.size("evidence").alias("fields"), F.length("reason").alias("longest"))

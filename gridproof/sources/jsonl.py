@@ -58,3 +58,16 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def preview_keys(rows: DataFrame, sample: int = 8) -> DataFrame:
+    """file, key, first_row, rows: keys of the first rows of each file, with the first row that has each. rows has file, ordinal and row (variant objects)."""
+    first = rows.filter(F.col("ordinal") < sample).select("file", "ordinal", F.variant_get("row", "$", "map<string, variant>").alias("fields"))
+    flat = first.select("file", "ordinal", F.explode(F.map_keys("fields")).alias("key"))
+    return flat.groupBy("file", "key").agg(F.min("ordinal").alias("first_row"), F.count("*").alias("rows"))
+
+
+def row_counts(spark: SparkSession, path: str) -> DataFrame:
+    """file, rows: exact numbers of data rows of delimited files, by counting lines (a header line is none)."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    return lines.groupBy(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file")).agg((F.count("*") - 1).alias("rows"))

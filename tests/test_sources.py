@@ -106,3 +106,12 @@ def test_code_imports(spark):
 
     df = spark.createDataFrame([("import urllib.request as u",), ("from httpx import get",), ("x = 'socket'",), ("def",), (None,)], "c string")
     assert [r[0] for r in df.select(banned_import("c")).collect()] == ["urllib.request", "httpx", None, "syntax error", None]
+
+
+def test_previews(spark, tmp_path):
+    (tmp_path / "l.json").write_text('[{"a": 1}, {"b": 2, "a": 3}]')
+    got = {r.key: (r.first_row, r.rows) for r in jsonl.preview_keys(jsonl.read_json_documents(spark, str(tmp_path))).collect()}
+    assert got == {"a": (0, 2), "b": (1, 1)}
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "x.csv").write_text("h\n1\n2\n")
+    assert [tuple(r) for r in jsonl.row_counts(spark, str(tmp_path / "t")).collect()] == [("x.csv", 2)]

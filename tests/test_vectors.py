@@ -47,8 +47,8 @@ def test_empty_logs(spark):
 
 def test_equivalence(spark):
     same = lambda a, b: one(spark, parse.values_equivalent(F.lit(a), F.lit(b)))
-    assert same("2000-01-01", "2000/1/1") and same("1,234.00", "1234") and same("50%", "0.5") and same("yes", "TRUE") and same(None, None)
-    assert not same("01/02/2000", "2000-01-02") and not same("1d", "1") and not same(None, "x")
+    assert same("2000-01-01", "2000/1/1") and same("1,234.00", "1234") and same("50%", "0.5") and same("yes", "TRUE") and same(None, None) and same("是", "true")
+    assert not same("01/02/2000", "2000-01-02") and not same("1d", "1") and not same(None, "x") and not same("yes", "y")
 
 
 def test_fields(spark):
