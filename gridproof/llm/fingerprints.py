@@ -66,7 +66,7 @@ def _neighbours(ids: DataFrame) -> DataFrame:
     Keys are sorted by range and numbered inside their partition; only the first key of each partition meets those of
     other partitions, so no task holds all keys.
     """
-    parts = ids.distinct().repartitionByRange("k").withColumn("part", F.spark_partition_id())
+    parts = written(ids.distinct().repartitionByRange("k").withColumn("part", F.spark_partition_id()), "ranges")  # ranges come from a sample: read once
     inside = parts.withColumn("next", F.lag("k").over(Window.partitionBy("part").orderBy("k")))
     edges = parts.groupBy("part").agg(F.max("k").alias("top"))
     before = Window.orderBy("part")
@@ -85,7 +85,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    at = docs.select(F.col(id_col).alias("id"), k.alias("k"), text.alias("text")).repartition("k")  # texts move once
+    at = docs.select(k.alias("k"), text.alias("text")).repartition("k")  # texts move once: all uses below take these two columns
     n = F.char_length("text").cast("int")
     tail = F.floor(n / 3).cast("int")
     near = _neighbours(docs.select(k.alias("k")))
@@ -95,7 +95,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     heads = heads.select(F.col("to").alias("k"), F.col("k").alias("next"), F.expr("substring(head, 1, need)").alias("head"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("head"), F.lit(1), tail))
     both = at.join(heads, "k").withColumn("edited", edited).withColumn("row", F.monotonically_increasing_id())
-    doc = F.struct("id", "row", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("order"))
+    doc = F.struct("row", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("order"))
     side = lambda i, t: F.struct(F.lit(i).alias("side"), units(F.col(t)).alias("u"))
     keyed = both.select("k", "next", doc.alias("doc"), F.explode(F.array(side(0, "text"), side(1, "edited"))).alias("s")).select("k", "next", "doc", "s.side", "s.u")
     counted = unit_counters(keyed, ["k", "next", "doc", "side"], "u")
@@ -103,8 +103,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sums = counted.groupBy("k", "next", "doc").agg(pick(0, "n").alias("n"), pick(0, "c").alias("c"), pick(1, "n").alias("en"), pick(1, "c").alias("ec"))
     sums = written(sums, "fingerprints")  # read twice below
     after = sums.groupBy("k").agg(F.min_by(F.struct("n", "c"), F.col("doc.order")).alias("after")).withColumnRenamed("k", "next")
-    vectors = sums.join(after, "next").select("doc", lanes(F.col("n"), F.col("c")).alias("a"), lanes(F.col("en"), F.col("ec")).alias("b"), lanes(F.col("after.n"), F.col("after.c")).alias("d"))
+    vectors = sums.join(after, "next").select(F.nullif(F.col("k"), F.lit(-(1 << 63))).alias("id"), "doc", lanes(F.col("n"), F.col("c")).alias("a"), lanes(F.col("en"), F.col("ec")).alias("b"), lanes(F.col("after.n"), F.col("after.c")).alias("d"))
     return vectors.select(
-        F.col("doc.id").alias(id_col), "doc.n_chars", "doc.edited_sha256", digest(F.col("a")).alias("fingerprint"), digest(F.col("b")).alias("edited_fingerprint"),
+        F.col("id").alias(id_col), "doc.n_chars", "doc.edited_sha256", digest(F.col("a")).alias("fingerprint"), digest(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("d")).alias("near_next"),
     )

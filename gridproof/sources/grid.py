@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 GRID = "file string, sheet string, row int, col int, vtype string, value string, formula string, style string"
 STRUCTURE = "file string, sheet string, rows int, cols int, merges array<string>, header_merges int, formulas int"
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -30,10 +32,11 @@ def from_table(df: DataFrame, name: str, keys: list[str], sheet: str = "") -> Da
 
 
 def number_rows(df: DataFrame, keys: list[str], name: str = "row_no") -> DataFrame:
-    """df with a row number from 1 in the order of keys: range partitions, counts of the partitions before, place inside."""
-    from pyspark.sql import Window
+    """df with a row number from 1 in the order of keys: range partitions, counts of the partitions before, place inside.
 
-    parts = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    The partitioned rows are written to the shared folder, as ranges come from a sample and have to be the same for counts and places.
+    """
+    parts = written(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     bases = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
