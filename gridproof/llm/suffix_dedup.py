@@ -30,7 +30,7 @@ from .suffix_sort import deep_shallow_sort
 LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 4 << 20
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 PIECE = 1 << 18
 RUN = 64
 NULL_ID = (1 << 63) - 1
