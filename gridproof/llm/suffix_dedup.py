@@ -170,9 +170,11 @@ def _bytes(values: pd.Series) -> pd.Series:
     return values.map(lambda t: t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """All columns of docs with sx_kept (binary: the bytes that stay), sx_bytes, sx_removed, sx_spans.
 
+    With as_text, sx_kept is a string, without the rests of characters that were cut in two.
+
     A byte goes if it lies in a string of `length` bytes that also starts in a document with a smaller id, overlaps included, judged on
     the input. Strings never cross documents. Null texts are empty; texts under `length` bytes stay whole. A null id counts
     as larger than all others; rows with one id never cut each other. Long texts are read in pieces; an
@@ -268,7 +270,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return pd.DataFrame(answers, columns=["sx_block", "same", "same_least", "other", "other_least"])
 
     out_schema = at.drop("sx_block").schema
-    for name, kind in (("sx_kept", "binary"), ("sx_bytes", "long"), ("sx_removed", "long"), ("sx_spans", "long")):
+    for name, kind in (("sx_kept", "string" if as_text else "binary"), ("sx_bytes", "long"), ("sx_removed", "long"), ("sx_spans", "long")):
         out_schema = out_schema.add(name, kind)
 
     def cut(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -314,7 +316,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             row = b.order[d]
             kept[row] = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2]))
             counts[row] = len(text), len(text) - len(kept[row]), len(spans)
-        table = table.drop_columns(["sx_block"]).append_column("sx_kept", pa.array(kept, pa.binary()))
+        left = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        table = table.drop_columns(["sx_block"]).append_column("sx_kept", left)
         for i, name in enumerate(("sx_bytes", "sx_removed", "sx_spans")):
             table = table.append_column(name, pa.array(counts[:, i], pa.int64()))
         return table
@@ -346,17 +349,7 @@ def _least_of_windows(numbers: np.ndarray, strings: list[bytes], low: np.ndarray
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeated strings cut out of text; a character of which a part is cut goes whole. n_chars, if there, is counted anew."""
-    cut = repeated_spans(docs, length, id_col, text_col).withColumn(text_col, F.when(F.col(text_col).isNotNull(), clean_utf8(F.col("sx_kept"))))
+    cut = repeated_spans(docs, length, id_col, text_col, as_text=True).withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("sx_kept")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.coalesce(F.char_length(text_col), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)
-
-
-def clean_utf8(data: F.Column) -> F.Column:
-    """Text of bytes, without the rests of characters that were cut in two."""
-
-    @F.pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: bytes(v).decode("utf-8", "ignore"), na_action="ignore")
-
-    return decode(data)
