@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages; each takes the documents its predecessor kept.
 
-Language identification, SimHash near-dedup, removal of repeated strings, mixing of sources, and packing.
+Language identification, near-dedup by 5-word shingles, removal of repeated strings, mixing of sources, and packing.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridproof.llm._shared import table, written
+from gridproof.llm.jaccard import similar_groups
 from gridproof.llm.language_id import predict, train
 from gridproof.llm.mixing import mix
 from gridproof.llm.packing import pack_documents
-from gridproof.llm.simhash import near_duplicates
 from gridproof.llm.suffix_dedup import remove_repeats
 
 #: A document whose best language scores less is in none of them.
@@ -27,8 +27,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once; without any id in a group, each different text stays once."""
-    groups = near_duplicates(docs)
+    """Of each group of near duplicates (5-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest id stays, once; without any id in a group, each different text stays once."""
+    groups = similar_groups(docs)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").withColumn("_same", F.when(F.col("doc_id").isNull(), F.col("text"))).dropDuplicates(["doc_id", "_same"]).select(*docs.columns)
 
