@@ -11,19 +11,18 @@ from pyspark.sql import functions as F
 
 from gridproof.llm._shared import table, written
 from gridproof.llm.jaccard import similar_groups
-from gridproof.llm.language_id import predict, train
+from gridproof.llm.language_id import fit, limits, predict, sample
 from gridproof.llm.mixing import mix
 from gridproof.llm.packing import pack_documents
 from gridproof.llm.suffix_dedup import remove_repeats
 
-#: A document whose best language scores less is in none of them.
-LEAST_SCORE = 0.35
-
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled documents and drop what is in no language: no text, no letter, or a low score for all."""
-    known = predict(docs, train(docs))
-    return known.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Learn from the labelled documents and drop what is in no language: no text, no letter, or too few n-grams that any language's examples have."""
+    bits, labels = sample(docs)
+    if not labels:
+        return docs.limit(0)
+    return predict(docs, fit(bits, labels), known=limits(bits, labels)).filter("lang_pred <> 'und'").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,17 +55,41 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
     return names, np.ascontiguousarray(base.T @ (to_map @ alpha), np.float32)
 
 
-def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Fit on at most per_language labelled rows of each language, those with the smallest hash of their ids.
+def limits(bits: np.ndarray, labels: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """By language in the order of their names: the places seen in its rows (places x languages), and the least share of a text's n-grams that must be among them.
+
+    Every fifth row is held out. The least share lies midway between what the poorest 1 % of these rows have in their own
+    language and what the median row has in another one (or without another, with its places in random order).
+    """
+    names = sorted(set(labels))
+    own = np.array(labels)[:, None] == np.array(names)[None]
+    seen = np.stack([bits[o].any(0) for o in own.T], 1)
+    held = np.arange(len(bits)) % 5 == 4
+    if not held.any():
+        return seen, np.full(len(names), 0.5)
+    known = np.stack([bits[o & ~held].any(0) for o in own.T], 1).astype(np.float32)
+    rows = bits[held].astype(np.float32)
+    share = rows @ known / np.maximum(rows.sum(1, keepdims=True), 1)
+    least = np.empty(len(names))
+    for i in range(len(names)):
+        mine, others = share[own[held][:, i], i], share[~own[held][:, i], i]
+        if not len(others):
+            others = rows @ known[np.random.default_rng(0).permutation(len(known)), i] / np.maximum(rows.sum(1), 1)
+        least[i] = (np.quantile(mine, 0.01) + np.median(others)) / 2 if len(mine) else 0.5
+    return seen, least
+
+
+def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[np.ndarray, list[str]]:
+    """Presence bits and languages of at most per_language labelled rows of each language, those with the smallest hash of their ids.
 
     Rows without a language, or whose text has no letter, are no examples. Only presence bits (4 KB a row) come to the
-    driver. Without any example there are no languages.
+    driver.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
     rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, (1.5 * per_language + 50) / n)))]) if sizes else None
     if rate is None:
-        return [], np.empty((1 << BITS, 0), np.float32)
+        return np.empty((0, 1 << BITS), bool), []
     order = F.xxhash64(F.col(id_col), F.lit("sample"))
     drawn = labelled.filter(F.pmod(order, F.lit(1 << 31)) < rate[F.col(lang_col)] * F.lit(1 << 31))
 
@@ -83,25 +107,32 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str
         if seen[r["lang"]] <= per_language:
             kept.append(r)
     if not kept:
-        return [], np.empty((1 << BITS, 0), np.float32)
-    bits = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in kept]).astype(bool)
-    return fit(bits, [r["lang"] for r in kept])
+        return np.empty((0, 1 << BITS), bool), []
+    return np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in kept]).astype(bool), [r["lang"] for r in kept]
+
+
+def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Fit on the sample. Without any example there are no languages."""
+    bits, labels = sample(docs, per_language, id_col, text_col, lang_col)
+    return fit(bits, labels) if labels else ([], np.empty((1 << BITS, 0), np.float32))
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", known: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """All columns of docs with lang_pred and score (0 to 1).
 
     Every whole text is scored. A null text and one without letters, or any text when the model knows no language, is
-    `und` with score 0. Ties go to the first language by name. Repeated rows and null ids pass through; columns named
+    `und` with score 0. With `known` (of `limits`) a text is also `und`, with its score, if for no language enough of its n-grams
+    were seen. Ties go to the first language by name. Repeated rows and null ids pass through; columns named
     lang_pred or score are replaced.
     """
     names, weights = model
     rows = docs.drop("lang_pred", "score", "_language")
-    kept = docs.sparkSession.sparkContext.broadcast(weights)  # places x languages, fixed
+    seen, least = known if known and names else (np.empty((1 << BITS, 0), bool), np.empty(0))
+    kept = docs.sparkSession.sparkContext.broadcast((weights, seen.astype(np.float32)))  # places x languages, fixed
 
     @F.pandas_udf("lang_pred string, score double")
     def scored(texts: pd.Series) -> pd.DataFrame:
-        w = kept.value
+        w, places = kept.value
         out = [("und", 0.0)] * len(texts)
         todo = [i for i, t in enumerate(texts) if names and has_letter(t)]
         for k in range(0, len(todo), BATCH):
@@ -109,8 +140,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
             bits = np.stack([presence(texts.iloc[i]) for i in at]).astype(np.float32)
             score = bits @ w / np.sqrt(np.maximum(bits.sum(1, keepdims=True), 1))
             best = score.argmax(1)
-            for i, b, s in zip(at, best, score):
-                out[i] = (names[b], float(np.clip((s[b] + 1) / 2, 0, 1)))
+            alien = (bits @ places < least * bits.sum(1, keepdims=True)).all(1) if len(least) else np.zeros(len(at), bool)
+            for i, b, s, no in zip(at, best, score, alien):
+                out[i] = ("und" if no else names[b], float(np.clip((s[b] + 1) / 2, 0, 1)))
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return rows.withColumn("_language", scored(F.col(text_col))).select(*rows.columns, "_language.lang_pred", "_language.score")
