@@ -19,23 +19,41 @@ BLOCKS = frozenset(
 SKIPPED = frozenset("script style noscript template svg canvas iframe object select textarea button head title nav header footer aside form menu dialog".split())
 #: Words in class, id or role that mark what isn't the article.
 CHROME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|newsletter|popup|modal|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|"
-    r"comments?|replies|respond|discussion|share|sharing|social|related|recommend\w*|widget|search|login|signup|subscribe|pagination|pager|contentinfo|complementary|alert)(?:$|[\s_-])",
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|newsletter|popup|modal|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|"
+    r"comments?|replies|respond|discussion|share|sharing|social|related|recommend\w*|widget|search|login|signup|subscribe|pagination|pager|contentinfo|complementary|alert",
     re.IGNORECASE,
 )
+#: Words that say where or how such a part stands; beside others, as in has-sidebar or category-social, a word of CHROME marks nothing.
+PLACES = frozenset("site page main primary secondary top bottom global block box bar list area section container wrapper inner links posts articles stories content form buttons icons text slot unit message".split())
+#: Elements that hold the page or its article, whatever their class.
+HOLDERS = frozenset("html body main article".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIGMA = 1.0
 
 
+def _chrome(value: str) -> bool:
+    """Whether one of the names, as a whole, is of words of CHROME, or of these and PLACES."""
+    for name in value.split():
+        words = [w for w in re.split(r"[_-]+", name) if w and not w.isdigit()]
+        marks = [CHROME.fullmatch(w) is not None for w in words]
+        if any(marks) and all(m or w.lower() in PLACES for m, w in zip(marks, words)):
+            return True
+    return False
+
+
 class _Events(HTMLParser):
     """Blocks of a page as (text, tags, linked characters, in article) in page order."""
 
-    def __init__(self):
+    def __init__(self, kept: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.kept = kept  # numbers of elements that are not skipped by class
+        self.count = 0
+        self.around: set[int] = set()  # numbers of elements skipped by class around an article
+        self.by_class: list[int] = []
         self.blocks: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
-        self.open: list[tuple[str, bool]] = []  # element, whether it is skipped
+        self.open: list[tuple[str, bool, bool]] = []  # element, whether it is skipped, and by class
         self.skipping = self.anchors = self.articles = 0
 
     def close_block(self) -> None:
@@ -50,7 +68,11 @@ class _Events(HTMLParser):
         self.tags += not self.skipping
         if tag in VOID:
             return
-        skip = tag in SKIPPED and not (tag == "header" and self.articles) or any(k in ("class", "id", "role") and v and CHROME.search(v) for k, v in attrs)
+        self.count += 1
+        skip = tag in SKIPPED and not (tag == "header" and self.articles)
+        named = not skip and tag not in HOLDERS and self.count not in self.kept and any(k in ("class", "id", "role") and v and _chrome(v) for k, v in attrs)
+        if tag in ("article", "main") and len(self.by_class) == self.skipping:
+            self.around.update(self.by_class)
         if tag == "p":  # a new paragraph ends an open one
             for i in range(len(self.open) - 1, -1, -1):
                 if self.open[i][0] == "p":
@@ -58,14 +80,18 @@ class _Events(HTMLParser):
                     break
                 if self.open[i][0] in BLOCKS:
                     break
-        self.open.append((tag, skip))
+        skip = skip or named
+        self.open.append((tag, skip, named))
+        self.by_class += [self.count] * named
         self.skipping += skip
         self.anchors += tag == "a"
         self.articles += tag in ("article", "main")
 
     def _pop(self, i: int) -> None:
-        for tag, skip in self.open[i:]:
+        for tag, skip, named in self.open[i:]:
             self.skipping -= skip
+            if named:
+                self.by_class.pop()
             self.anchors -= tag == "a"
             self.articles -= tag in ("article", "main")
         del self.open[i:]
@@ -86,6 +112,14 @@ class _Events(HTMLParser):
                 self.linked += len(data)
 
 
+def _parsed(html: str, kept: frozenset[int] = frozenset()) -> _Events:
+    events = _Events(kept)
+    events.feed(html)
+    events.close()
+    events.close_block()
+    return events
+
+
 def extract(html: str | None) -> str:
     """Main text of one page.
 
@@ -96,10 +130,9 @@ def extract(html: str | None) -> str:
     """
     if not html:
         return ""
-    events = _Events()
-    events.feed(html)
-    events.close()
-    events.close_block()
+    events = _parsed(html)
+    if events.around and not any(b[3] for b in events.blocks):  # the page's only article lies in what its class would skip
+        events = _parsed(html, frozenset(events.around))
     lines = [b for b in events.blocks if b[0]]
     if not lines:
         return ""
