@@ -29,6 +29,9 @@ PLACES = frozenset("site page main primary secondary top bottom global block box
 HOLDERS = frozenset("html body main article".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIGMA = 1.0
+MOST_RATIO = 40.0  # a line with this many characters a tag is text, however long others are
+APART = 4.0  # clusters of ratios nearer than this factor are one
+GAP = 2  # lines that are mostly unlinked between content lines, and stay
 
 
 def _chrome(value: str) -> bool:
@@ -123,10 +126,11 @@ def _parsed(html: str, kept: frozenset[int] = frozenset()) -> _Events:
 def extract(html: str | None) -> str:
     """Main text of one page.
 
-    Events become lines, one a block. A line's ratio is its unlinked characters over its tags (1 at least); ratios are
-    smoothed with a Gaussian over neighbouring lines, and lines at or above the threshold form the content. The
-    threshold parts the ratios into two clusters: the mean of the means of the lines below and above it. Within a page that marks its article, the lines inside it
-    are the candidates and all above a low floor are kept, as short paragraphs between long ones are content too.
+    Events become lines, one a block. A line's ratio is its unlinked characters over its tags (1 at least), taken up to
+    MOST_RATIO and as a logarithm, so that long lines don't outweigh ordinary ones. Ratios are smoothed with a Gaussian over neighbouring
+    lines and parted into two clusters; the high one is content, or all if the two are near each other. Short lines
+    that are mostly unlinked and lie between lines of the content stay too. On a page that marks its article this is done for the lines inside it, and
+    all mostly unlinked ones stay.
     """
     if not html:
         return ""
@@ -139,22 +143,30 @@ def extract(html: str | None) -> str:
     marked = any(b[3] for b in lines)
     if marked:
         lines = [b for b in lines if b[3]]
-    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _ in lines], float)
+    plain = np.array([max(0, len(t) - linked) for t, _, linked, _ in lines], float)
+    ratio = np.log1p(np.minimum(plain / np.maximum(1, [tags for _, tags, _, _ in lines]), MOST_RATIO))
     reach = int(3 * SIGMA)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     weight = np.convolve(np.ones(len(ratio)), kernel)[reach:-reach]
     smooth = np.convolve(ratio, kernel)[reach:-reach] / weight
-    if marked:
-        chosen = smooth > 0
+    cut = smooth.mean()
+    low = high = smooth
+    for _ in range(20):
+        low, high = smooth[smooth < cut], smooth[smooth >= cut]
+        new = (low.mean() + high.mean()) / 2 if len(low) and len(high) else cut
+        if abs(new - cut) < 1e-9:
+            break
+        cut = new
+    if len(low) and high.mean() - low.mean() >= np.log(APART):
+        chosen = smooth >= cut
     else:
-        cut = smooth.mean()
-        for _ in range(20):
-            low, high = smooth[smooth < cut], smooth[smooth >= cut]
-            new = (low.mean() + high.mean()) / 2 if len(low) and len(high) else cut
-            if abs(new - cut) < 1e-9:
-                break
-            cut = new
-        chosen = smooth >= min(cut, 0.5 * smooth.max())
+        chosen = smooth > 0 if marked else np.ones(len(lines), bool)
+    text = plain * 2 > [len(b[0]) for b in lines]
+    at = np.flatnonzero(chosen)
+    for i, j in zip([-1, *at], [*at, len(lines)]):  # the lines between two of the content, and in an article those before and after it
+        between = slice(i + 1, j)
+        if marked or j - i - 1 <= GAP and 0 <= i and j < len(lines):
+            chosen[between] |= text[between]
     return "\n\n".join(b[0] for b, keep in zip(lines, chosen) if keep)
 
 

@@ -19,3 +19,17 @@ def test_holders_keep_their_article(name):
 def test_chrome_goes(name):
     assert extract(f"<body><article><p>{TEXT}</p></article><div class='{name}'><article>Other words.</article></div></body>") == TEXT
     assert extract(f"<body><article><p>{TEXT}</p><div class='{name}'>Other words.</div></article></body>") == TEXT
+
+
+@pytest.mark.parametrize("sizes", [[140, 150, 160, 170, 3000, 180, 190, 200, 210, 220, 155, 165], [30, 900, 60, 300, 45, 700, 90, 500, 35, 120, 800, 250, 40, 400]])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_uneven_paragraphs_stay_and_link_lines_go(sizes, tag):
+    parts = [("word " * n)[:n].strip() for n in sizes]
+    body = "".join(f"<p>{p}</p>" for p in parts)
+    links = "".join(f"<li><a href=x>Link number {i}</a></li>" for i in range(8))
+    assert extract(f"<body><{tag}>{body}</{tag}></body>") == "\n\n".join(parts)
+    assert extract(f"<body><{tag}><ul>{links}</ul>{body}<ul>{links}</ul></{tag}></body>") == "\n\n".join(parts)
+
+
+def test_short_lines_at_the_head_of_an_article_stay():
+    assert extract(f"<article><h1>A.</h1><p>B.</p><p><b>C</b> d.</p><p>{TEXT * 9}</p></article>") == f"A.\n\nB.\n\nC d.\n\n{TEXT * 9}"
