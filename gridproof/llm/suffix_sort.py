@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 
 SHALLOW = 3  # super-characters of 8 bytes
+SMALL = 1 << 13  # rows of a group that is not split by pivots any more
+CHUNK = 1 << 16
 
 
 class _Node:
@@ -58,40 +60,78 @@ def blind_trie(suffixes: list[bytes]) -> Iterator[list[int]]:
             yield node
 
 
-def deep_shallow_sort(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the rows (n x length bytes), and for each row in that order the number of its class of equal rows.
+def _ternary(words: np.ndarray, order: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Split every group over SMALL by pivots into smaller, equal and larger characters, again and again; returns the edges of all groups.
+
+    words: the character of each row; order: the rows, group by group; edges: where groups begin, and the end.
+    """
+    out = [edges]
+    stack = [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:]) if b - a > SMALL]
+    while stack:
+        a, b = stack.pop()
+        own = order[a:b]
+        key = words[own]
+        pivot = np.sort(key[np.linspace(0, b - a - 1, 9).astype(np.int64)])[4]
+        less, more = key < pivot, key > pivot
+        x, y = a + int(less.sum()), b - int(more.sum())
+        order[a:b] = np.concatenate([own[less], own[~(less | more)], own[more]])
+        out.append(np.array([x, y]))
+        stack += [(p, q) for p, q in ((a, x), (y, b)) if q - p > SMALL]
+    return np.unique(np.concatenate(out)) if len(out) > 1 else edges
 
-    Shallow: multikey quicksort, with 8 bytes as one character; a group goes on to its next character while it has more than
-    one member. Deep: groups that still agree after SHALLOW characters are ordered by blind tries.
+
+def multikey_quicksort(suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows by their first `depth` super-characters, and the edges of the groups that agree in all of them.
+
+    Character by character: groups of several rows are split three ways around pivots until they are small, the small ones are
+    sorted together, and rows with one character go on to the next.
     """
     n, length = suffixes.shape
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    depth = min(SHALLOW, -(-length // 8))
     padded = np.zeros((n, depth * 8), np.uint8)
     padded[:, : min(length, depth * 8)] = suffixes[:, : depth * 8]
     words = padded.view(">u8").astype(np.uint64)
-    order, group = np.arange(n), np.zeros(n, np.int64)
+    order, edges = np.arange(n), np.array([0, n])
     for d in range(depth):
-        key = words[order, d]
+        edges = _ternary(words[:, d], order, edges)
+        sizes = np.diff(edges)
+        at = np.flatnonzero(np.repeat(sizes > 1, sizes))  # places of rows that are not alone
+        if not len(at):
+            break
+        group = np.repeat(np.arange(len(sizes)), sizes)[at]
+        key = words[order[at], d]
         sub = np.lexsort((key, group))
-        order, key, group = order[sub], key[sub], group[sub]
-        group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]))
-    edges = np.flatnonzero(np.diff(group)) + 1
-    first, last = np.concatenate([[0], edges]), np.concatenate([edges, [n]])
+        order[at], key = order[at[sub]], key[sub]
+        new = (key[1:] != key[:-1]) & (group[1:] == group[:-1])
+        edges = np.union1d(edges, at[1:][new])
+    return order, edges
+
+
+def deep_shallow_sort(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows (n x length bytes), and for each row in that order the number of its class of equal rows.
+
+    Shallow: multikey quicksort over SHALLOW characters of 8 bytes. Deep: rows that still agree go into a blind trie. A trie of
+    one leaf is seen at once, as all its rows agree with the first to the end; the others are built row by row.
+    """
+    n, length = suffixes.shape
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    depth = min(SHALLOW, -(-length // 8))
+    order, edges = multikey_quicksort(suffixes, depth)
     new_class = np.zeros(n, bool)
-    new_class[first] = True
-    if length > depth * 8:
-        ordered = suffixes[order]
-        differ = np.append(False, (ordered[1:, depth * 8 :] != ordered[:-1, depth * 8 :]).any(1))
-        differ[first] = False
-        deep = np.add.reduceat(differ, first, dtype=np.int64) > 0  # the others agree to the end: one class
-        flat = ordered.tobytes()
-        for a, b in zip(first[deep].tolist(), last[deep].tolist()):
-            members, at = order[a:b].tolist(), a
-            for leaf in blind_trie([flat[m * length : (m + 1) * length] for m in range(a, b)]):
-                new_class[at] = True
-                for i in leaf:
-                    order[at] = members[i]
-                    at += 1
+    new_class[edges[:-1]] = True
+    sizes = np.diff(edges)
+    at = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    if length > depth * 8 and len(at):
+        first = np.repeat(edges[:-1], sizes)[at]
+        differ = np.zeros(len(at), bool)
+        for i in range(0, len(at), CHUNK):
+            part = slice(i, i + CHUNK)
+            differ[part] = (suffixes[order[at[part]], depth * 8 :] != suffixes[order[first[part]], depth * 8 :]).any(1)
+        for a in np.unique(first[differ]).tolist():
+            b = int(edges[np.searchsorted(edges, a) + 1])
+            members = order[a:b].tolist()
+            for leaf in blind_trie([suffixes[m].tobytes() for m in members]):
+                new_class[a] = True
+                order[a : a + len(leaf)] = [members[i] for i in leaf]
+                a += len(leaf)
     return order, np.cumsum(new_class) - 1

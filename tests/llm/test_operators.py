@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridproof.llm import _tokens, packing, suffix_sort
+from gridproof.llm import _tokens, suffix_dedup, suffix_sort
 from gridproof.llm.components import connected_components
 from gridproof.llm.fingerprints import fingerprint_edits
 from gridproof.llm.html_text import extract, extract_main_text
@@ -131,15 +131,41 @@ def brute_repeats(texts, n=50):
     return out
 
 
-@pytest.mark.parametrize("block", [4 << 20, 20_000])
-def test_repeats(spark, docs, texts, monkeypatch, block):
-    monkeypatch.setattr("gridproof.llm.suffix_dedup.BLOCK_BYTES", block)
-    monkeypatch.setattr("gridproof.llm.suffix_dedup.PART_BYTES", block)
+def split_finely(monkeypatch, block=4 << 20, fan=1024, hot=8192, piece=1 << 18):
+    for name, value in (("BLOCK_BYTES", block), ("PART_BYTES", block), ("FAN", fan), ("HOT", hot), ("PIECE", piece)):
+        monkeypatch.setattr(f"gridproof.llm.suffix_dedup.{name}", value)
+
+
+@pytest.mark.parametrize("sizes", [(4 << 20,), (20_000,), (20_000, 2), (40_000, 1024, 2), (20_000, 3, 3, 700)], ids=["one block", "blocks", "two levels", "hot keys", "all"])
+def test_repeats(spark, docs, texts, monkeypatch, sizes):
+    split_finely(monkeypatch, *sizes)
     want = brute_repeats(texts)
     for r in repeated_spans(docs).collect():
         assert (bytes(r.sx_kept), r.sx_removed, r.sx_spans) == want[r.doc_id]
 
 
+def test_a_frequent_phrase_in_varied_context(spark, monkeypatch):
+    split_finely(monkeypatch, 4000, 1024, 20)
+    phrase = "this very phrase stands everywhere"  # under 50 bytes: nothing that goes
+    data = {i: " ".join([words(12, i), phrase, words(12, 1000 + i)]) for i in range(120)}
+    data |= {200 + i: " ".join([words(5, 500 + i), data[i][40:140], words(5, 700 + i)]) for i in range(0, 120, 7)}
+    want = brute_repeats(data)
+    got = repeated_spans(spark.createDataFrame(sorted(data.items()), "doc_id long, text string")).collect()
+    assert len(got) == len(data) and sum(r.sx_removed for r in got) > 0
+    for r in got:
+        assert (bytes(r.sx_kept), r.sx_removed, r.sx_spans) == want[r.doc_id]
+
+
+def test_messages_grow_with_the_input_not_with_the_parts():
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 60_000).astype(np.uint64) << np.uint64(1))
+    rows = {}
+    for parts in (100, 1000, 10_000, 1_000_000):
+        plan = suffix_dedup._Plan(parts * suffix_dedup.PART_BYTES)
+        rows[parts] = sum(1 for _ in suffix_dedup._dealt(plan.bucket(keys), [keys]))
+        assert plan.buckets * plan.deep >= parts and len(list(suffix_dedup._dealt(plan.parts(keys & np.uint64(0xFFFFFFFF)), [keys]))) <= suffix_dedup.FAN
+    assert rows == {100: 100, 1000: 1000, 10_000: 1024, 1_000_000: 1024}
+
+
 def test_repeats_odd_and_empty(spark, odd, empty):
     got = [(r.doc_id, r.sx_removed, r.k) for r in repeated_spans(odd).collect()]
     assert len(got) == 6 and all(n == 0 for _, n, _ in got)  # rows of one id never cut each other
@@ -149,7 +175,8 @@ def test_repeats_odd_and_empty(spark, odd, empty):
     assert remove_repeats(spark.createDataFrame([(1, "ü" * 40, 9), (2, "x" + "ü" * 40, 9)], "doc_id long, text string, n_chars int")).orderBy("doc_id").collect()[1].text == "x"
 
 
-def test_deep_shallow_order():
+def test_deep_shallow_order(monkeypatch):
+    monkeypatch.setattr(suffix_sort, "SMALL", 20)  # so that groups are split by pivots
     rng = np.random.default_rng(2)
     rows = np.repeat(rng.integers(97, 99, (40, 50)).astype(np.uint8), 6, 0)
     rows[::6, 45:] = 1
