@@ -1,10 +1,8 @@
-"""Best-fit packing of token sequences, bulk-synchronously by size class."""
+"""Best-fit packing of token sequences in bulk-synchronous rounds."""
 
 from __future__ import annotations
 
-import bisect
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,17 +11,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import new_path, written
 from ._tokens import encoder
 
-PIECES = "doc_id long, piece long, start long, length long, ids_crc32 long, task long, place long"
+PIECES = "doc_id long, piece long, start long, length long, ids_crc32 long, row long"
+SWEPT = "part long, kind string, rank long, row long, length long, sequence_id long, gap long, slot long"
+HARMONIC = 8  # bands of lengths of which 1, 2, ... fit in a sequence; below, each band reaches to half its top
+ROWS_A_TASK = 200_000
+_TASK, _BAND = 33, 56  # bits below the task in a row's number, and below the band in a sequence's
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece, with its rank among the pieces of its length that its task has made. No shuffle."""
+    """One row a piece, with a number of its own (row) once written. No shuffle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, task, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
+        enc, row = encoder(tokenizer_path), TaskContext.get().partitionId() << _TASK
         end = np.array([end_id], "<u4")
         for f in frames:
             rows = []
@@ -32,80 +34,137 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_i
                 first = (len(ids) - 1) % capacity + 1  # only the first piece may be shorter
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(edges, edges[1:])):
-                    rows.append((key, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), task, seen[b - a]))
-                    seen[b - a] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
+                    rows.append((key, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), row))
+                    row += 1
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
             yield out.astype({"doc_id": "Int64"})
 
     return docs.selectExpr(f"cast(`{id_col}` as long) AS id", f"`{text_col}` AS text").mapInPandas(run, PIECES)
 
 
-def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit decreasing over size classes: (length, first rank, last rank + 1, first sequence, offset, pieces a sequence).
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """(least - 1, most) lengths of each band, longest first."""
+    tops = [capacity // n for n in range(1, HARMONIC + 1)]
+    while tops[-1] > 1:
+        tops.append(tops[-1] // 2)
+    tops = sorted({t for t in tops if t}, reverse=True)
+    return list(zip([*tops[1:], 0], tops))
 
-    Pieces of one length are interchangeable, as are sequences with one gap, so documents and gaps are runs sorted by
-    size, at most `capacity` classes each however many rows there are. A round takes the largest length left and sweeps
-    over its successor gaps, smallest first. Where more pieces than places meet, the lower ranks get the places and the
-    others go on to the next gap, at last to new sequences. A sequence takes as many as fit before the next one, which
-    is what best fit does one by one: its gap has just become the smallest.
+
+def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Match one range of documents and gaps, in descending order: a document takes the smallest gap seen that is still free.
+
+    What the range can't match goes on with its rank: documents met while no gap was free, and free gaps from the largest to the smallest.
     """
-    gaps: dict[int, list[list[int]]] = defaultdict(list)  # gap -> runs of [first sequence, sequences]
-    sizes: list[int] = []  # gaps that have runs, ascending
-    rules, opened = [], 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if not gaps[gap]:
-                bisect.insort(sizes, gap)
-            gaps[gap].append([first, n])
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect.bisect_left(sizes, length)
-            gap = sizes[k] if k < len(sizes) else capacity
-            fit = gap // length
-            if k == len(sizes):
-                run = [opened, -(-left // fit)]
-                opened += run[1]
+    part, waiting, free = TaskContext.get().partitionId(), 0, []
+    for f in frames:
+        rows = []
+        for length, row, sequence, gap, slot in zip(f["length"].tolist(), f["row"].tolist(), f["sequence_id"].tolist(), f["gap"].tolist(), f["slot"].tolist()):
+            if not length:
+                free.append((sequence, gap, slot))
+            elif free:
+                rows.append((part, "match", 0, row, length, *free.pop()))
             else:
-                run = gaps[gap].pop()
-                if not gaps[gap]:
-                    sizes.pop(k)
-            take = min(left, run[1] * fit)
-            rules.append((length, rank, rank + take, run[0], capacity - gap, fit))
-            full, more = divmod(take, fit)
-            add(gap - fit * length, run[0], full)
-            if more:
-                add(gap - more * length, run[0] + full, 1)
-            used = full + (more > 0)
-            add(gap, run[0] + used, run[1] - used)
-            rank, left = rank + take, left - take
-    return rules
+                rows.append((part, "document", waiting, row, length, 0, 0, 0))
+                waiting += 1
+        yield pd.DataFrame(rows, columns=["part", "kind", "rank", "row", "length", "sequence_id", "gap", "slot"])
+    if free:
+        rows = [(part, "gap", i, 0, 0, *x) for i, x in enumerate(free)]
+        yield pd.DataFrame(rows, columns=["part", "kind", "rank", "row", "length", "sequence_id", "gap", "slot"])
+
+
+def _across(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """How the ranges' leftovers meet, from (range, documents, gaps): matches (range, first rank, last rank + 1, range of the gaps, sum of both
+    ranks), and (range, first rank left, number of the documents left in ranges before)."""
+    free: list[list[int]] = []
+    met, left, before = [], [], 0
+    for part, documents, gaps in sorted(counts):
+        rank = 0
+        while rank < documents and free:
+            q, n = free[-1]
+            take = min(n, documents - rank)
+            met.append((part, rank, rank + take, q, n - 1 + rank))
+            rank += take
+            free[-1][1] -= take
+            if not free[-1][1]:
+                free.pop()
+        if rank < documents:
+            left.append((part, rank, before))
+            before += documents - rank
+        if gaps:
+            free.append([part, gaps])
+    return met, left
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
-    """Place pieces (the columns of PIECES) in as few sequences of `capacity` tokens as best fit decreasing needs.
-
-    Adds sequence_id and offset; sequences have no gaps from 0 on. The rank of a piece among all of its length is the
-    number of such pieces in earlier tasks plus its place in its own, so a hot length needs no sort and no single task.
-    Only the counts of each length (at most `capacity` numbers) reach the driver. An empty table gives an empty table.
+    """Place pieces (the columns of PIECES; row is unique and stays when read again) in sequences of `capacity` tokens by best fit.
+
+    Adds sequence_id and offset; sequences have no gaps from 0 on. Documents go in bands of lengths, the longest first. Those over
+    half the capacity open a sequence each. In a round of a lower band its documents and the gaps that can take one are sorted by
+    size into ranges, so a hot length is spread over several. Each range is swept in descending order: a document takes
+    its successor, the smallest gap that is free and long enough. What a range can't match is ranked, and meets
+    the leftovers of the ranges of larger sizes, the nearest first, by these ranks; only the counts of the ranges go over the
+    driver. A gap that can take several of any length in the band has as many places. Gaps are updated and rounds
+    repeated until all documents are placed or no gap takes one; those open new sequences, as many in each as any of the
+    band fit. An empty table gives an empty table.
     """
     spark = pieces.sparkSession
-    by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
-    rules = spark.createDataFrame(best_fit_runs(counts, capacity), "length long, low long, high long, first long, used long, fit long")
-    ranked = pieces.join(bases, ["length", "task"]).withColumn("rank", F.col("base") + F.col("place"))
-    r = F.broadcast(rules.withColumnRenamed("length", "size"))  # bounded by the square of the number of lengths, whatever the rows
-    placed = ranked.join(r, (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    nth = F.col("rank") - F.col("low")
-    return placed.select(
-        "doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32",
-        (F.col("first") + F.floor(nth / F.col("fit"))).cast("long").alias("sequence_id"),
-        (F.col("used") + (nth % F.col("fit")) * F.col("length")).cast("long").alias("offset"),
-    )
+    placed_path = new_path(spark, "placed")
+    tops = [hi for _, hi in bands(capacity)]
+    band = F.lit(0)
+    for i, hi in enumerate(tops):
+        band = F.when(F.col("length") <= hi, F.lit(i)).otherwise(band)
+    alone = F.col("length") > capacity // 2
+    first = pieces.filter(alone)
+    first.select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).write.parquet(placed_path)
+    short = written(pieces.filter(~alone).select("row", "length", band.alias("band")), "short")
+    gaps = first.filter(F.col("length") < capacity).select(F.col("row").alias("sequence_id"), (F.lit(capacity) - F.col("length")).cast("long").alias("gap"))
+    todo = {r["band"]: r["n"] for r in short.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row a band
+    least = [lo for lo, _ in bands(capacity)]
+    free = gaps.count() if todo else 0
+    for i in sorted(todo):
+        low, top, n = least[i], tops[i], todo[i]
+        documents = short.filter(F.col("band") == i).select("row", "length")
+        while n:
+            usable = gaps.filter(F.col("gap") > low)
+            slots = usable.withColumn("slot", F.explode(F.sequence(F.lit(1), F.greatest(F.floor(F.col("gap") / top), F.lit(1)).cast("long"))))
+            zero = F.lit(0).cast("long")
+            events = slots.select(F.col("gap").alias("size"), zero.alias("row"), zero.alias("length"), "sequence_id", "gap", "slot").unionByName(
+                documents.select(F.col("length").alias("size"), "row", "length", zero.alias("sequence_id"), zero.alias("gap"), zero.alias("slot"))
+            )
+            # gaps come before documents of their size; the hash parts rows of one size
+            order = [F.desc("size"), F.asc("length"), F.xxhash64("row", "sequence_id", "slot")]
+            swept = written(events.repartitionByRange(max(1, (n + free) // ROWS_A_TASK), *order).sortWithinPartitions(*order).mapInPandas(_sweep, SWEPT), "swept")
+            kinds = swept.groupBy("part").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("match", "document", "gap")]).collect()  # a row a range
+            met, left = _across([(r["part"], r["document"], r["gap"]) for r in kinds])
+            matches = swept.filter("kind = 'match'").select("row", "length", "sequence_id", "gap", "slot")
+            waiting = swept.filter("kind = 'document'").select("part", "rank", "row", "length")
+            if met:
+                ways = spark.createDataFrame(met, "part long, low long, high long, to long, sum long")  # two a range at most
+                sent = waiting.join(F.broadcast(ways), "part").filter("rank >= low AND rank < high").select("row", "length", F.col("to").alias("part"), (F.col("sum") - F.col("rank")).alias("rank"))
+                rest = swept.filter("kind = 'gap'").select("part", "rank", "sequence_id", "gap", "slot")
+                matches = matches.unionByName(sent.join(rest, ["part", "rank"]).select("row", "length", "sequence_id", "gap", "slot"))
+            found = sum(r["match"] for r in kinds) + sum(high - first for _, first, high, _, _ in met)
+            unmatched = spark.createDataFrame(left, "part long, first long, before long")
+            waiting = waiting.join(F.broadcast(unmatched), "part").filter("rank >= first").select("row", "length", (F.col("before") + F.col("rank") - F.col("first")).alias("rank"))
+            if found:
+                in_order = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+                matches = written(matches.withColumn("offset", F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(in_order), zero)), "matches")
+                taken = matches.groupBy("sequence_id").agg(F.sum("length").alias("taken"))
+                gaps = gaps.join(taken, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("taken", zero)).alias("gap")).filter("gap > 0")
+            else:  # no gap takes one: open sequences
+                rank = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+                opened = waiting.withColumn("sequence_id", F.lit((i + 1) << _BAND) + F.floor(F.col("rank") / (capacity // top)).cast("long"))
+                matches = written(opened.withColumn("offset", F.coalesce(F.sum("length").over(rank), zero)), "matches")
+                gaps = gaps.unionByName(matches.groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("gap"))).filter("gap > 0")
+                found = n
+            matches.select("row", "sequence_id", "offset").write.mode("append").parquet(placed_path)
+            gaps = written(gaps, "gaps")
+            n -= found
+            documents = waiting.select("row", "length")
+            free = gaps.count()
+    placed = spark.read.schema("row long, sequence_id long, offset long").parquet(placed_path)
+    return pieces.join(placed, "row").select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Each training-data operator against brute force on small fixtures, with the hard cases of each."""
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -18,7 +19,7 @@ from gridproof.llm.fingerprints import fingerprint_edits
 from gridproof.llm.html_text import extract, extract_main_text
 from gridproof.llm.language_id import has_letter, predict, train
 from gridproof.llm.mixing import mix
-from gridproof.llm.packing import best_fit_runs, pack_documents
+from gridproof.llm.packing import PIECES, _across, bands, pack, pack_documents
 from gridproof.llm.quality import quality
 from gridproof.llm.simhash import near_duplicates, simhash
 from gridproof.llm.suffix_dedup import remove_repeats, repeated_spans
@@ -273,10 +274,40 @@ def test_packing(spark, docs, texts):
     assert len(seqs) == len(gaps)
 
 
-def test_packing_runs_stay_few():
-    counts = {n: 10**9 + n for n in range(1, 1025)}
-    assert len(best_fit_runs(counts, 1024)) < 10_000
-    assert best_fit_runs({}, 1024) == []
+def best_fit_decreasing(lengths, capacity):
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(i) if i < len(gaps) else capacity
+        bisect.insort(gaps, gap - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize("kind", ["even", "short", "hot", "halves"])
+def test_packing_needs_no_more_than_best_fit(spark, monkeypatch, kind):
+    monkeypatch.setattr("gridproof.llm.packing.ROWS_A_TASK", 500)  # several ranges, so that leftovers meet across them
+    rng = np.random.default_rng(3)
+    lengths = {"even": rng.integers(1, 1025, 4000), "short": rng.integers(1, 90, 4000), "hot": np.where(rng.random(4000) < 0.4, 300, rng.integers(1, 1025, 4000)), "halves": rng.integers(300, 513, 3000)}[kind]
+    rows = [(i, 0, 0, int(n), 0, i) for i, n in enumerate(lengths)]
+    got = pack(spark.createDataFrame(rows, PIECES).repartition(3)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(lengths)))
+    seqs = {}
+    for r in got:
+        assert r.length == lengths[r.doc_id]
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in seqs.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(n for _, n in s[:i]) for i in range(len(s))] and sum(n for _, n in s) <= 1024
+    fewest = max(-(-int(lengths.sum()) // 1024), int((lengths > 512).sum()))
+    print(kind, len(seqs), best_fit_decreasing(lengths.tolist(), 1024), fewest)
+    assert len(seqs) <= max(best_fit_decreasing(lengths.tolist(), 1024) * 1.001, fewest + 1)
+
+
+def test_leftovers_of_ranges_meet_the_nearest():
+    met, left = _across([(0, 1, 3), (1, 2, 1), (2, 4, 0)])
+    assert left == [(0, 0, 0), (2, 2, 1)]
+    assert met == [(1, 0, 2, 0, 2), (2, 0, 1, 1, 0), (2, 1, 2, 0, 1)]
+    assert bands(1024)[:3] == [(512, 1024), (341, 512), (256, 341)] and bands(1024)[-1] == (0, 1) and bands(1) == [(0, 1)]
 
 
 def test_packing_odd_and_empty(odd, empty):
