@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SOURCES_BROADCAST = 100_000
+from ._shared import written
+
+BROADCAST_NUMBERS = 2_000_000  # of all cumulative arrays together, 8 bytes each
+DEVIATIONS = 12  # of the mean to both sides, and TAIL more; beyond lies less than any u can tell
+TAIL = 30
 
 
 def _uniform(*parts) -> F.Column:
@@ -16,25 +22,24 @@ def _uniform(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_count(u: F.Column, rate: F.Column, most: int) -> F.Column:
-    """The smallest k with u < P(N <= k) for a Poisson number N of this mean; `most` bounds k far beyond any u."""
-    start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"))
-
-    def step(a, _):
-        over = u >= a["cdf"]
-        p = F.when(over, a["p"] * rate / (a["k"] + 1)).otherwise(a["p"])
-        return F.struct(F.when(over, a["k"] + 1).otherwise(a["k"]).alias("k"), p.alias("p"), F.when(over, a["cdf"] + p).otherwise(a["cdf"]).alias("cdf"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda a: a["k"])
+def cumulative(rate: float) -> tuple[int, np.ndarray]:
+    """(low, P(N <= low), P(N <= low + 1), ...) of a Poisson number N with this mean, over all places that count; from logarithms, so that no rate underflows."""
+    if not rate > 0:
+        return 0, np.ones(1)
+    reach = DEVIATIONS * math.sqrt(rate) + TAIL
+    low, high = max(0, math.floor(rate - reach)), math.ceil(rate + reach)
+    first = low * math.log(rate / low) + low - rate - (0.5 * math.log(2 * math.pi * low) + 1 / (12 * low) - 1 / (360 * low**3)) if low else -rate
+    log_p = first + np.cumsum(np.log(rate / np.arange(low + 1, high + 1)))
+    return low, np.cumsum(np.exp(np.append(first, log_p)))
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.7, total: float = 1.0, source_col: str = "source") -> DataFrame:
-    """source, rate: the mean number of copies that brings each source to its share of total x rows documents.
+    """mix_source, mix_rate, mix_low, mix_cdf: the mean number of copies that brings each source to its share of total x rows documents, and its cumulative distribution.
 
     Without weights the shares go as rows ** exponent. Sources without a weight, or with weight 0, get rate 0. A null
     source is a source of its own (weights then name it None).
     """
-    sizes = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.count("*").alias("mix_rows"))
+    sizes = written(docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.count("*").alias("mix_rows")), "sources")
     if weights is None:
         w = F.pow(F.col("mix_rows").cast("double"), F.lit(float(exponent)))
     else:
@@ -42,29 +47,37 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, expon
         for k, v in weights.items():
             w = F.when(F.col("mix_source").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(w)
     weighed = sizes.withColumn("mix_weight", w)
-    sums = weighed.agg(F.sum("mix_weight").alias("w"), F.sum("mix_rows").alias("n"), F.max(F.col("mix_weight") / F.col("mix_rows")).alias("most"), F.count("*").alias("sources")).first()
+    sums = weighed.agg(F.sum("mix_weight").alias("w"), F.sum("mix_rows").alias("n")).first()
     scale = total * (sums["n"] or 0) / sums["w"] if sums["w"] else 0.0
+
+    @F.pandas_udf("low long, cdf array<double>")
+    def distribution(rate: pd.Series) -> pd.DataFrame:  # one row a source
+        return pd.DataFrame([cumulative(r) for r in rate], columns=["low", "cdf"])
+
     rates = weighed.select("mix_source", (F.col("mix_weight") * F.lit(scale) / F.col("mix_rows")).alias("mix_rate"))
-    return F.broadcast(rates) if sums["sources"] <= SOURCES_BROADCAST else rates
+    rates = written(rates.withColumn("d", distribution("mix_rate")).select("mix_source", "mix_rate", F.col("d.low").alias("mix_low"), F.col("d.cdf").alias("mix_cdf")), "rates")
+    numbers = rates.agg(F.sum(F.size("mix_cdf") + 8)).first()[0] or 0
+    return F.broadcast(rates) if numbers <= BROADCAST_NUMBERS else rates
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.7, total: float = 1.0, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.7, total: float = 1.0, seed: str = "mix", partitions: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """Copies of the rows of docs (all columns), with copy (from 0) and mix_key; rows are dealt in the order of mix_key.
 
     Each row has a number u hashed from seed and id; its copies are the inverse of the Poisson distribution with its
-    source's rate at u. So a row with rate 0.4 is often left out and one with rate 3 comes about three times. The result
-    is shuffled globally: range partitions of a second hash. Null ids hash as one id; repeated rows share u and so
+    source's rate at u: the least k with u < P(N <= k). So a row with rate 0.4 is often left out and one with rate 3 comes about three times. The result
+    is shuffled globally: mix_key is a second hash, even over its range, and each partition (by default as many as
+    spark.sql.shuffle.partitions) takes an equal part of the range, sorted. Null ids hash as one id; repeated rows share u and so
     their number of copies. Null and long texts pass unchanged. An empty table gives an empty table. Columns named
-    copy or mix_key in docs are replaced. The rates are broadcast up to SOURCES_BROADCAST sources and joined beyond.
+    copy or mix_key in docs are replaced. Rates and distributions are broadcast up to BROADCAST_NUMBERS numbers and joined beyond.
     """
+    spark = docs.sparkSession
     rates = source_rates(docs, weights, exponent, total, source_col)
-    rows = docs.drop("copy", "mix_key", "mix_source", "mix_rate")
+    rows = docs.drop("copy", "mix_key", *rates.columns)
     with_rate = rows.join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    n = poisson_count(_uniform(F.lit(seed), F.col(id_col)), F.col("mix_rate"), _most(rates))
+    u = F.transform(F.array(_uniform(F.lit(seed), F.col(id_col))), lambda x: F.size(F.filter("mix_cdf", lambda c: c <= x)))  # so hashed once a row
+    n = (F.col("mix_low") + F.element_at(u, 1)).cast("int")
     copies = with_rate.withColumn("mix_n", n).filter("mix_n > 0").withColumn("copy", F.explode(F.expr("sequence(0, mix_n - 1)")))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col("copy").cast("string"))))
-    return keyed.repartitionByRange("mix_key").sortWithinPartitions("mix_key").select(*rows.columns, "copy", "mix_key")
-
-
-def _most(rates: DataFrame) -> int:
-    return math.ceil((top := rates.agg(F.max("mix_rate")).first()[0] or 0.0) + 12 * math.sqrt(top) + 30)
+    keyed = copies.select(*rows.columns, "copy", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.col("copy").cast("string"))).alias("mix_key"))
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * parts).cast("int")
+    return keyed.repartitionById(parts, place).sortWithinPartitions("mix_key")

@@ -52,7 +52,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,13 +74,13 @@ ORACLE_SQL = {
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.7) AS w FROM documents GROUP BY source),
 rates AS (SELECT source, w * ((SELECT sum(n) FROM sizes)::DOUBLE / (SELECT sum(w) FROM sizes)) / n AS rate FROM sizes),
 cdf AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+  SELECT source, rate, 0 AS k, -rate AS log_p, exp(-rate) AS c FROM rates
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < 100
+  SELECT source, rate, k + 1, log_p + ln(rate / (k + 1)), c + exp(log_p + ln(rate / (k + 1))) FROM cdf WHERE k < rate + 12 * sqrt(rate) + 30
 ),
-drawn AS (SELECT doc_id, source, ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '-')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents),
-counts AS (SELECT d.doc_id, d.source, count(*) AS n FROM drawn d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND d.u >= cdf.c GROUP BY d.doc_id, d.source)
-SELECT doc_id, source, copy::INTEGER AS copy, md5('mix|' || coalesce(doc_id::VARCHAR, '-') || '|' || copy) AS mix_key
-FROM (SELECT doc_id, source, unnest(range(0, n)) AS copy FROM counts)
+drawn AS (SELECT row_number() OVER () AS row, *, ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '-')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM documents),
+counts AS (SELECT d.row, count(*) AS n FROM drawn d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND d.u >= cdf.c GROUP BY d.row),
+copies AS (SELECT row, unnest(range(0, n)) AS copy FROM counts)
+SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, md5('mix|' || coalesce(doc_id::VARCHAR, '-') || '|' || copy) AS mix_key FROM copies JOIN drawn USING (row)
 """,
 }

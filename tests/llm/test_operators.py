@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -18,7 +19,7 @@ from gridproof.llm.components import connected_components
 from gridproof.llm.fingerprints import fingerprint_edits
 from gridproof.llm.html_text import extract, extract_main_text
 from gridproof.llm.language_id import has_letter, predict, train
-from gridproof.llm.mixing import mix
+from gridproof.llm.mixing import cumulative, mix
 from gridproof.llm.packing import PIECES, _across, bands, pack, pack_documents
 from gridproof.llm.quality import quality
 from gridproof.llm.simhash import near_duplicates, simhash
@@ -346,6 +347,32 @@ def test_mixing(spark, odd, empty):
     assert mix(empty).count() == 0 and set(mix(odd, total=20.0).select("doc_id").distinct().toPandas()["doc_id"].dropna()) <= {7, 9}
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.1, 5.0, 745.0, 800.0, 2000.0, 3e5])
+def test_poisson_rates(rate):
+    low, cdf = cumulative(rate)
+    p = np.diff(cdf, prepend=0.0)
+    k = low + np.arange(len(p))
+    mean = (p * k).sum()
+    assert abs(cdf[-1] - 1) < 1e-8 and abs(mean - rate) <= 1e-7 * max(1, rate) and abs((p * (k - mean) ** 2).sum() - rate) <= 1e-5 * max(1, rate)
+    for x in (k[p.argmax()], max(0, int(rate) - 3)) if rate else ():
+        assert math.isclose(p[x - low], math.exp(x * math.log(rate) - rate - math.lgamma(x + 1)), rel_tol=1e-6)
+
+
+@pytest.mark.parametrize("rate", [0.1, 5.0, 800.0, 2000.0])
+def test_copies_by_rate(spark, rate):
+    n = 4000 if rate < 10 else 60
+    docs = spark.range(n).selectExpr("id AS doc_id", "'s' AS source").unionByName(spark.range(5).selectExpr("-1 - id AS doc_id", "'none' AS source"))
+    got = mix(docs, {"s": 1.0}, total=rate * n / (n + 5)).groupBy("doc_id").count().collect()
+    counts = np.zeros(n)
+    counts[[r.doc_id for r in got]] = [r["count"] for r in got]  # those of the other source would fail
+    assert abs(counts.mean() - rate) < 5 * math.sqrt(rate / n) and (n < 100 or abs(counts.var() / rate - 1) < 0.3)
+
+
+def test_mixing_is_in_the_order_of_its_key(spark):
+    got = mix(spark.range(3000).selectExpr("id AS doc_id", "'s' AS source"), partitions=7).select(F.spark_partition_id().alias("p"), "mix_key").collect()
+    assert [r.mix_key for r in got] == sorted(r.mix_key for r in got) and len({r.p for r in got}) == 7
+
+
 # 8
 def test_quality(spark, docs, texts):
     got = {r.doc_id: r for r in quality(docs).collect()}
