@@ -17,6 +17,10 @@ BLOCKS = frozenset(
 )
 #: Elements whose content is never main text.
 SKIPPED = frozenset("script style noscript template svg canvas iframe object select textarea button head title nav header footer aside form menu dialog".split())
+#: Of these, those whose content is markup or code: it is never text, wherever it stands.
+RAW = frozenset("script style noscript template svg canvas iframe object select textarea button head title".split())
+#: Elements that head may hold; any other one ends an open head.
+HEAD = frozenset("base link meta noscript script style template title head".split())
 #: Words in class, id or role that mark what isn't the article.
 CHROME = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|newsletter|popup|modal|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|"
@@ -31,6 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SIGMA = 1.0
 MOST_RATIO = 40.0  # a line with this many characters a tag is text, however long others are
 APART = 4.0  # clusters of ratios nearer than this factor are one
+READINGS = 4  # more of a page, when it seemed to have no body
 GAP = 2  # lines that are mostly unlinked between content lines, and stay
 
 
@@ -45,37 +50,56 @@ def _chrome(value: str) -> bool:
 
 
 class _Events(HTMLParser):
-    """Blocks of a page as (text, tags, linked characters, in article) in page order."""
+    """Blocks of a page as (text, tags, linked characters, in article) in page order.
+
+    A skipped element may turn out to be all that the page has, because a form encloses it, an end tag is missing or a class misleads. So
+    what lies in the outermost skipped elements (but for RAW ones) is weighed, by their numbers, and a second reading can keep some of them.
+    """
 
     def __init__(self, kept: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
-        self.kept = kept  # numbers of elements that are not skipped by class
+        self.kept = kept  # numbers of elements that are not skipped
         self.count = 0
-        self.around: set[int] = set()  # numbers of elements skipped by class around an article
-        self.by_class: list[int] = []
+        self.around: set[int] = set()  # numbers of skipped elements around an article
+        self.weight: dict[int, list[int]] = {}  # by outermost skipped element: unlinked characters, paragraphs, whether its tag marks it
+        self.soft: list[int] = []
         self.blocks: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
-        self.open: list[tuple[str, bool, bool]] = []  # element, whether it is skipped, and by class
+        self.open: list[tuple[str, bool, bool]] = []  # element, whether it is skipped, and that softly
         self.skipping = self.anchors = self.articles = 0
 
+    def parse_html_declaration(self, i):  # a marked section is a comment to its first >, and what doesn't end goes on to the page's end
+        end = self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+        return end if end >= 0 else len(self.rawdata)
+
     def close_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text or self.tags:
             self.blocks.append((text, self.tags, self.linked, self.articles > 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
+    def end_head(self) -> None:
+        for i, (tag, _, _) in enumerate(self.open):
+            if tag == "head":
+                self._pop(i)
+                break
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self.end_head()
         if tag in BLOCKS and not self.skipping:
             self.close_block()
         self.tags += not self.skipping
         if tag in VOID:
             return
         self.count += 1
-        skip = tag in SKIPPED and not (tag == "header" and self.articles)
-        named = not skip and tag not in HOLDERS and self.count not in self.kept and any(k in ("class", "id", "role") and v and _chrome(v) for k, v in attrs)
-        if tag in ("article", "main") and len(self.by_class) == self.skipping:
-            self.around.update(self.by_class)
+        raw = tag in RAW
+        marked = tag in SKIPPED and not raw and not (tag == "header" and self.articles)
+        named = tag not in SKIPPED and tag not in HOLDERS and any(k in ("class", "id", "role") and v and _chrome(v) for k, v in attrs)
+        soft = (marked or named) and self.count not in self.kept
+        if tag in ("article", "main") and len(self.soft) == self.skipping:
+            self.around.update(self.soft)
         if tag == "p":  # a new paragraph ends an open one
             for i in range(len(self.open) - 1, -1, -1):
                 if self.open[i][0] == "p":
@@ -83,18 +107,21 @@ class _Events(HTMLParser):
                     break
                 if self.open[i][0] in BLOCKS:
                     break
-        skip = skip or named
-        self.open.append((tag, skip, named))
-        self.by_class += [self.count] * named
-        self.skipping += skip
+            if self.soft:
+                self.weight[self.soft[0]][1] += 1
+        if soft and not self.skipping:
+            self.weight[self.count] = [0, 0, marked]
+        self.open.append((tag, raw or soft, soft))
+        self.soft += [self.count] * soft
+        self.skipping += raw or soft
         self.anchors += tag == "a"
         self.articles += tag in ("article", "main")
 
     def _pop(self, i: int) -> None:
-        for tag, skip, named in self.open[i:]:
+        for tag, skip, soft in self.open[i:]:
             self.skipping -= skip
-            if named:
-                self.by_class.pop()
+            if soft:
+                self.soft.pop()
             self.anchors -= tag == "a"
             self.articles -= tag in ("article", "main")
         del self.open[i:]
@@ -109,10 +136,27 @@ class _Events(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.end_head()
         if not self.skipping:
             self.parts.append(data)
             if self.anchors:
                 self.linked += len(data)
+        elif self.soft and len(self.soft) == self.skipping and not self.anchors and self.soft[0] in self.weight:
+            self.weight[self.soft[0]][0] += len(data.strip())
+
+    def hidden(self) -> set[int]:
+        """Skipped elements that must be the page's body: around its only article, all it has, or tags with most of its paragraphs."""
+        if any(b[0] and b[3] for b in self.blocks):
+            return set()
+        if self.around:
+            return self.around
+        plain = sum(len(t) - linked for t, _, linked, _ in self.blocks)
+        most = max(self.weight, key=lambda k: self.weight[k][0], default=None)
+        if most is None or not self.weight[most][0]:
+            return set()
+        size, paragraphs, marked = self.weight[most]
+        return {most} if not any(b[0] for b in self.blocks) or marked and paragraphs > 2 and size > 4 * plain else set()
 
 
 def _parsed(html: str, kept: frozenset[int] = frozenset()) -> _Events:
@@ -126,7 +170,7 @@ def _parsed(html: str, kept: frozenset[int] = frozenset()) -> _Events:
 def extract(html: str | None) -> str:
     """Main text of one page.
 
-    Events become lines, one a block. A line's ratio is its unlinked characters over its tags (1 at least), taken up to
+    Events become lines, one a block. A line's ratio is its characters (unlinked ones, but inside an article all) over its tags (1 at least), taken up to
     MOST_RATIO and as a logarithm, so that long lines don't outweigh ordinary ones. Ratios are smoothed with a Gaussian over neighbouring
     lines and parted into two clusters; the high one is content, or all if the two are near each other. Short lines
     that are mostly unlinked and lie between lines of the content stay too. On a page that marks its article this is done for the lines inside it, and
@@ -134,17 +178,21 @@ def extract(html: str | None) -> str:
     """
     if not html:
         return ""
-    events = _parsed(html)
-    if events.around and not any(b[3] for b in events.blocks):  # the page's only article lies in what its class would skip
-        events = _parsed(html, frozenset(events.around))
+    events, kept = _parsed(html), frozenset()
+    for _ in range(READINGS):
+        if not (hidden := events.hidden()):
+            break
+        kept |= hidden
+        events = _parsed(html, kept)
     lines = [b for b in events.blocks if b[0]]
     if not lines:
         return ""
     marked = any(b[3] for b in lines)
     if marked:
         lines = [b for b in lines if b[3]]
+    size = np.array([len(t) for t, _, _, _ in lines], float)
     plain = np.array([max(0, len(t) - linked) for t, _, linked, _ in lines], float)
-    ratio = np.log1p(np.minimum(plain / np.maximum(1, [tags for _, tags, _, _ in lines]), MOST_RATIO))
+    ratio = np.log1p(np.minimum((size if marked else plain) / np.maximum(1, [tags for _, tags, _, _ in lines]), MOST_RATIO))
     reach = int(3 * SIGMA)
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     weight = np.convolve(np.ones(len(ratio)), kernel)[reach:-reach]
@@ -161,7 +209,7 @@ def extract(html: str | None) -> str:
         chosen = smooth >= cut
     else:
         chosen = smooth > 0 if marked else np.ones(len(lines), bool)
-    text = plain * 2 > [len(b[0]) for b in lines]
+    text = plain * 2 > size
     at = np.flatnonzero(chosen)
     for i, j in zip([-1, *at], [*at, len(lines)]):  # the lines between two of the content, and in an article those before and after it
         between = slice(i + 1, j)

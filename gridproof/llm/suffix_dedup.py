@@ -35,7 +35,7 @@ LENGTH = 50
 GRAM = 16
 BLOCK_BYTES = 4 << 20
 PART_BYTES = 4 << 20
-FAN = 1024
+FAN = 4096
 HOT = 8192
 PIECE = 1 << 18
 RUN = 64

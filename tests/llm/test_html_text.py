@@ -1,5 +1,10 @@
 """Classes that mention chrome without being it, and pages of uneven paragraphs."""
 
+import html
+import re
+
+import hypothesis
+import hypothesis.strategies as st
 import pytest
 
 from gridproof.llm.html_text import extract
@@ -33,3 +38,50 @@ def test_uneven_paragraphs_stay_and_link_lines_go(sizes, tag):
 
 def test_short_lines_at_the_head_of_an_article_stay():
     assert extract(f"<article><h1>A.</h1><p>B.</p><p><b>C</b> d.</p><p>{TEXT * 9}</p></article>") == f"A.\n\nB.\n\nC d.\n\n{TEXT * 9}"
+
+
+PARAGRAPHS = [f"{TEXT} It goes on as number {i}." for i in range(6)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+MENU = "<ul>" + "".join(f"<li><a href=/{i}>Menu {i}</a></li>" for i in range(7)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta charset=utf-8><body>{BODY}",
+        f"<title>T</title><link rel=x href=y>{BODY}",
+        f"<html><head><title>T</title>{BODY}",
+        f"<html><head><script>var a;</script><div>{BODY}</div>",
+        f"<body class='page right-sidebar'>{BODY}</body>",
+        f"<main><div class='content side'>{BODY}</div></main>",
+        f"<main><div class='side'>{BODY}</div></main>",
+        f"<body><form id=aspnetForm><input type=hidden>{BODY}<button>Send</button></form></body>",
+        f"<body><form><nav>{MENU}</nav>{BODY}<aside>Aside.</aside></form></body>",
+        f"<body><form>{MENU}<article>{BODY}</article></form></body>",
+        f"<body><nav>{MENU}{BODY}</body>",
+        f"<body><nav>{MENU}<article>{BODY}</article></body>",
+        f"<body><![foo[bar]]>{BODY}</body>",
+        f"<body>{BODY}<![",
+        f"<body>{BODY}<![CDATA[x]]>",
+        f"<body>{BODY}<!x <!--",
+        "<body><article>" + "".join(f"<p><a href=/x>{p}</a></p>" for p in PARAGRAPHS) + "</article></body>",
+        f"<body><article>{MENU}" + "".join(f"<p>{p[:40]}<a href=/x>{p[40:]}</a></p>" for p in PARAGRAPHS) + f"{MENU}</article></body>",
+        f"<body><form><p>Your name</p><input></form>{BODY}<div class=comments>{BODY * 9}</div></body>",
+        f"<body><article>{BODY}</article><form>{BODY * 9}</form></body>",
+    ],
+)
+def test_ordinary_pages_give_their_paragraphs(page):
+    assert extract(page) == "\n\n".join(PARAGRAPHS)
+
+
+@hypothesis.given(st.lists(st.sampled_from(["<", "</", "<!", "<![", "<!--", "-->", "]]>", ">", "<p>", "</p>", "<a href='", "&#", "&amp", "<body>", "<form>", "</nav>", "<head>", "<script>", "</script>", "<?", "x y", "\"", "=", "\0", "CDATA["]), max_size=30))
+@hypothesis.settings(max_examples=800, deadline=None)
+def test_malformed_markup_never_raises(parts):
+    assert isinstance(extract("".join(parts)), str)
+
+
+def test_pages_against_exact_text(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        inside = re.sub(r"(?s)<!--.*?-->", "", r.html[r.html.index("<article>") + 9 : r.html.index("</article>")])
+        blocks = [" ".join(html.unescape(re.sub("<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1|h2|div|ul|li|br)\b[^>]*>", inside)]
+        assert extract(r.html) == "\n\n".join(b for b in blocks if b), r.page_id

@@ -133,12 +133,12 @@ def brute_repeats(texts, n=50):
     return out
 
 
-def split_finely(monkeypatch, block=4 << 20, fan=1024, hot=8192, piece=1 << 18):
+def split_finely(monkeypatch, block=4 << 20, fan=4096, hot=8192, piece=1 << 18):
     for name, value in (("BLOCK_BYTES", block), ("PART_BYTES", block), ("FAN", fan), ("HOT", hot), ("PIECE", piece)):
         monkeypatch.setattr(f"gridproof.llm.suffix_dedup.{name}", value)
 
 
-@pytest.mark.parametrize("sizes", [(4 << 20,), (20_000,), (20_000, 2), (40_000, 1024, 2), (20_000, 3, 3, 700)], ids=["one block", "blocks", "two levels", "hot keys", "all"])
+@pytest.mark.parametrize("sizes", [(4 << 20,), (20_000,), (20_000, 2), (40_000, 4096, 2), (20_000, 3, 3, 700)], ids=["one block", "blocks", "two levels", "hot keys", "all"])
 def test_repeats(spark, docs, texts, monkeypatch, sizes):
     split_finely(monkeypatch, *sizes)
     want = brute_repeats(texts)
@@ -147,7 +147,7 @@ def test_repeats(spark, docs, texts, monkeypatch, sizes):
 
 
 def test_a_frequent_phrase_in_varied_context(spark, monkeypatch):
-    split_finely(monkeypatch, 4000, 1024, 20)
+    split_finely(monkeypatch, 4000, 4096, 20)
     phrase = "this very phrase stands everywhere"  # under 50 bytes: nothing that goes
     data = {i: " ".join([words(12, i), phrase, words(12, 1000 + i)]) for i in range(120)}
     data |= {200 + i: " ".join([words(5, 500 + i), data[i][40:140], words(5, 700 + i)]) for i in range(0, 120, 7)}
@@ -165,7 +165,7 @@ def test_messages_grow_with_the_input_not_with_the_parts():
         plan = suffix_dedup._Plan(parts * suffix_dedup.PART_BYTES)
         rows[parts] = sum(1 for _ in suffix_dedup._dealt(plan.bucket(keys), [keys]))
         assert plan.buckets * plan.deep >= parts and len(list(suffix_dedup._dealt(plan.parts(keys & np.uint64(0xFFFFFFFF)), [keys]))) <= suffix_dedup.FAN
-    assert rows == {100: 100, 1000: 1000, 10_000: 1024, 1_000_000: 1024}
+    assert rows == {100: 100, 1000: 1000, 10_000: 4096, 1_000_000: 4096}
 
 
 def test_repeats_odd_and_empty(spark, odd, empty):
