@@ -1,8 +1,9 @@
 """Token-id output: raw binary shards of ids, and a minimal perfect hash index from document keys to shard offsets.
 
 Files under one folder: shards/*.bin (16 bytes of header: magic, item size; then ids, little-endian), locations/
-(Parquet, one row a document, in shard order), shard_list/ (Parquet: shard, file, ids, base) and index/ (Parquet, one
-row a bucket of keys: the levels of the hash, and for each slot a fingerprint, shard, offset and length).
+(Parquet, one row a document, in shard order), shard_list/ (Parquet: shard, file, ids, base), header/ (Parquet, one row: the number
+of buckets) and index/ (Parquet, in a folder for each BUCKETS_A_PART buckets, one row a bucket of keys: the levels of the hash, and for each
+slot a fingerprint, shard, offset and length). The bucket of a key is known from the key, so a lookup reads one row of one folder.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ._tokens import encoder
 MAGIC = b"TOKENIDS"
 HEADER = 16
 BUCKET_KEYS = 4096
+BUCKETS_A_PART = 256
+INDEX = "bucket long, sizes binary, bits binary, rest binary, prints binary, shard binary, offset binary, n_ids binary, twins binary, part long"
 GAMMA = 2.0
 LEVELS = 24
 _NULL_KEY = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +96,27 @@ def mph_slots(h: np.ndarray, sizes: list[int], bits: np.ndarray, rest: np.ndarra
     return slot
 
 
+def _find(keys: pd.DataFrame, row) -> pd.DataFrame:
+    """doc_id, copy, shard, offset, n_ids of the keys that a bucket's row has; others drop out by their fingerprints."""
+    h = key_hash(keys["doc_id"], keys["copy"])
+    sizes = np.frombuffer(row["sizes"], "<i8").tolist()
+    bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(sizes)].astype(bool)
+    slot = mph_slots(h, sizes, bits, np.frombuffer(row["rest"], "<u8"))
+    prints = np.frombuffer(row["prints"], "<u4")
+    at = np.minimum(np.maximum(slot, 0), max(0, len(prints) - 1))
+    ok = (slot >= 0) & (prints[at] == (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)) if len(prints) else np.zeros(len(h), bool)
+    places = np.stack([np.frombuffer(row[c], "<i8")[slot[ok]] for c in ("shard", "offset", "n_ids")], 1)
+    found = keys.loc[ok, ["doc_id", "copy"]]
+    twins = np.frombuffer(row["twins"], "<i8").reshape(-1, 6)
+    if len(twins):  # keys of one hash are stored as they are
+        known = {(None if t[0] else t[1], t[2]): t[3:] for t in twins.tolist()}
+        also = [known.get((None if pd.isna(k) else int(k), int(c))) for k, c in zip(keys["doc_id"], keys["copy"])]
+        more = np.array([x is not None for x in also], bool)
+        places = np.concatenate([places, np.array([x for x in also if x is not None], np.int64).reshape(-1, 3)])
+        found = pd.concat([found, keys.loc[more, ["doc_id", "copy"]]])
+    return found.assign(shard=places[:, 0], offset=places[:, 1], n_ids=places[:, 2])
+
+
 class TokenStore:
     """Shards and index in a folder that all executors reach."""
 
@@ -100,11 +124,11 @@ class TokenStore:
         self.spark, self.path = spark, path
         self.locations = spark.read.parquet(f"{path}/locations")
         self.shards = spark.read.parquet(f"{path}/shard_list")
-        self.index = spark.read.parquet(f"{path}/index")
-        self.buckets = int(self.index.agg(F.max("buckets")).first()[0] or 1)
+        self.index = spark.read.schema(INDEX).parquet(f"{path}/index")
+        self.buckets = int(spark.read.parquet(f"{path}/header").first()["buckets"])
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """doc_id, copy, shard, offset, n_ids of the given (doc_id, copy); keys that are not indexed drop out by fingerprint."""
+        """doc_id, copy, shard, offset, n_ids of the given (doc_id, copy), a large set; keys that are not indexed drop out by fingerprint."""
         n = self.buckets
 
         def bucketed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,19 +139,22 @@ class TokenStore:
         def find(keys: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
             if not len(rows) or not len(keys):
                 return pd.DataFrame({"doc_id": [], "copy": [], "shard": [], "offset": [], "n_ids": []})
-            r, h = rows.iloc[0], key_hash(keys["doc_id"], keys["copy"])
-            sizes = np.frombuffer(r["sizes"], "<i8").tolist()
-            bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: sum(sizes)].astype(bool)
-            slot = mph_slots(h, sizes, bits, np.frombuffer(r["rest"], "<u8"))
-            prints = np.frombuffer(r["prints"], "<u4")
-            ok = (slot >= 0) & (prints[np.maximum(slot, 0)] == (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-            slot = slot[ok]
-            out = keys.loc[ok, ["doc_id", "copy"]]
-            return out.assign(shard=np.frombuffer(r["shard"], "<i8")[slot], offset=np.frombuffer(r["offset"], "<i8")[slot], n_ids=np.frombuffer(r["n_ids"], "<i8")[slot])
+            return _find(keys, rows.iloc[0])
 
         keyed = keys.select("doc_id", "copy").mapInPandas(bucketed, "doc_id long, copy long, bucket long")
         return keyed.groupBy("bucket").cogroup(self.index.groupBy("bucket")).applyInPandas(find, "doc_id long, copy long, shard long, offset long, n_ids long")
 
+    def bucket_row(self, bucket: int) -> DataFrame:
+        """The index row of one bucket: its part's folder is the only one listed in the scan, and statistics lead to its row."""
+        return self.index.filter((F.col("part") == bucket // BUCKETS_A_PART) & (F.col("bucket") == bucket))
+
+    def place(self, doc_id: int | None, copy: int = 0) -> dict | None:
+        """shard, offset and n_ids of one document, from one row of the index."""
+        key = pd.DataFrame({"doc_id": pd.Series([doc_id], dtype="Int64"), "copy": [copy]})
+        row = self.bucket_row(int(_bucket(key_hash(key["doc_id"], key["copy"]), self.buckets)[0])).first()
+        found = _find(key, row) if row else ()
+        return found.iloc[0].to_dict() if len(found) else None
+
     def read(self, places: DataFrame) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32, read from the shards in the order of their offsets."""
         placed = places.join(self.shards, "shard").repartition("shard").sortWithinPartitions("shard", "offset")
@@ -156,23 +183,36 @@ class TokenStore:
 
         return placed.mapInPandas(run, "doc_id long, copy long, start long, n_tokens long, ids_crc32 long")
 
-    def get(self, doc_id: int, copy: int = 0) -> np.ndarray | None:
-        """The ids of one document: one bucket row, one hash, one ranged read."""
-        h = key_hash(pd.Series([doc_id], dtype="Int64"), pd.Series([copy]))
-        place = self.lookup(self.spark.createDataFrame([(doc_id, copy)], "doc_id long, copy long")).first() if len(h) else None
+    def get(self, doc_id: int | None, copy: int = 0) -> np.ndarray | None:
+        """The ids of one document: one index row, one hash, one ranged read."""
+        place = self.place(doc_id, copy)
         if place is None:
             return None
-        system, path = _filesystem(self.shards.filter(F.col("shard") == place["shard"]).first()["file"])
+        system, path = _filesystem(self.shards.filter(F.col("shard") == int(place["shard"])).first()["file"])
         with system.open_input_file(path) as file:
             width = file.read_at(HEADER, 0)[8]
-            return np.frombuffer(file.read_at(place["n_ids"] * width, HEADER + place["offset"] * width), f"<u{width}")
+            return np.frombuffer(file.read_at(int(place["n_ids"]) * width, HEADER + int(place["offset"]) * width), f"<u{width}")
+
+
+def _numbered(places: DataFrame) -> DataFrame:
+    """Copies numbered through: where rows of one id go on in the next shard, those of the shards before count too.
+
+    Only the first and last ids of shards can do so: at most two rows a shard.
+    """
+    edges = places.groupBy("shard").agg(F.array(F.min_by("doc_id", "offset"), F.max_by("doc_id", "offset")).alias("ids"))
+    split = edges.select("shard", F.explode(F.array_distinct("ids")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    each = places.join(F.broadcast(split), F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("id", F.col("shard").alias("in_shard")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("id").orderBy("in_shard").rowsBetween(Window.unboundedPreceding, -1)
+    base = each.select("id", "in_shard", F.sum("n").over(before).alias("base")).filter("base > 0")
+    joined = places.join(F.broadcast(base), (F.col("shard") == F.col("in_shard")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    return joined.withColumn("copy", F.col("copy") + F.coalesce("base", F.lit(0).cast("long"))).select(*places.columns)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> TokenStore:
     """Encode all documents in ascending order of their ids (nulls first), write shards and index under path.
 
     Texts are sorted by range before they are encoded, so one shuffle of the texts is all that moves. A null or empty
-    text is the end id alone. Rows with one id are numbered (copy 0, 1, ...) and all kept; a null id is a key
+    text is the end id alone. Rows with one id are numbered (copy 0, 1, ...) and all kept, over several ranges if they are many; a null id is a key
     like any other. Each attempt of a task writes a file of its own, and only files named in the committed locations
     count, so lost executors and repeated tasks do no harm. An empty table gives a store without rows. Other columns are ignored.
     """
@@ -204,9 +244,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
         if out is not None:
             out.close()
 
-    ordered = docs.selectExpr(f"cast(`{id_col}` as long) AS id", f"`{text_col}` AS text").repartitionByRange("id").sortWithinPartitions("id")
-    ordered.mapInPandas(write, "doc_id long, copy long, shard long, file string, offset long, n_ids long").write.parquet(f"{path}/locations")
-    places = spark.read.parquet(f"{path}/locations")
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) AS id", f"`{text_col}` AS text").withColumn("tie", F.monotonically_increasing_id())  # parts the rows of one id
+    ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
+    locations = "doc_id long, copy long, shard long, file string, offset long, n_ids long"
+    ordered.mapInPandas(write, locations).write.parquet(f"{path}/encoded")
+    _numbered(spark.read.schema(locations).parquet(f"{path}/encoded")).write.parquet(f"{path}/locations")
+    places = spark.read.schema(locations).parquet(f"{path}/locations")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = places.groupBy("shard", "file").agg(F.sum("n_ids").alias("ids"))
     sums.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0).cast("long"))).write.parquet(f"{path}/shard_list")  # one row a shard
@@ -215,17 +258,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             h = key_hash(f["doc_id"], f["copy"])
-            yield pd.DataFrame({"bucket": _bucket(h, buckets), "h": h.view(np.int64), "shard": f["shard"], "offset": f["offset"], "n_ids": f["n_ids"]})
+            yield f.assign(bucket=_bucket(h, buckets), h=h.view(np.int64))
 
     def build(f: pd.DataFrame) -> pd.DataFrame:
-        h = f["h"].to_numpy().view(np.uint64)
+        h, bucket = f["h"].to_numpy().view(np.uint64), int(f["bucket"].iloc[0])
+        twin = f["h"].duplicated(keep=False).to_numpy()
+        null = f["doc_id"].isna()
+        twins = np.stack([x[twin].astype("<i8") for x in (null.to_numpy(), f["doc_id"].fillna(0).to_numpy(), *[f[c].to_numpy() for c in ("copy", "shard", "offset", "n_ids")])], 1)
+        f, h = f[~twin], h[~twin]
         sizes, bits, rest = build_mph(h)
         order = np.empty(len(h), np.int64)
         order[mph_slots(h, sizes, bits, rest)] = np.arange(len(h))
         column = lambda name: f[name].to_numpy().astype("<i8")[order].tobytes()
         prints = (h & np.uint64(0xFFFFFFFF)).astype("<u4")[order].tobytes()
-        return pd.DataFrame([(f["bucket"].iloc[0], buckets, np.array(sizes, "<i8").tobytes(), np.packbits(bits).tobytes(), rest.astype("<u8").tobytes(), prints, column("shard"), column("offset"), column("n_ids"))])
+        row = (bucket, np.array(sizes, "<i8").tobytes(), np.packbits(bits).tobytes(), rest.astype("<u8").tobytes(), prints, column("shard"), column("offset"), column("n_ids"), twins.tobytes(), bucket // BUCKETS_A_PART)
+        return pd.DataFrame([row])
 
-    keys = places.select("doc_id", "copy", "shard", "offset", "n_ids").mapInPandas(keyed, "bucket long, h long, shard long, offset long, n_ids long")
-    keys.groupBy("bucket").applyInPandas(build, "bucket long, buckets long, sizes binary, bits binary, rest binary, prints binary, shard binary, offset binary, n_ids binary").write.parquet(f"{path}/index")
+    keys = places.select("doc_id", "copy", "shard", "offset", "n_ids").mapInPandas(keyed, "doc_id long, copy long, shard long, offset long, n_ids long, bucket long, h long")
+    index = keys.groupBy("bucket").applyInPandas(build, INDEX)
+    index.repartition("part").sortWithinPartitions("part", "bucket").write.partitionBy("part").parquet(f"{path}/index")
+    spark.range(1).select(F.lit(buckets).cast("long").alias("buckets")).write.parquet(f"{path}/header")
     return TokenStore(spark, path)

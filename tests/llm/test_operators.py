@@ -8,13 +8,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridproof.llm import _tokens, suffix_dedup, suffix_sort
+from gridproof.llm import _tokens, suffix_dedup, suffix_sort, token_output
 from gridproof.llm.components import connected_components
 from gridproof.llm.fingerprints import fingerprint_edits
 from gridproof.llm.html_text import extract, extract_main_text
@@ -101,6 +102,45 @@ def test_token_store(spark, docs, texts, tmp_path):
     assert store.get(123456789) is None
 
 
+def test_point_lookup_reads_one_index_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("gridproof.llm.token_output.BUCKET_KEYS", 20)
+    monkeypatch.setattr("gridproof.llm.token_output.BUCKETS_A_PART", 4)
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    store = write_tokens(docs, f"file://{tmp_path}/p", BYTE_BPE)
+    assert store.buckets == 100 and store.index.count() == 100
+    row = store.bucket_row(37)
+    assert [r.bucket for r in row.collect()] == [37]
+    plan = row._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    assert leaves.size() == 1 and leaves.apply(0).metrics().apply("numFiles").value() == 1 and leaves.apply(0).metrics().apply("numOutputRows").value() <= 256
+    assert "PartitionFilters: [isnotnull(part" in plan.toString()
+    library = Tokenizer.from_file(BYTE_BPE)
+    for i in (0, 1, 777, 1999):
+        assert store.get(i).tolist() == [*library.encode(f"text {i}", add_special_tokens=False).ids, 0]
+    assert store.get(2000) is None and store.get(5, 1) is None and store.get(None) is None
+
+
+def test_one_id_over_several_shards(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN 77 WHEN id % 3 = 1 THEN null ELSE id END AS doc_id", "concat('text ', id) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = write_tokens(docs, f"file://{tmp_path}/h", BYTE_BPE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_id = store.locations.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("copy").alias("copies"), F.max("copy").alias("top"), F.count_distinct("shard").alias("shards"))
+    got = {r.doc_id: r for r in by_id.filter("n > 1").collect()}
+    assert set(got) == {77, None} and all(r.n == r.copies == r.top + 1 and r.shards > 1 for r in got.values())
+    assert store.read(store.lookup(store.locations)).count() == 4000 and store.get(77, 1200) is not None and store.get(None, 900) is not None
+
+
+def test_keys_with_one_hash_are_kept(spark, tmp_path, monkeypatch):
+    place = pd.DataFrame({"doc_id": pd.Series([5, None, 6], dtype="Int64"), "copy": [0, 0, 1]})
+    twins = np.array([[0, 5, 0, 1, 2, 3], [1, 0, 0, 4, 5, 6]], "<i8").tobytes()
+    row = {"sizes": b"", "bits": b"", "rest": b"", "prints": b"", "shard": b"", "offset": b"", "n_ids": b"", "twins": twins}
+    found = token_output._find(place, row)
+    assert found[["shard", "offset", "n_ids"]].values.tolist() == [[1, 2, 3], [4, 5, 6]]
+
+
 def test_token_store_odd_and_empty(spark, odd, empty, tmp_path):
     store = write_tokens(odd, f"file://{tmp_path}/o", BYTE_BPE)
     got = store.read(store.lookup(store.locations)).collect()
