@@ -15,6 +15,7 @@ from .components import connected_components
 
 SEED = 42
 TILE = 1024
+BLOCK = 8192  # members of a bucket that one task compares with each other
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -69,34 +70,36 @@ def _balls(fps: DataFrame) -> DataFrame:
     return fps.mapInPandas(run, "key long, fp long, probe boolean")
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
-
+def _links(own: np.ndarray, more: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A forest that links all of `own` within `distance` of each other or of one of `more`; tile by tile, and done once all are linked."""
+    every = np.concatenate([own, more])
+    label = np.arange(len(every))
+    out: list[tuple[int, int]] = []
+    for i in range(0, len(own), TILE):
+        for j in range(i, len(every), TILE):
+            a, b = every[i : min(i + TILE, len(own))], every[j : j + TILE]
+            near = np.bitwise_count(a[:, None] ^ b[None]) <= distance
+            la, lb = label[i : i + len(a)], label[j : j + len(b)]
+            while len(rows := np.flatnonzero((apart := near & (la[:, None] != lb[None])).any(1))):
+                r = rows[0]
+                at = np.flatnonzero(apart[r])
+                roots, first = np.unique(lb[at], return_index=True)
+                out += [(int(a[r]), int(b[k])) for k in at[first]]
+                label[np.isin(label, roots)] = la[r]
+            if len(out) == len(every) - 1:
+                return out
+    return out
 
-def _links(fps: np.ndarray, probe: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A forest that links all within `distance` of each other in one bucket, own members first; tile by tile."""
-    own, more = fps[~probe], fps[probe]
-    if not len(own):
-        return []
-    parent = {int(x): int(x) for x in fps}
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+def _split_buckets(balls: DataFrame, most: int) -> DataFrame:
+    """balls with x, y: buckets of more than `most` own values become pairs (x <= y) of blocks, each pair a bucket by itself.
 
-    out = []
-    for i in range(0, len(own), TILE):
-        a = own[i : i + TILE]
-        for rest in (own[i:], more):
-            for j in range(0, len(rest), TILE):
-                b = rest[j : j + TILE]
-                x, y = np.nonzero(_bits(a[:, None] ^ b[None]) <= distance)
-                for p, q in zip(a[x].tolist(), b[y].tolist()):
-                    if p != q and (r := root(p)) != (s := root(q)):
-                        parent[r] = s
-                        out.append((p, q))
-    return out
+    A value lies in one block and meets each block, so a large bucket is shared out over many tasks, and none holds more than two blocks.
+    """
+    large = balls.filter("NOT probe").groupBy("key").agg(F.ceil(F.count("*") / most).cast("int").alias("n")).filter("n > 1")
+    joined = balls.join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    block = joined.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    return block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "fp", "probe", "block")
 
 
 def near_edges(fps: DataFrame, distance: int = 3) -> DataFrame:
@@ -104,33 +107,40 @@ def near_edges(fps: DataFrame, distance: int = 3) -> DataFrame:
 
     Members and probes of a bucket meet in one partition in sorted order and are compared in numpy, tile by tile; a bucket
     gives a forest of links instead of all its pairs, so a large group of near copies gives fewer links than it has members.
+    Buckets of over BLOCK members are compared block by block in tasks of their own.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two segments with balls of one bit find 3 differing bits at most")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None
+        carry: list[pd.DataFrame] = []
+        names = ["key", "x", "y"]
 
         def close(f: pd.DataFrame) -> pd.DataFrame:
-            key, fp, probe = f["key"].to_numpy(), f["fp"].to_numpy().view(np.uint64), f["probe"].to_numpy().astype(bool)
-            edges = np.flatnonzero(np.diff(key)) + 1
-            first, last = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
-            members = np.add.reduceat((~probe).astype(np.int64), first) if len(key) else np.empty(0, int)
+            at, fp, probe, block = f[names].to_numpy(), f["fp"].to_numpy().view(np.uint64), f["probe"].to_numpy().astype(bool), f["block"].to_numpy()
+            edges = np.append(np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(1))), len(at))
+            members = np.add.reduceat((~probe).astype(np.int64), edges[:-1])
+            sizes = np.diff(edges)
             out: list[tuple[int, int]] = []
-            for a, b in zip(first[(members > 0) & (last - first > 1)].tolist(), last[(members > 0) & (last - first > 1)].tolist()):
-                out += _links(fp[a:b], probe[a:b], distance)
+            two = edges[:-1][(members > 0) & (sizes == 2)]  # most buckets
+            near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
+            out += zip(fp[near].tolist(), fp[near + 1].tolist())
+            for k in np.flatnonzero((members > 0) & (sizes > 2)).tolist():
+                a, b = edges[k], edges[k + 1]
+                out += _links(fp[a:b][~probe[a:b]], fp[a:b][probe[a:b]], distance)
             links = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
             return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
         for f in frames:
-            f = f if carry is None else pd.concat([carry, f], ignore_index=True)
-            done = f["key"].to_numpy() != f["key"].iloc[-1]
-            carry = f[~done]  # the last bucket may go on in the next frame
-            yield close(f[done])
-        if carry is not None:
-            yield close(carry)
-
-    return _balls(fps).repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
+            new = (f[names] != f[names].iloc[-1]).any(axis=1).to_numpy()
+            if carry and (f[names].iloc[0] != carry[-1][names].iloc[-1]).any() or new.any():
+                yield close(pd.concat([*carry, f[new]], ignore_index=True))
+                carry = []
+            carry.append(f[~new])  # the last bucket may go on in the next frame
+        if carry:
+            yield close(pd.concat(carry, ignore_index=True))
+
+    return _split_buckets(_balls(fps), BLOCK).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

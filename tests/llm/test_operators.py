@@ -23,7 +23,7 @@ from gridproof.llm.language_id import has_letter, predict, train
 from gridproof.llm.mixing import cumulative, mix
 from gridproof.llm.packing import PIECES, _across, bands, pack, pack_documents
 from gridproof.llm.quality import quality
-from gridproof.llm.simhash import near_duplicates, simhash
+from gridproof.llm.simhash import near_duplicates, near_edges, simhash
 from gridproof.llm.suffix_dedup import remove_repeats, repeated_spans
 from gridproof.llm.token_counts import token_counts
 from gridproof.llm.token_output import build_mph, mph_slots, write_tokens
@@ -247,6 +247,40 @@ def test_simhash_components(spark, docs, texts):
     assert {k: r.component_id for k, r in got.items()} == group
 
 
+@pytest.mark.parametrize("block", [8192, 50])
+def test_planted_distances_all_link(spark, monkeypatch, block):
+    """Every pair within 3 bits is connected and no link is longer, in random values, a ball, and a bucket of over TILE members."""
+    monkeypatch.setattr("gridproof.llm.simhash.BLOCK", block)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 64, 300, np.uint64)
+    values = {int(x) for x in base}
+    for x in base.tolist():
+        for d in (1, 2, 3, 4, 5):
+            values.add(x ^ sum(1 << int(b) for b in rng.choice(64, d, replace=False)))
+    centre = int(base[0])
+    values |= {centre ^ 1 << i ^ 1 << j for i in range(32) for j in range(i)}  # 496 within 4 bits of each other
+    values |= {(centre & ~0xFFFFFFFF) ^ 1 << 40 | int(x) for x in rng.integers(0, 1 << 32, 1500)}  # one segment in common
+    fps = np.array(sorted(values), np.uint64)
+    edges = near_edges(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")).collect()
+    number = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    parent = list(range(len(fps)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for r in edges:
+        assert ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3
+        parent[root(number[r.a])] = root(number[r.b])
+    near = 0
+    for i in range(len(fps)):
+        at = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3)
+        near += len(at) - 1
+        assert len({root(int(k)) for k in at}) == 1
+    assert near > 3000
+
+
 def test_simhash_chains_odd_and_empty(spark, odd, empty):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (0, 40)], "a long, b long")
     assert {r.id: r.component for r in connected_components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
