@@ -1,4 +1,8 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, the whole shingle sets decide."""
+"""Near duplicates by the Jaccard similarity of word shingles: SimHash and then MinHash bands propose pairs, the whole shingle sets decide.
+
+SimHash fingerprints of the shingle sets are linked by multi-index hashing first. At a similarity of 0.8 they differ in about 10 of 64
+bits, which segments with small balls can't reach (see the README), so texts that these links leave apart meet in bands.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ._shared import written
 from .components import connected_components
+from .simhash import near_edges
 
 SHINGLE = 5
 LEAST = (4, 5)  # a similarity of 4/5 or more links
@@ -64,6 +69,14 @@ def band_keys(grams: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def set_simhash(grams: np.ndarray) -> int:
+    """64 bits: each is 1 if it is set in over half of the shingles."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(grams), 1 << 14):
+        counts += np.unpackbits(grams[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(grams)).tobytes(), "big", signed=True)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
@@ -80,35 +93,48 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").filter(linked("ga", "gb")).select("a", "b")
 
 
-def similar_edges(texts: DataFrame, banded: DataFrame) -> DataFrame:
-    """a, b: links between distinct texts (node) that connect all similar ones that meet in a band.
+def _print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts with one fingerprint, or with fingerprints in 3 bits of each other; one text stands for all with its fingerprint."""
+    prints = nodes.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    same = nodes.join(prints.filter("first <> last"), "fp").filter("node <> first").selectExpr("first AS a", "node AS b")
+    near = near_edges(prints.select("fp"))
+    ends = near.join(prints.selectExpr("fp AS a", "first AS x"), "a").join(prints.selectExpr("fp AS b", "first AS y"), "b").selectExpr("x AS a", "y AS b")
+    return same.unionByName(ends).selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct()
+
+
+def similar_edges(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: links between distinct texts (node) that connect all similar ones whose fingerprints are near or that meet in a band.
 
-    In each round a few members of a bucket, of its smallest groups first, are held against all members of other groups, and are
-    done with. The first round takes one, so a large group of near copies gives a pair a member, and rounds go on until each bucket is one group or used up.
+    Pairs from the fingerprints come first. Then, in each round, a few members of a bucket, of its smallest groups first, are held against all
+    members of other groups, and are done with. The first round takes one, so a large group of near copies gives a pair a member, and rounds go
+    on until each bucket is one group or used up.
     """
-    members = banded.select("node", F.explode("keys").alias("key"))
+    members = nodes.select("node", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    active = written(members.join(shared, "key").withColumn("comp", F.col("node")), "bands")
+    met = written(members.join(shared, "key"), "bands")
+    pairs = written(_print_pairs(nodes), "pairs")
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _Words()
         for f in frames:
             yield pd.DataFrame({"node": f["node"], "grams": [shingles(t, memo).tobytes() for t in f["text"]]})
 
-    needed = texts.join(active.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = written(needed.mapInPandas(grams, "node long, grams binary"), "shingles")
-    edges, hubs = active.selectExpr("node AS a", "node AS b").limit(0), 1
-    while not active.isEmpty():
+    ids = met.select("node").unionByName(pairs.selectExpr("a AS node")).unionByName(pairs.selectExpr("b AS node")).distinct()
+    sets = written(texts.join(ids, "node", "left_semi").dropDuplicates(["node"]).mapInPandas(grams, "node long, grams binary"), "shingles")
+    edges, hubs, rest = written(_links(pairs, sets), "links"), 1, met
+    while True:
+        groups = connected_components(edges).withColumnRenamed("id", "node")
+        rest = rest.select("node", "key").join(groups, "node", "left").select("node", "key", F.coalesce("component", "node").alias("comp"))
+        several = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+        active = written(rest.join(several, "key", "left_semi").select("node", "key", "comp"), "bands")
+        if active.isEmpty():
+            return edges
         sized = active.withColumn("size", F.count("*").over(Window.partitionBy("key", "comp")))
         ranked = written(sized.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("size", "node"))), "bands")
         hub = ranked.filter(F.col("rank") <= hubs).select("key", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
         pairs = ranked.join(hub, "key").filter("comp <> hub_comp").selectExpr("least(hub, node) AS a", "greatest(hub, node) AS b").distinct()
         edges = written(edges.union(_links(pairs, sets)), "links")
-        groups = connected_components(edges).withColumnRenamed("id", "node")
-        rest = ranked.filter(F.col("rank") > hubs).select("node", "key").join(groups, "node", "left").select("node", "key", F.coalesce("component", "node").alias("comp"))
-        several = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        active, hubs = written(rest.join(several, "key", "left_semi").select("node", "key", "comp"), "bands"), HUBS
-    return edges
+        rest, hubs = ranked.filter(F.col("rank") > hubs), HUBS
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,11 +148,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _Words()
         for f in frames:
-            yield pd.DataFrame({"id": f["id"].astype("Int64"), "node": f["node"], "keys": [band_keys(shingles(t, memo)) for t in f["text"]]})
+            sets = [shingles(t, memo) for t in f["text"]]
+            yield pd.DataFrame({"id": f["id"].astype("Int64"), "node": f["node"], "fp": [set_simhash(x) for x in sets], "keys": [band_keys(x) for x in sets]})
 
-    banded = written(rows.mapInPandas(keys, "id long, node long, keys array<long>"), "minhash")
-    nodes = written(banded.groupBy("node").agg(F.min("id").alias("least"), F.first("keys").alias("keys")), "minhash-nodes")
-    edges = similar_edges(rows.select("node", "text"), nodes.select("node", "keys"))
+    banded = written(rows.mapInPandas(keys, "id long, node long, fp long, keys array<long>"), "minhash")
+    nodes = written(banded.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "minhash-nodes")
+    edges = similar_edges(rows.select("node", "text"), nodes.select("node", "fp", "keys"))
     # an id that repeats with different texts ties them together
     repeated = banded.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("id IS NOT NULL AND a <> b")
     tied = banded.join(repeated.select("id", "a"), "id").select("a", F.col("node").alias("b")).filter("a <> b").distinct()
