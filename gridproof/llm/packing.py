@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ._shared import new_path, written
@@ -16,9 +16,10 @@ from ._tokens import encoder
 
 PIECES = "doc_id long, piece long, start long, length long, ids_crc32 long, row long"
 SWEPT = "part long, kind string, rank long, row long, length long, sequence_id long, gap long, slot long"
-HARMONIC = 8  # bands of lengths of which 1, 2, ... fit in a sequence; below, each band reaches to half its top
+HARMONIC = 4
+SHORT = 8
 ROWS_A_TASK = 200_000
-_TASK, _BAND = 33, 56  # bits below the task in a row's number, and below the band in a sequence's
+_TASK, _ROUND = 33, 54  # bits below the task in a row's number, and below the round in a sequence's
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,10 +44,10 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_i
 
 
 def bands(capacity: int) -> list[tuple[int, int]]:
-    """(least - 1, most) lengths of each band, longest first."""
-    tops = [capacity // n for n in range(1, HARMONIC + 1)]
-    while tops[-1] > 1:
-        tops.append(tops[-1] // 2)
+    """(least - 1, most) lengths of each band, longest first: those of which 1, 2, ... HARMONIC fit in a sequence, and then down to half, and half of that."""
+    tops = [capacity // n for n in range(1, HARMONIC + 2)]
+    while tops[-1] > SHORT:
+        tops.append(max(tops[-1] // 2, 1))
     tops = sorted({t for t in tops if t}, reverse=True)
     return list(zip([*tops[1:], 0], tops))
 
@@ -105,8 +106,8 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     its successor, the smallest gap that is free and long enough. What a range can't match is ranked, and meets
     the leftovers of the ranges of larger sizes, the nearest first, by these ranks; only the counts of the ranges go over the
     driver. A gap that can take several of any length in the band has as many places. Gaps are updated and rounds
-    repeated until all documents are placed or no gap takes one; those open new sequences, as many in each as any of the
-    band fit. An empty table gives an empty table.
+    repeated until all documents are placed or no gap can take one any more; those left open new sequences in the order of their ranks. An
+    empty table gives an empty table.
     """
     spark = pieces.sparkSession
     placed_path = new_path(spark, "placed")
@@ -116,19 +117,17 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         band = F.when(F.col("length") <= hi, F.lit(i)).otherwise(band)
     alone = F.col("length") > capacity // 2
     first = pieces.filter(alone)
-    first.select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).write.parquet(placed_path)
+    first.select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).write.parquet(f"{placed_path}/round=0")
     short = written(pieces.filter(~alone).select("row", "length", band.alias("band")), "short")
     gaps = first.filter(F.col("length") < capacity).select(F.col("row").alias("sequence_id"), (F.lit(capacity) - F.col("length")).cast("long").alias("gap"))
     todo = {r["band"]: r["n"] for r in short.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row a band
-    least = [lo for lo, _ in bands(capacity)]
-    free = gaps.count() if todo else 0
-    for i in sorted(todo):
-        low, top, n = least[i], tops[i], todo[i]
+    free, widest, rounds, zero = sum(todo.values()), capacity - capacity // 2 - 1, 0, F.lit(0).cast("long")
+    for i, n in sorted(todo.items()):
+        low, top = bands(capacity)[i]
         documents = short.filter(F.col("band") == i).select("row", "length")
         while n:
-            usable = gaps.filter(F.col("gap") > low)
-            slots = usable.withColumn("slot", F.explode(F.sequence(F.lit(1), F.greatest(F.floor(F.col("gap") / top), F.lit(1)).cast("long"))))
-            zero = F.lit(0).cast("long")
+            rounds += 1
+            slots = gaps.filter(F.col("gap") > low).withColumn("slot", F.explode(F.sequence(F.lit(1), F.greatest(F.floor(F.col("gap") / top), F.lit(1)).cast("long"))))
             events = slots.select(F.col("gap").alias("size"), zero.alias("row"), zero.alias("length"), "sequence_id", "gap", "slot").unionByName(
                 documents.select(F.col("length").alias("size"), "row", "length", zero.alias("sequence_id"), zero.alias("gap"), zero.alias("slot"))
             )
@@ -137,36 +136,47 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             swept = written(events.repartitionByRange(max(1, (n + free) // ROWS_A_TASK), *order).sortWithinPartitions(*order).mapInPandas(_sweep, SWEPT), "swept")
             kinds = swept.groupBy("part").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("match", "document", "gap")]).collect()  # a row a range
             met, left = _across([(r["part"], r["document"], r["gap"]) for r in kinds])
-            matches = swept.filter("kind = 'match'").select("row", "length", "sequence_id", "gap", "slot")
+            found = sum(r["match"] for r in kinds) + sum(high - first for _, first, high, _, _ in met)
             waiting = swept.filter("kind = 'document'").select("part", "rank", "row", "length")
+            matches = swept.filter("kind = 'match'").select("row", "length", "sequence_id", "gap", "slot")
             if met:
                 ways = spark.createDataFrame(met, "part long, low long, high long, to long, sum long")  # two a range at most
                 sent = waiting.join(F.broadcast(ways), "part").filter("rank >= low AND rank < high").select("row", "length", F.col("to").alias("part"), (F.col("sum") - F.col("rank")).alias("rank"))
                 rest = swept.filter("kind = 'gap'").select("part", "rank", "sequence_id", "gap", "slot")
                 matches = matches.unionByName(sent.join(rest, ["part", "rank"]).select("row", "length", "sequence_id", "gap", "slot"))
-            found = sum(r["match"] for r in kinds) + sum(high - first for _, first, high, _, _ in met)
             unmatched = spark.createDataFrame(left, "part long, first long, before long")
-            waiting = waiting.join(F.broadcast(unmatched), "part").filter("rank >= first").select("row", "length", (F.col("before") + F.col("rank") - F.col("first")).alias("rank"))
-            if found:
-                in_order = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-                matches = written(matches.withColumn("offset", F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(in_order), zero)), "matches")
-                taken = matches.groupBy("sequence_id").agg(F.sum("length").alias("taken"))
-                gaps = gaps.join(taken, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("taken", zero)).alias("gap")).filter("gap > 0")
-            else:  # no gap takes one: open sequences
-                rank = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-                opened = waiting.withColumn("sequence_id", F.lit((i + 1) << _BAND) + F.floor(F.col("rank") / (capacity // top)).cast("long"))
-                matches = written(opened.withColumn("offset", F.coalesce(F.sum("length").over(rank), zero)), "matches")
-                gaps = gaps.unionByName(matches.groupBy("sequence_id").agg((F.lit(capacity) - F.sum("length")).alias("gap"))).filter("gap > 0")
-                found = n
-            matches.select("row", "sequence_id", "offset").write.mode("append").parquet(placed_path)
-            gaps = written(gaps, "gaps")
+            waiting = waiting.join(F.broadcast(unmatched), "part").filter("rank >= first").select("part", "row", "length", (F.col("before") + F.col("rank") - F.col("first")).alias("rank"))
             n -= found
+            if n and (not found or widest - (low + 1) <= low):  # a gap that took one can't take another, and the free ones are too small
+                matches = matches.unionByName(_opened(waiting, low, top, capacity, rounds))
+                n = 0
+            in_order = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+            placed = matches.withColumn("offset", F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(in_order), zero))
+            placed.write.parquet(f"{placed_path}/round={rounds}")
+            taken = spark.read.schema(placed.schema).parquet(f"{placed_path}/round={rounds}").groupBy("sequence_id").agg(F.sum("length").alias("taken"), F.max("gap").alias("whole"))
+            gaps = gaps.join(taken, "sequence_id", "full_outer").select("sequence_id", (F.coalesce("gap", "whole") - F.coalesce("taken", zero)).alias("gap")).filter("gap > 0")
+            seen = Observation()
+            gaps = written(gaps.observe(seen, F.count("*").alias("free"), F.max("gap").alias("widest")), "gaps")
+            free, widest = seen.get["free"], seen.get["widest"] or 0
             documents = waiting.select("row", "length")
-            free = gaps.count()
-    placed = spark.read.schema("row long, sequence_id long, offset long").parquet(placed_path)
+    placed = spark.read.schema("row long, sequence_id long, offset long").option("recursiveFileLookup", "true").parquet(placed_path)
     return pieces.join(placed, "row").select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _opened(waiting: DataFrame, low: int, top: int, capacity: int, rounds: int) -> DataFrame:
+    """New sequences for what waits, taken by rank: as many each as any of the band fit, or as the sum of their lengths allows."""
+    if capacity // (low + 1) == capacity // top:
+        number = F.floor(F.col("rank") / (capacity // top))
+    else:  # a sequence begins with the first document after each multiple of capacity - top, and so ends in time
+        sums = waiting.groupBy("part").agg(F.sum("length").alias("all"))
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+        bases = sums.select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
+        inside = Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+        waiting = waiting.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.coalesce(F.sum("length").over(inside), F.lit(0)))
+        number = F.floor(F.col("start") / (capacity - top))
+    return waiting.select("row", "length", (F.lit(rounds << _ROUND) + number.cast("long")).alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"), F.col("rank").alias("slot"))
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, cut and pack whole documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 

@@ -382,7 +382,9 @@ def test_leftovers_of_ranges_meet_the_nearest():
     met, left = _across([(0, 1, 3), (1, 2, 1), (2, 4, 0)])
     assert left == [(0, 0, 0), (2, 2, 1)]
     assert met == [(1, 0, 2, 0, 2), (2, 0, 1, 1, 0), (2, 1, 2, 0, 1)]
-    assert bands(1024)[:3] == [(512, 1024), (341, 512), (256, 341)] and bands(1024)[-1] == (0, 1) and bands(1) == [(0, 1)]
+    assert bands(1024)[:3] == [(512, 1024), (341, 512), (256, 341)] and bands(1024)[-1][0] == 0 and bands(1) == [(0, 1)]
+    for c in (2, 64, 1000, 1024):
+        assert all(b[0] == a[1] for a, b in zip(bands(c)[1:], bands(c)))
 
 
 def test_packing_odd_and_empty(odd, empty):
