@@ -19,6 +19,8 @@ SWEPT = "part long, kind string, rank long, row long, length long, sequence_id l
 HARMONIC = 4
 SHORT = 8
 ROWS_A_TASK = 200_000
+BROADCAST_ROWS = 50_000  # documents that go to other ranges, 32 bytes each
+SLOT = ["row", "length", "sequence_id", "gap", "slot"]
 _TASK, _ROUND = 33, 54  # bits below the task in a row's number, and below the round in a sequence's
 
 
@@ -55,9 +57,11 @@ def bands(capacity: int) -> list[tuple[int, int]]:
 def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Match one range of documents and gaps, in descending order: a document takes the smallest gap seen that is still free.
 
-    What the range can't match goes on with its rank: documents met while no gap was free, and free gaps from the largest to the smallest.
+    What the range can't match goes on with its rank: documents met while no gap was free, and free gaps from the largest to the smallest. A
+    last row has the numbers of matches (row), documents (rank) and gaps (slot).
     """
-    part, waiting, free = TaskContext.get().partitionId(), 0, []
+    part, waiting, matched, free = TaskContext.get().partitionId(), 0, 0, []
+    columns = [x.split()[0] for x in SWEPT.split(", ")]
     for f in frames:
         rows = []
         for length, row, sequence, gap, slot in zip(f["length"].tolist(), f["row"].tolist(), f["sequence_id"].tolist(), f["gap"].tolist(), f["slot"].tolist()):
@@ -68,10 +72,10 @@ def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 rows.append((part, "document", waiting, row, length, 0, 0, 0))
                 waiting += 1
-        yield pd.DataFrame(rows, columns=["part", "kind", "rank", "row", "length", "sequence_id", "gap", "slot"])
-    if free:
-        rows = [(part, "gap", i, 0, 0, *x) for i, x in enumerate(free)]
-        yield pd.DataFrame(rows, columns=["part", "kind", "rank", "row", "length", "sequence_id", "gap", "slot"])
+        matched += sum(r[1] == "match" for r in rows)
+        yield pd.DataFrame(rows, columns=columns)
+    rows = [(part, "gap", i, -1, 0, *x) for i, x in enumerate(free)]
+    yield pd.DataFrame([*rows, (part, "count", waiting, matched, 0, 0, 0, len(free))], columns=columns)
 
 
 def _across(counts: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
@@ -134,32 +138,35 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             # gaps come before documents of their size; the hash parts rows of one size
             order = [F.desc("size"), F.asc("length"), F.xxhash64("row", "sequence_id", "slot")]
             swept = written(events.repartitionByRange(max(1, (n + free) // ROWS_A_TASK), *order).sortWithinPartitions(*order).mapInPandas(_sweep, SWEPT), "swept")
-            kinds = swept.groupBy("part").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("match", "document", "gap")]).collect()  # a row a range
-            met, left = _across([(r["part"], r["document"], r["gap"]) for r in kinds])
-            found = sum(r["match"] for r in kinds) + sum(high - first for _, first, high, _, _ in met)
+            counts = swept.filter("kind = 'count'").select("part", F.col("row").alias("matches"), F.col("rank").alias("documents"), F.col("slot").alias("gaps")).collect()  # a row a range
+            met, left = _across([(r["part"], r["documents"], r["gaps"]) for r in counts])
+            across = sum(high - first for _, first, high, _, _ in met)
+            found = across + sum(r["matches"] for r in counts)
             waiting = swept.filter("kind = 'document'").select("part", "rank", "row", "length")
-            matches = swept.filter("kind = 'match'").select("row", "length", "sequence_id", "gap", "slot")
+            rest = swept.filter("kind = 'gap'")
             if met:
                 ways = spark.createDataFrame(met, "part long, low long, high long, to long, sum long")  # two a range at most
-                sent = waiting.join(F.broadcast(ways), "part").filter("rank >= low AND rank < high").select("row", "length", F.col("to").alias("part"), (F.col("sum") - F.col("rank")).alias("rank"))
-                rest = swept.filter("kind = 'gap'").select("part", "rank", "sequence_id", "gap", "slot")
-                matches = matches.unionByName(sent.join(rest, ["part", "rank"]).select("row", "length", "sequence_id", "gap", "slot"))
+                sent = waiting.join(F.broadcast(ways), "part").filter("rank >= low AND rank < high").select(F.col("to").alias("part"), (F.col("sum") - F.col("rank")).alias("rank"), F.col("row").alias("in_row"), F.col("length").alias("in_length"))
+                sent = F.broadcast(sent) if across <= BROADCAST_ROWS else sent
+                rest = rest.join(sent, ["part", "rank"], "left").withColumns({"row": F.coalesce("in_row", "row"), "length": F.coalesce("in_length", "length")})
+            placed = swept.filter("kind = 'match'").select(*SLOT).unionByName(rest.select(*SLOT))
             unmatched = spark.createDataFrame(left, "part long, first long, before long")
             waiting = waiting.join(F.broadcast(unmatched), "part").filter("rank >= first").select("part", "row", "length", (F.col("before") + F.col("rank") - F.col("first")).alias("rank"))
             n -= found
             if n and (not found or widest - (low + 1) <= low):  # a gap that took one can't take another, and the free ones are too small
-                matches = matches.unionByName(_opened(waiting, low, top, capacity, rounds))
-                n = 0
-            in_order = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-            placed = matches.withColumn("offset", F.lit(capacity) - F.col("gap") + F.coalesce(F.sum("length").over(in_order), zero))
-            placed.write.parquet(f"{placed_path}/round={rounds}")
-            taken = spark.read.schema(placed.schema).parquet(f"{placed_path}/round={rounds}").groupBy("sequence_id").agg(F.sum("length").alias("taken"), F.max("gap").alias("whole"))
-            gaps = gaps.join(taken, "sequence_id", "full_outer").select("sequence_id", (F.coalesce("gap", "whole") - F.coalesce("taken", zero)).alias("gap")).filter("gap > 0")
+                placed = placed.unionByName(_opened(waiting, low, top, capacity, rounds))
+                free, n = free + n, 0
+            mine = Window.partitionBy("sequence_id").orderBy("slot")
+            before = F.coalesce(F.sum("length").over(mine.rowsBetween(Window.unboundedPreceding, -1)), zero)
+            last = F.lead("slot").over(mine).isNull()
+            state = placed.select(*SLOT, (F.lit(capacity) - F.col("gap") + before).alias("offset"), F.when(last, F.col("gap") - before - F.col("length")).alias("left"))
             seen = Observation()
-            gaps = written(gaps.observe(seen, F.count("*").alias("free"), F.max("gap").alias("widest")), "gaps")
-            free, widest = seen.get["free"], seen.get["widest"] or 0
+            state.observe(seen, F.max("left").alias("widest")).write.parquet(f"{placed_path}/round={rounds}")
+            widest = max(low, seen.get["widest"] or 0)  # gaps that this band can't use stay as they are
+            after = spark.read.schema(state.schema).parquet(f"{placed_path}/round={rounds}").filter("left > 0").select("sequence_id", F.col("left").alias("gap"))
+            gaps = gaps.filter(F.col("gap") <= low).unionByName(after)
             documents = waiting.select("row", "length")
-    placed = spark.read.schema("row long, sequence_id long, offset long").option("recursiveFileLookup", "true").parquet(placed_path)
+    placed = spark.read.schema("row long, sequence_id long, offset long").option("recursiveFileLookup", "true").parquet(placed_path).filter("row >= 0")
     return pieces.join(placed, "row").select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
