@@ -9,9 +9,12 @@ from .parse import has_text
 
 
 def clean_id(x: Column) -> Column:
-    """Whole numbers become DA_n, other text stays trimmed; a blank id raises."""
-    t = F.trim(x)
-    return F.when(t.rlike(r"^\d+$"), F.concat(F.lit("DA_"), t)).when(has_text(x), t).otherwise(F.raise_error(F.lit("a clean judgment has no id")))
+    """Integers become DA_n, text stays as it is, digits too; an empty id raises. For a variant column the type of each value decides."""
+    kind = F.upper(F.typeof(x))
+    if_variant = F.when(kind == "VARIANT", F.schema_of_variant(F.to_variant_object(F.struct(x.alias("v")))))  # OBJECT<v: BIGINT>
+    whole = F.coalesce(if_variant.contains("BIGINT"), kind.isin("TINYINT", "SMALLINT", "INT", "BIGINT"))
+    t = x.cast("string")
+    return F.when(whole & t.isNotNull(), F.concat(F.lit("DA_"), t)).when(F.coalesce(t != "", F.lit(False)), t).otherwise(F.raise_error(F.lit("a clean judgment has no id")))
 
 
 def or_default(x: Column, default: str = "unknown") -> Column:

@@ -19,13 +19,23 @@ def last_valid(attempts: DataFrame, keys: list[str], order: str, valid: Column,
     return out.select(*keys, F.col(f"_best.{order}").alias("line"), *[F.col(f"_best.{v}").alias(v) for v in values], "first_line", "attempts", "selected_valid")
 
 
+def judged(rows: DataFrame) -> Column:
+    """The outcome of a judgment: none where judging failed (a missing status counts as done), else is_correct, else whether a finite score is 1.
+
+    rows has judge_status and is_correct, and may have score.
+    """
+    score = F.col("score").cast("double") if "score" in rows.columns else F.lit(None).cast("double")
+    by_score = F.when(~F.isnan(score) & (F.abs(score) != F.lit(float("inf"))), score == 1)
+    return F.when(F.col("judge_status").isNull() | (F.col("judge_status") == "success"), F.coalesce(F.col("is_correct"), by_score))
+
+
 def canonical_clean(attempts: DataFrame) -> DataFrame:
-    """id, correct, line, attempts, all_failed from clean judgments (id, line, judge_status, is_correct).
+    """id, correct, line, attempts, all_failed from clean judgments (id, line, judge_status, is_correct and maybe score).
 
     Summary rows go. An id none of whose attempts was scored counts as wrong.
     """
-    scored = (F.col("judge_status") == "success") & F.col("is_correct").isNotNull()
-    rows = last_valid(attempts.filter("id <> '__summary__'"), ["id"], "line", F.coalesce(scored, F.lit(False)), ["is_correct"])
+    outcome = attempts.withColumn("is_correct", judged(attempts))
+    rows = last_valid(outcome.filter("id <> '__summary__'"), ["id"], "line", F.col("is_correct").isNotNull(), ["is_correct"])
     return rows.select("id", (F.col("selected_valid") & F.col("is_correct")).alias("correct"), "line", "attempts", (~F.col("selected_valid")).alias("all_failed"))
 
 
@@ -44,9 +54,21 @@ def canonicalization_stats(attempts: DataFrame) -> DataFrame:
     return both.select("physical", "summary", "unique_ids", (F.col("physical") - F.col("summary") - F.col("unique_ids")).alias("collapsed"), "selected_successes", "selected_failures")
 
 
-def limit_ids(canonical: DataFrame, limit: int) -> DataFrame:
-    """The first ids by the line on which they first came, after repeats are gone."""
-    return canonical.orderBy("first_line", "id").limit(limit)
+def limit_ids(canonical: DataFrame, limit: int | None) -> DataFrame:
+    """The first ids by the line on which they first came, after repeats are gone; without a limit, or with a negative one, all."""
+    return canonical if limit is None or limit < 0 else canonical.orderBy("first_line", "id").limit(limit)
+
+
+def single_model(rows: DataFrame) -> DataFrame:
+    """model: the one name that rows have, trimmed; none or several raise."""
+    sums = rows.agg(F.collect_set(F.nullif(F.trim("model"), F.lit(""))).alias("m"))  # names of models are few
+    said = F.concat(F.lit("exactly one model is needed, found: "), F.array_join(F.array_sort("m"), ", "))
+    return sums.select(F.when(F.size("m") == 1, F.element_at("m", 1)).otherwise(F.raise_error(said).cast("string")).alias("model"))
+
+
+def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """key, order: distinct values with the place at which each came first."""
+    return rows.groupBy(key).agg(F.min(order).alias(order))
 
 
 def pending(wanted: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fields of a record that are not published.
+#: Fields of a record's construction that are not published.
 PRIVATE_FIELDS = ("construct_history", "validate_history", "judge_history", "construct_attempts", "validation_attempts")
-#: Suffixes of tables that each family of operators takes.
-TABLES, DELIMITED, WORKBOOKS = (".xlsx", ".csv", ".tsv"), (".csv", ".tsv"), (".xlsx",)
 
 
 def resolve_files(references: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -32,8 +30,18 @@ def eligible_operators(packages: DataFrame, operators: DataFrame) -> DataFrame:
 
 
 def public_records(records: DataFrame) -> DataFrame:
-    """Records without their histories and attempt counts."""
-    return records.drop(*PRIVATE_FIELDS)
+    """Records whose construction (a struct) is without histories and attempt counts; a record without one gets an empty one where the schema has it."""
+    kind = records.schema["construction"].dataType
+    private = [f for f in kind.fieldNames() if f in PRIVATE_FIELDS]
+    whole = F.coalesce("construction", F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind]))
+    return records.withColumn("construction", whole.dropFields(*private) if private else whole)
+
+
+def workspace_manifest(packages: DataFrame) -> DataFrame:
+    """sample, manifest: one JSON object a sample with its files in the order of their names. packages: sample, file, size, sha256."""
+    entry = F.struct("file", "size", "sha256")
+    rows = packages.groupBy("sample").agg(F.array_sort(F.collect_list(entry)).alias("files"))  # the files of one sample
+    return rows.select("sample", F.to_json(F.struct("sample", "files")).alias("manifest"))
 
 
 def missing_tables(questions: DataFrame, inventory: DataFrame) -> DataFrame:

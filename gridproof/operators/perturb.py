@@ -18,11 +18,6 @@ def draw(seed: str, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[k.cast("string") for k in keys]))
 
 
-def chance(seed: str, *keys: Column) -> Column:
-    """A number from 0 to 255 by seed and keys."""
-    return F.conv(F.substring(draw(seed, *keys), 1, 2), 16, 10).cast("int")
-
-
 def row_order_shuffle(df: DataFrame, keys: list[str], seed: str = "rows") -> DataFrame:
     """df with row_no (from 1) in an order that seed and keys give; numbered by ranges, so no task sorts all rows."""
     shuffled = df.withColumn("_order", draw(seed, *[F.col(k) for k in keys]))

@@ -11,12 +11,16 @@ from ..functions.rounding import q
 LABELS = ("full_refusal", "partial_refusal", "no_refusal")
 
 
+#: Sources that are left out unless others are named.
+EXCLUDED = ("QA_19", "QA_20", "QA_73", "QA_74", "QA_75", "QA_76", "QA_77", "QA_78", "QA_79", "QA_94", "QA_96", "QA_107", "QA_113", "QA_115")
+
+
 def source_of(source_id: Column, judgment_id: Column) -> Column:
     """The source id in upper case, else the QA number that the judgment id begins with, else empty."""
     return F.coalesce(F.nullif(F.upper(F.trim(source_id)), F.lit("")), F.upper(F.regexp_extract(judgment_id, r"(?i)^(QA_\d+)(?:__|$)", 1)), F.lit(""))
 
 
-def exclude_sources(judgments: DataFrame, excluded: list[str]) -> DataFrame:
+def exclude_sources(judgments: DataFrame, excluded: list[str] | tuple[str, ...] = EXCLUDED) -> DataFrame:
     """All rows with source and is_excluded."""
     rows = judgments.withColumn("source", source_of(F.col("source_id"), F.col("judgment_id")))
     return rows.withColumn("is_excluded", F.col("source").isin([x.upper() for x in excluded]))
@@ -29,6 +33,13 @@ def exclusion_report(judgments: DataFrame, excluded: list[str]) -> DataFrame:
     return asked.join(found, "source", "left").select("source", F.coalesce("n", F.lit(0).cast("long")).alias("rows"))
 
 
+def exclusion_totals(judgments: DataFrame, excluded: list[str] | tuple[str, ...] = EXCLUDED) -> DataFrame:
+    """original, retained and excluded rows, requested and matched ids."""
+    rows = exclude_sources(judgments, excluded)
+    sums = rows.agg(F.count("*").alias("original"), F.count_if(~F.col("is_excluded")).alias("retained"), F.count_if("is_excluded").alias("excluded"), F.count_distinct(F.when(F.col("is_excluded"), F.col("source"))).alias("matched_ids"))
+    return sums.select("original", "retained", "excluded", F.lit(len({x.upper() for x in excluded})).cast("long").alias("requested_ids"), "matched_ids")
+
+
 def _mean(x: Column, n: Column) -> Column:
     return F.coalesce(q(x / F.nullif(n, F.lit(0)), 4), F.lit(0.0))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rounding import fmt, plain, q, rate
@@ -17,10 +17,25 @@ LEVELS = {
 }
 
 
+#: The columns of the metric table, in order.
+METRIC_COLUMNS = [
+    "group", "attack_records", "paired_records", "original_correct_rate", "attacked_correct_rate", "accuracy_drop", "conditional_robust_accuracy", "attack_success_rate",
+    "clean_dataset_accuracy", "robust_accuracy", "robustness_accuracy_drop", "unique_clean_records", "clean_dataset_correct", "attacked_unique_sources", "attack_coverage",
+    "source_clean_correct_support", "source_balanced_cra", "source_balanced_asr", "support_clean_correct", "stable_correct", "attack_successes",
+    "clean_incorrect_attack_correct", "clean_incorrect_attack_incorrect", "clean_unscored", "attacked_unscored", "unmatched_clean",
+]
+
+
+def level(operator):
+    """The level of an operator, null for an unknown one."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), operator)
+
+
 def pair(attacked: DataFrame, clean: DataFrame) -> DataFrame:
     """Each attacked record with the clean outcome of its source (clean_correct, null where there is none) and `reason` for that."""
     sources = clean.select(F.col("id").alias("source_id"), F.col("correct").alias("clean_correct"))
-    joined = attacked.join(sources, "source_id", "left")
+    named = F.trim("source_id") != ""  # others would all meet under one key
+    joined = attacked.filter(named).join(sources, "source_id", "left").unionByName(attacked.filter(~F.coalesce(named, F.lit(False))), allowMissingColumns=True)
     reason = F.when(F.coalesce(F.trim("source_id"), F.lit("")) == "", "missing_source_id").when(F.col("clean_correct").isNull(), "clean_source_not_found")
     return joined.withColumn("reason", reason).withColumn("attack_type", F.coalesce(F.nullif(F.col("attack_type"), F.lit("")), F.lit(MISSING)))
 
@@ -32,17 +47,46 @@ def robust_summary(attacked: DataFrame, clean: DataFrame, policy: str = "incorre
     Outcomes are counted by source first, with partial sums, and the rates are taken from those counts, so a hot attack type or source is
     one row a task. Denominators over the clean set always take the whole of it.
     """
+    return _rates(_by_source(attacked, clean, policy, by or []), clean, by or []).select(
+        *(by or []), "attack_records", "paired_records", "unmatched_clean", "missing_source", "attacked_unscored", "evaluated", "support", "stable_correct", "attack_successes", "improved", "base_failures",
+        "original_correct_rate", "attacked_correct_rate", "accuracy_drop", "conditional_robust_accuracy", "attack_success_rate", "unique_clean_records", "clean_dataset_accuracy",
+        "source_balanced_cra", "source_balanced_asr", "robustness_accuracy_drop", "robust_accuracy", "attack_coverage",
+    )
+
+
+def metric_table(attacked: DataFrame, clean: DataFrame, policy: str = "incorrect") -> DataFrame:
+    """METRIC_COLUMNS with position: one row overall (position 0), then one for each attack type by name.
+
+    Pairs are joined and counted by attack type and source once; the overall row sums these counts by source.
+    """
+    counts = _by_source(attacked, clean, policy, ["attack_type"])
+    numbers = [c for c in counts.columns if c not in ("attack_type", "source_id", "clean_correct")]
+    every = counts.groupingSets([["attack_type", "source_id", "clean_correct"], ["source_id", "clean_correct"]], "attack_type", "source_id", "clean_correct").agg(
+        *[F.sum(c).alias(c) for c in numbers], (F.grouping("attack_type") == 1).alias("overall")
+    )
+    rows = _rates(every, clean, ["overall", "attack_type"])
+    named = rows.withColumns({
+        "group": F.when(F.col("overall"), "overall").otherwise(F.col("attack_type")), "clean_dataset_correct": F.col("clean_right"), "attacked_unique_sources": F.col("sources"),
+        "source_clean_correct_support": F.col("counted_sources"), "support_clean_correct": F.col("support"), "clean_incorrect_attack_correct": F.col("improved"), "clean_incorrect_attack_incorrect": F.col("base_failures"),
+    })
+    place = F.row_number().over(Window.orderBy(F.desc("overall"), "group")) - 1  # one row a group
+    return named.select(*METRIC_COLUMNS, place.cast("long").alias("position"))
+
+
+def _by_source(attacked: DataFrame, clean: DataFrame, policy: str, by: list[str]) -> DataFrame:
     if policy not in ("incorrect", "exclude"):
         raise ValueError(f"unknown policy {policy}")
-    by = by or []
     pairs = pair(attacked, clean)
     matched = F.col("reason").isNull()
     used = matched & (F.lit(True) if policy == "incorrect" else F.col("is_correct").isNotNull())
     won = F.coalesce(F.col("is_correct"), F.lit(False))
-    by_source = pairs.groupBy(*by, "source_id", "clean_correct").agg(
+    return pairs.groupBy(*by, "source_id", "clean_correct").agg(
         F.count("*").alias("records"), F.count_if(matched).alias("paired"), F.count_if(F.col("reason") == "missing_source_id").alias("missing"),
-        F.count_if(matched & F.col("is_correct").isNull()).alias("unscored"), F.count_if(used).alias("n"), F.count_if(used & won).alias("right"),
+        F.count_if(matched & F.col("is_correct").isNull()).alias("unscored"), F.count_if(matched & F.col("clean_correct").isNull()).alias("clean_unscored"), F.count_if(used).alias("n"), F.count_if(used & won).alias("right"),
     )
+
+
+def _rates(by_source: DataFrame, clean: DataFrame, by: list[str]) -> DataFrame:
     good, bad = F.col("clean_correct"), ~F.col("clean_correct")
     total = lambda c, when=F.lit(True): F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).cast("long")
     share = F.col("right").cast("double") / F.col("n")
@@ -51,11 +95,11 @@ def robust_summary(attacked: DataFrame, clean: DataFrame, policy: str = "incorre
         total("n").alias("evaluated"), total("n", good).alias("support"), total("right").alias("attacked_right"),
         total("right", good).alias("stable_correct"), total("right", bad).alias("improved"), (total("n", good) - total("right", good)).alias("attack_successes"), (total("n", bad) - total("right", bad)).alias("base_failures"),
         F.avg(F.when(good & (F.col("n") > 0), share)).alias("mean_right"), F.coalesce(F.sum(F.when(good & (F.col("n") > 0), 1 - share)), F.lit(0.0)).alias("lost"),
-        F.count_if(F.col("paired") > 0).alias("sources"),
+        F.count_if(F.col("paired") > 0).alias("sources"), F.count_if(good & (F.col("n") > 0)).alias("counted_sources"), total("clean_unscored").alias("clean_unscored"),
     )
     whole = clean.agg(F.count("*").alias("unique_clean_records"), F.count_if("correct").alias("clean_right"))
     out = sums.crossJoin(F.broadcast(whole))  # one row
-    out = out.withColumns({
+    return out.withColumns({
         "unmatched_clean": F.col("attack_records") - F.col("paired_records"),
         "original_correct_rate": rate(F.col("support"), F.col("evaluated")),
         "attacked_correct_rate": rate(F.col("attacked_right"), F.col("evaluated")),
@@ -70,11 +114,6 @@ def robust_summary(attacked: DataFrame, clean: DataFrame, policy: str = "incorre
         "accuracy_drop": q(F.col("original_correct_rate") - F.col("attacked_correct_rate"), 6),
         "robust_accuracy": q(F.col("clean_dataset_accuracy") - F.col("robustness_accuracy_drop"), 6),
     })
-    return out.select(
-        *by, "attack_records", "paired_records", "unmatched_clean", "missing_source", "attacked_unscored", "evaluated", "support", "stable_correct", "attack_successes", "improved", "base_failures",
-        "original_correct_rate", "attacked_correct_rate", "accuracy_drop", "conditional_robust_accuracy", "attack_success_rate", "unique_clean_records", "clean_dataset_accuracy",
-        "source_balanced_cra", "source_balanced_asr", "robustness_accuracy_drop", "robust_accuracy", "attack_coverage",
-    )
 
 
 def unmatched(attacked: DataFrame, clean: DataFrame) -> DataFrame:

@@ -15,13 +15,19 @@ def label_id(x):
     return F.when(head.startswith("DA_"), F.substring(head, F.lit(4), F.length(head))).otherwise(head)
 
 
+def last_labels(labels: DataFrame) -> DataFrame:
+    """id, name, value with each name once an id: the one with the greatest ordinal, or without that column the greatest value."""
+    value = F.max_by("value", "ordinal") if "ordinal" in labels.columns else F.max("value")
+    return labels.groupBy("id", "name").agg(value.alias("value"))
+
+
 def score_answers(responses: DataFrame, labels: DataFrame) -> DataFrame:
     """id, label_id, status, correct, n_fields, n_right, wrong, missing of each response (id, line, status, response).
 
-    labels has one row a field: id, name, value; of a repeated name the last line counts where there is one. Checks go in this
+    labels has one row a field: id, name, value and maybe ordinal; of a repeated name the last counts. Checks go in this
     order: the run and its answer, then the label, then the fields.
     """
-    keyed = labels.groupBy(F.col("id").alias("label_id")).agg(F.collect_list(F.struct("name", "value")).alias("fields"))
+    keyed = last_labels(labels).groupBy(F.col("id").alias("label_id")).agg(F.collect_list(F.struct("name", "value")).alias("fields"))
     rows = responses.withColumn("label_id", label_id(F.col("id"))).join(keyed, "label_id", "left").withColumn("found", extract_fields(F.col("response")))
     told = F.filter("fields", lambda f: answers_equal(F.element_at("found", f["name"]), f["value"]))
     absent = F.filter("fields", lambda f: F.element_at("found", f["name"]).isNull())
@@ -46,7 +52,7 @@ def last_scores(scores: DataFrame) -> DataFrame:
 
 def dataset_report(scores: DataFrame, labels: DataFrame) -> DataFrame:
     """labels, matched, correct, question_accuracy and fields, right_fields, field_accuracy over all labels; unanswered ones are wrong."""
-    sizes = labels.groupBy(F.col("id").alias("label_id")).agg(F.count("*").alias("fields"))
+    sizes = last_labels(labels).groupBy(F.col("id").alias("label_id")).agg(F.count("*").alias("fields"))
     rows = sizes.join(last_scores(scores), "label_id", "left")
     sums = rows.agg(
         F.count("*").alias("labels"), F.count("line").alias("matched"), F.count_if(F.coalesce("correct", F.lit(False))).alias("correct"), F.sum("fields").alias("fields"), F.coalesce(F.sum("n_right"), F.lit(0)).alias("right_fields")

@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code, ids, parse
 from ..functions.rounding import fmt
 from ..operators import canonical, files, gates, integrity, perturb, profile, reliability, robust, scoring, select, shape
 from ..sources import grid
+from . import evaluation, structure  # noqa: F401
 from . import fixtures as fx
 from .fixtures import ratio, robust_sql, rounded, table, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 def _clean(s, d):
     return canonical.canonical_clean(fx.clean_attempts(s, d))
@@ -370,9 +355,23 @@ def _decoyed(s, d):
     return perturb.decoy_features(_orders(s, d).drop("o_orderdate"), "o_orderkey", "o_totalprice", "o_orderstatus")
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, floor(o_totalprice / 1000)::BIGINT AS o_totalprice_band FROM orders")
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, round(o_totalprice * 1.1, 2) AS o_totalprice_forecast, floor(o_totalprice / 1000)::BIGINT AS o_totalprice_band,
+ o_totalprice > avg(o_totalprice) OVER (PARTITION BY o_orderstatus) AS o_totalprice_above_mean FROM orders""")
 def decoy_feature_pack(s, d):
-    return _decoyed(s, d).drop("o_totalprice_forecast", "o_totalprice_above_mean")
+    return _decoyed(s, d)
+
+
+@query("SELECT 0::BIGINT AS changed")
+def decoy_originals_unchanged(s, d):
+    before = _orders(s, d).drop("o_orderdate")
+    return integrity.originals_unchanged(before, _decoyed(s, d), before.columns)
+
+
+@query("SELECT (SELECT 2 * count(*) FROM orders WHERE o_orderkey % 5 = 0) AS changed")
+def damaged_originals_found(s, d):
+    before = _orders(s, d).drop("o_orderdate")
+    damaged = _decoyed(s, d).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 1000000).otherwise(F.col("o_totalprice")))
+    return integrity.originals_unchanged(before, damaged, before.columns)
 
 
 @query("SELECT c AS \"column\", (SELECT count(*) FROM orders) AS filled, 1.0::DOUBLE AS coverage, true AS passed FROM unnest(['o_totalprice_forecast', 'o_totalprice_band', 'o_totalprice_above_mean']) t(c)")
@@ -437,10 +436,10 @@ def file_package_diff(s, d):
     return integrity.package_diff(before, kept.unionByName(new))
 
 
-@query("SELECT sum(p_retailprice * p_size)::DOUBLE > 0 AS positive, count(*) AS n, sum(p_size)::BIGINT AS total FROM part")
+@query("SELECT sum((p_retailprice * p_size)::DECIMAL(18,4))::VARCHAR AS worth, count(*) AS n, sum(p_size)::BIGINT AS total FROM part")
 def answer_invariance(s, d):
     t = table(s, d, "part").select("p_partkey", "p_retailprice", "p_size")
-    return perturb.row_order_shuffle(t, ["p_partkey"]).agg((F.sum(F.col("p_retailprice") * F.col("p_size")) > 0).alias("positive"), F.count("*").alias("n"), F.sum("p_size").alias("total"))
+    return perturb.row_order_shuffle(t, ["p_partkey"]).agg(F.sum((F.col("p_retailprice") * F.col("p_size")).cast("decimal(18,4)")).cast("string").alias("worth"), F.count("*").alias("n"), F.sum("p_size").alias("total"))
 
 
 # Perturbations that take the answer away.
@@ -479,10 +478,10 @@ def evidence_conflict_check(s, d):
     return integrity.conflicts(perturb.evidence_conflict(t, "o_totalprice", F.expr(_NEEDED), F.col("o_totalprice") + 50), "o_orderkey", "o_totalprice")
 
 
-@query("SELECT f AS file, CASE WHEN f = 'orders' THEN 'removed' ELSE 'unchanged' END AS state FROM unnest(['customer', 'orders', 'part']) t(f)")
+@query("SELECT p_partkey::VARCHAR AS file, CASE WHEN p_size % 5 = 0 THEN 'removed' ELSE 'unchanged' END AS state FROM part")
 def file_missing(s, d):
-    files = s.createDataFrame([(f, f[::-1]) for f in ("customer", "orders", "part")], "file string, sha256 string")
-    return integrity.package_diff(files, files.filter("file <> 'orders'"))
+    inventory = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("file"), F.sha2("p_name", 256).alias("sha256"), "p_size")
+    return integrity.package_diff(inventory, inventory.filter("p_size % 5 <> 0"))
 
 
 @query("SELECT 1 AS \"row\", unnest([1, 2, 3]) AS col, unnest(['s_suppkey', 's_nationkey', 's_nationkey']) AS value, unnest([false, false, true]) AS repeated")
@@ -584,18 +583,19 @@ def text_functions(s, d):
     return c.select("c_custkey", parse.attack_id(F.concat(F.lit("DA_"), F.col("c_custkey").cast("string")), F.lit("row_order_shuffle"), F.lit(1)).alias("attack_id"), files.alias("files"), parse.question_text(F.col("c_name"), F.lit(" "), F.lit("@x[..]")).alias("question"))
 
 
-@query("SELECT event_id, CASE WHEN value / 100 < 0.25 THEN 0.0 WHEN value / 100 < 0.75 THEN 0.5 ELSE 1.0 END::DOUBLE AS score, CASE WHEN value / 100 < 0.25 THEN 'no_refusal' WHEN value / 100 < 0.75 THEN 'partial_refusal' ELSE 'full_refusal' END AS label FROM events WHERE value / 100 NOT IN (0.25, 0.75)")
+@query("SELECT event_id, CASE WHEN x <= 0.25 THEN 0.0 WHEN x <= 0.75 THEN 0.5 WHEN x > 0.75 THEN 1.0 END::DOUBLE AS score, CASE WHEN x <= 0.25 THEN 'no_refusal' WHEN x <= 0.75 THEN 'partial_refusal' WHEN x > 0.75 THEN 'full_refusal' END AS label FROM (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 0.25 WHEN 1 THEN 0.75 WHEN 2 THEN NULL ELSE value / 100 END::DOUBLE AS x FROM events)")
 def score_labels(s, d):
-    x = parse.nearest_score(F.col("value") / 100)
-    return table(s, d, "events").filter("value / 100 NOT IN (0.25D, 0.75D)").select("event_id", x.alias("score"), parse.refusal_label(x).alias("label"))
+    k = F.col("event_id") % 9  # ties and nulls among them
+    x = parse.nearest_score(F.when(k == 0, F.lit(0.25)).when(k == 1, F.lit(0.75)).when(k != 2, F.col("value") / 100))
+    return table(s, d, "events").select("event_id", x.alias("score"), parse.refusal_label(x).alias("label"))
 
 
 # Identifiers, files and gates.
-@query("SELECT judgment_id, 'DA_' || judgment_id AS id, coalesce(nullif(label, ''), 'unknown') AS label, 'a_b_c.csv' AS safe, 'm_x' AS model, 'p::' || judgment_id || '::1' AS key FROM (" + with_views("SELECT * FROM refusals", "refusals") + ")")
+@query("SELECT judgment_id, judgment_id AS id, 'DA_' || judgment_id AS whole_id, coalesce(nullif(label, ''), 'unknown') AS label, 'a_b_c.csv' AS safe, 'm_x' AS model, 'p::' || judgment_id || '::1' AS key FROM (" + with_views("SELECT * FROM refusals", "refusals") + ")")
 def identifiers(s, d):
     x = fx.refusals(s, d)
     return x.select(
-        "judgment_id", ids.clean_id(F.col("judgment_id")).alias("id"), ids.or_default(F.col("label")).alias("label"), ids.safe_name(F.lit(' a:b*/c.csv ')).alias("safe"),
+        "judgment_id", ids.clean_id(F.col("judgment_id")).alias("id"), ids.clean_id(F.col("judgment_id").cast("long")).alias("whole_id"), ids.or_default(F.col("label")).alias("label"), ids.safe_name(F.lit(' a:b*/c.csv ')).alias("safe"),
         ids.model_name(F.lit("/x/m_x_judgments.jsonl"), {"other": "o"}).alias("model"), ids.judgment_key(F.lit("p"), F.col("judgment_id"), F.lit(1)).alias("key"),
     )
 
@@ -619,10 +619,11 @@ def operator_eligibility(s, d):
     return files.eligible_operators(packages, cat)
 
 
-@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders")
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 4 = 0 THEN '{}' ELSE '{\"operator\":\"' || o_orderstatus || '\"}' END AS construction FROM orders")
 def public_projection(s, d):
-    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit("x").alias("construct_history"), F.lit(2).alias("validation_attempts"))
-    return files.public_records(o)
+    made = F.struct(F.col("o_orderstatus").alias("operator"), F.array(F.lit("x")).alias("construct_history"), F.lit(2).alias("validation_attempts"))
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 4 != 0, made).alias("construction"))
+    return files.public_records(o).withColumn("construction", F.to_json("construction"))
 
 
 @query("SELECT c_custkey, c_nationkey::VARCHAR AS file_name, 'table_not_found' AS reason FROM customer WHERE c_nationkey >= 10")
@@ -631,10 +632,10 @@ def missing_table_report(s, d):
     return files.missing_tables(q, table(s, d, "nation").filter("n_nationkey < 10").select(F.col("n_nationkey").cast("string").alias("file")))
 
 
-@query("SELECT o_orderstatus, count(*) AS n, round(sum(round(o_totalprice, 2)), 0) AS total, min(round(o_totalprice, 2)) AS least, max(round(o_totalprice, 2)) AS most FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus, count(*) AS n, format('{:.2f}', sum(round(o_totalprice, 2)::DECIMAL(18,2))) AS total, format('{:.4f}', sum(round(o_totalprice, 2)::DECIMAL(18,2))::DOUBLE / count(*)) AS mean, min(round(o_totalprice, 2)) AS least, max(round(o_totalprice, 2)) AS most FROM orders GROUP BY 1")
 def computed_aggregates(s, d):
     o = table(s, d, "orders").select("o_orderstatus", fmt(F.col("o_totalprice"), "#,##0.00").alias("v"))
-    return files.computed_aggregates(o, ["o_orderstatus"], "v").drop("mean").withColumn("total", F.round("total", 0))
+    return files.computed_aggregates(o, ["o_orderstatus"], "v").withColumns({"total": F.format_string("%.2f", "total"), "mean": F.format_string("%.4f", "mean")})
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'requests' WHEN event_id % 3 = 1 THEN 'c:\\' END AS fragment FROM events")

@@ -107,7 +107,7 @@ def ratio(part: str, whole: str, digits: int = 6) -> str:
     return rounded(f"CASE WHEN ({whole}) > 0 THEN ({part})::DOUBLE / ({whole})::DOUBLE END", digits)
 
 
-def robust_sql(policy: str, by: list[str]) -> str:
+def robust_sql(policy: str, by: list[str], more: str = "") -> str:
     keys = "".join(f"{b}, " for b in by)
     group = f"GROUP BY {', '.join(by)}" if by else ""
     used = "m" if policy == "incorrect" else "m AND is_correct IS NOT NULL"
@@ -119,12 +119,12 @@ src AS (SELECT {keys}source_id, cc, count(*) AS records, count(*) FILTER (WHERE
 sums AS (SELECT {keys}sum(records)::BIGINT AS attack_records, sum(paired)::BIGINT AS paired_records, sum(missing)::BIGINT AS missing_source, sum(unscored)::BIGINT AS attacked_unscored, sum(n)::BIGINT AS evaluated,
  coalesce(sum(n) FILTER (WHERE cc), 0)::BIGINT AS support, sum(r)::BIGINT AS attacked_right, coalesce(sum(r) FILTER (WHERE cc), 0)::BIGINT AS stable_correct, coalesce(sum(r) FILTER (WHERE NOT cc), 0)::BIGINT AS improved,
  coalesce(sum(n - r) FILTER (WHERE cc), 0)::BIGINT AS attack_successes, coalesce(sum(n - r) FILTER (WHERE NOT cc), 0)::BIGINT AS base_failures,
- avg(r::DOUBLE / n) FILTER (WHERE cc AND n > 0) AS mean_right, coalesce(sum(1 - r::DOUBLE / n) FILTER (WHERE cc AND n > 0), 0) AS lost, count(*) FILTER (WHERE paired > 0) AS sources FROM src {group}),
+ avg(r::DOUBLE / n) FILTER (WHERE cc AND n > 0) AS mean_right, coalesce(sum(1 - r::DOUBLE / n) FILTER (WHERE cc AND n > 0), 0) AS lost, count(*) FILTER (WHERE paired > 0) AS sources, count(*) FILTER (WHERE cc AND n > 0) AS counted_sources FROM src {group}),
 whole AS (SELECT count(*) AS unique_clean_records, count(*) FILTER (WHERE correct) AS clean_right FROM clean),
 r1 AS (SELECT *, {ratio("support", "evaluated")} AS original_correct_rate, {ratio("attacked_right", "evaluated")} AS attacked_correct_rate, {ratio("clean_right", "unique_clean_records")} AS clean_dataset_accuracy,
  {ratio("lost", "unique_clean_records")} AS robustness_accuracy_drop FROM sums, whole)
 SELECT {keys}attack_records, paired_records, attack_records - paired_records AS unmatched_clean, missing_source, attacked_unscored, evaluated, support, stable_correct, attack_successes, improved, base_failures,
  original_correct_rate, attacked_correct_rate, {rounded("original_correct_rate - attacked_correct_rate", 6)} AS accuracy_drop, {ratio("stable_correct", "support")} AS conditional_robust_accuracy,
  {ratio("attack_successes", "support")} AS attack_success_rate, unique_clean_records, clean_dataset_accuracy, {rounded("mean_right", 6)} AS source_balanced_cra, {rounded("1 - mean_right", 6)} AS source_balanced_asr,
- robustness_accuracy_drop, {rounded("clean_dataset_accuracy - robustness_accuracy_drop", 6)} AS robust_accuracy, {ratio("sources", "unique_clean_records")} AS attack_coverage FROM r1"""
+ robustness_accuracy_drop, {rounded("clean_dataset_accuracy - robustness_accuracy_drop", 6)} AS robust_accuracy, {ratio("sources", "unique_clean_records")} AS attack_coverage{more} FROM r1"""
     return with_views("", "attacked", "clean").rstrip() + body
