@@ -1,14 +1,16 @@
-"""Word-wise memoised encoding with a public tokenizer file.
+"""Piecewise memoised encoding with a public tokenizer file.
 
-No token of the supported tokenizers holds white space after a character that is not white space, so a text
-may be cut before every space or line end that follows such a character, and each piece encoded by itself. A line end
-between two such characters is a token of its own. Pieces repeat very often; their ids are kept in a bounded memo for
-the life of a Python worker.
+Where no token holds white space after a character that is not white space, a text may be cut before every space or line
+end that follows such a character, and each piece encoded by itself. A line end between two such characters is then a
+token of its own. This is tried at load, with characters of every Unicode category on both sides; a file that fails
+encodes whole texts, as sentencepiece models do. Pieces repeat very often; their ids are kept in a bounded memo for the life of a Python worker.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
@@ -20,7 +22,7 @@ _SAFE_SPACE = re.compile(r"(?<=\S) ")
 #: Letters up to U+00FF, which are in one normal form, and ASCII marks; contractions, digits and special tokens are left to the library.
 _LETTERS, _MARKS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"""!"#$%&()*+,\-./:;=>?@\[\\\]^_`{}~"""
 _WORD = re.compile(rf"([{_LETTERS}]+)([{_MARKS}]*)").fullmatch
-_PROBES = ("the", "Erheth", "été", "über", "años", "A", "end.", "été***", "Über!!", "a_")
+PROBES = 1500
 MEMO_LIMIT = 500_000
 LONGEST = 64
 
@@ -45,6 +47,37 @@ def _lowered(word: str) -> str:
     return _plain(word.lower())
 
 
+@lru_cache(maxsize=1)
+def _characters() -> tuple[str, ...]:
+    """Two characters of each Unicode category that aren't white space, and marks that tokenizers treat apart."""
+    found: dict[str, list[str]] = {}
+    for code in (*range(0x3000), *range(0xAC00, 0xAC10), *range(0x1F600, 0x1F604)):
+        c = chr(code)
+        if not c.isspace() and len(kind := found.setdefault(unicodedata.category(c), [])) < 2:
+            kind.append(c)
+    return tuple(sorted({c for kind in found.values() for c in kind} | set("'’_-.<|#")))
+
+
+def cuts_at_spaces(tokenizer) -> bool:
+    """Whether encoding a text is encoding its pieces, for all pairs of characters around a space or a line end."""
+    chars = _characters()
+    ids = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    alone, spaced, line = ids(list(chars)), ids([" " + c for c in chars]), ids(["\n"])[0]
+    pairs = [(i, j) for i in range(len(chars)) for j in range(len(chars))]
+    with_space, with_line = (ids([chars[i] + between + chars[j] for i, j in pairs]) for between in " \n")
+    return all(x == alone[i] + spaced[j] and y == alone[i] + line + alone[j] for (i, j), x, y in zip(pairs, with_space, with_line))
+
+
+@lru_cache(maxsize=1)
+def _probes() -> tuple[str, ...]:
+    """Words of plain letters and marks, as _WORD takes them."""
+    rng = random.Random(1)
+    letters, marks = [chr(c) for c in range(256) if re.match(f"[{_LETTERS}]", chr(c))], [chr(c) for c in range(128) if re.match(f"[{_MARKS}]", chr(c))]
+    ascii_letters = [c for c in letters if c.isascii()]
+    word = lambda: "".join(rng.choice(letters if rng.random() < 0.2 else ascii_letters) for _ in range(rng.randint(1, 9)))
+    return tuple(word() + "".join(rng.choice(marks) for _ in range(rng.choice((0, 0, 1, 2)))) for _ in range(PROBES))
+
+
 class _Memo(dict):
     """Values by piece, in two generations of MEMO_LIMIT at most.
 
@@ -81,16 +114,22 @@ class Encoder:
         self.tokenizer.no_padding()
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
         self.lengths_only = lengths_only
+        self.cuts = cuts_at_spaces(self.tokenizer)
         self._code = "H" if self.dtype == "<u2" else "I"
         self._model = self.tokenizer.model.tokenize
         self._line = self._value(self._encode("\n"))
-        for forms in ((_spaced, _plain), (_lowered, _lowered), None):
+        self.marks = _Memo(lambda x: self._value(self._encode(x)))
+        self.marks[""] = self._value([])
+        self.spaced, self.bare, self.forms = _Memo(lambda x: self._piece(x, 0)), _Memo(lambda x: self._piece(x, 1)), None
+        if lengths_only or not self.cuts:
+            return  # counts come from batches of the library
+        probes = _probes()
+        spaced, bare = ([self._value(e.ids) for e in self.tokenizer.encode_batch_fast([head + x for x in probes], add_special_tokens=False)] for head in (" ", ""))
+        for forms in ((_spaced, _plain), (_lowered, _lowered)):
             self.forms = forms
-            self.spaced, self.bare = _Memo(lambda x: self._piece(x, 0)), _Memo(lambda x: self._piece(x, 1))
-            self.marks = _Memo(lambda x: self._value(self._encode(x)))
-            self.marks[""] = self._value([])
-            if not forms or all(self.spaced[x] == self._value(self._encode(" " + x)) and self.bare[x] == self._value(self._encode(x)) for x in _PROBES):
-                break  # the library's model gives for the parts of a piece what the library gives for the whole
+            if all(self._piece(x, 0) == y and self._piece(x, 1) == z for x, y, z in zip(probes, spaced, bare)):
+                return  # the library's model gives for the parts of a piece what the library gives for the whole
+        self.forms = None
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -108,14 +147,33 @@ class Encoder:
             return (self.spaced, self.bare)[kind][word] + self.marks[marks]
         return self._value([t.id for t in self._model(self.forms[kind](word))])
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode in one batch the pieces (with a space in front) that are not known and not made of plain words."""
-        new = [x for x in set(pieces).difference(self.spaced) if len(x) <= LONGEST and x not in self.spaced.older and not (self.forms and _WORD(x))]
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast([" " + x for x in new], add_special_tokens=False)):
-            self.spaced.keep(piece, self._value(got.ids))
+    def _cut(self, text: str) -> tuple[list[str], list[str]]:
+        """Pieces that begin a text or a line, and pieces with a space in front."""
+        if _UNSAFE(text):
+            head, *rest = _SAFE_SPACE.split(text)
+            return [head], rest
+        heads, rest = [], []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            heads.append(words[0])
+            rest += words[1:]
+        return heads, rest
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text. The pieces that are not known are encoded in one batch."""
+        if not self.cuts:
+            return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = [self._cut(t) for t in texts]
+        for memo, k, front in ((self.bare, 0, ""), (self.spaced, 1, " ")):
+            new = [x for x in set().union(*[c[k] for c in cut]).difference(memo) if len(x) <= LONGEST and x not in memo.older]
+            for piece, got in zip(new, self.tokenizer.encode_batch_fast([front + x for x in new], add_special_tokens=False)):
+                memo.keep(piece, len(got.ids))
+        return [sum(map(self.bare.__getitem__, heads)) + sum(map(self.spaced.__getitem__, rest)) + self._line * (len(heads) - 1) for heads, rest in cut]
 
     def values(self, text: str) -> list:
         """Values of the pieces of a text in order."""
+        if not self.cuts:
+            return [self._value(self._encode(text))]
         safe = _UNSAFE(text) is None
         out = []
         for i, line in enumerate(text.split("\n") if safe else [text]):
@@ -128,7 +186,25 @@ class Encoder:
         return np.frombuffer(b"".join(self.values(text)) if text else b"", self.dtype)
 
 
+class PieceModel:
+    """A sentencepiece model, with whole texts only."""
+
+    cuts = False
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.dtype = "<u2" if self.model.get_piece_size() <= 65536 else "<u4"
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return [len(x) for x in self.model.encode(texts, num_threads=1)]
+
+    def ids(self, text: str | None) -> np.ndarray:
+        return np.array(self.model.encode(text) if text else [], self.dtype)
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str, lengths_only: bool = False) -> Encoder:
-    """One encoder for each file and worker."""
-    return Encoder(path, lengths_only)
+def encoder(path: str, lengths_only: bool = False) -> Encoder | PieceModel:
+    """One encoder for each file and worker: tokenizers for .json, sentencepiece for .model."""
+    return PieceModel(path) if path.endswith(".model") else Encoder(path, lengths_only)

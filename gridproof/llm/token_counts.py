@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._tokens import encoder
@@ -13,14 +13,14 @@ BATCH_BYTES = 1 << 20
 SPLIT_CHARS = 1 << 20
 
 
-def _parts(text: str) -> Iterator[str]:
-    """Parts of a text of at most about SPLIT_CHARS characters, cut only at safe boundaries."""
-    if len(text) <= SPLIT_CHARS:
+def parts(text: str, most: int = SPLIT_CHARS) -> Iterator[str]:
+    """Parts of a text of at most about `most` characters, cut only at safe boundaries."""
+    if len(text) <= most:
         yield text
         return
     start = 0
     while start < len(text):
-        end = start + SPLIT_CHARS
+        end = start + most
         while end < len(text):
             end = text.find(" ", end)
             if end < 0:
@@ -33,38 +33,37 @@ def _parts(text: str) -> Iterator[str]:
         start = end
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, split_chars: int = SPLIT_CHARS, batch_bytes: int = BATCH_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, n_bytes, n_tokens, over_limit for every row; no shuffle.
 
     Null and empty texts have 0 bytes and 0 tokens. Null ids and repeated rows pass through, one result a row. Texts
-    are dealt into encoding batches by their bytes, not by rows, and texts over SPLIT_CHARS are cut before a space that
-    follows a character other than white space, where no token can cross. An empty table gives an empty table.
-    Columns other than these two are ignored, whatever their names.
+    are dealt into encoding batches by their bytes, not by rows. Where a tokenizer cuts at spaces, texts over split_chars are counted part by part,
+    cut before a space that follows a character other than white space, where no token can cross; for others they stay whole. An empty
+    table gives an empty table. Columns other than these two are ignored, whatever their names.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, True)
+        for batch in batches:
+            counts, waiting, size = [0] * batch.num_rows, [], 0  # waiting: (row, part)
 
-        def close(batch: list[tuple]) -> pd.DataFrame:
-            enc.learn([x for _, _, t in batch for x in t.split(" ")])
-            counts = [sum(enc.values(t)) if t else 0 for _, _, t in batch]
-            return pd.DataFrame({"id": pd.Series([x for x, _, _ in batch], dtype="Int64"), "n_bytes": [n for _, n, _ in batch], "n_tokens": counts})
+            def close() -> None:
+                for (row, _), n in zip(waiting, enc.counts([t for _, t in waiting])):
+                    counts[row] += n
+                waiting.clear()
 
-        batch, size = [], 0
-        for frame in frames:
-            for key, text in zip(frame["id"].astype("Int64"), frame["text"]):
-                n = len(text.encode("utf-8", "surrogatepass")) if text else 0
-                if n > SPLIT_CHARS:  # alone, part by part, so that memory stays bounded
-                    counted = sum(sum(enc.values(p)) for p in _parts(text))
-                    yield pd.DataFrame({"id": pd.Series([key], dtype="Int64"), "n_bytes": [n], "n_tokens": [counted]})
-                    continue
-                batch.append((key, n, text or ""))
-                size += n
-                if size >= BATCH_BYTES:
-                    yield close(batch)
-                    batch, size = [], 0
-        if batch:
-            yield close(batch)
+            for row, (text, n) in enumerate(zip(batch.column("text"), batch.column("n_bytes").to_pylist())):
+                text = text.as_py()
+                for part in parts(text, split_chars) if enc.cuts else (text,):
+                    if part:
+                        waiting.append((row, part))
+                    size += len(part) if len(text) > split_chars else n
+                    if size >= batch_bytes:
+                        close()
+                        size = 0
+            close()
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    out = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").mapInPandas(run, "id long, n_bytes long, n_tokens long")
+    rows = docs.selectExpr(f"cast(`{id_col}` as long) AS id", f"coalesce(`{text_col}`, '') AS text").selectExpr("id", "text", "cast(octet_length(text) as long) AS n_bytes")
+    out = rows.mapInArrow(run, "id long, n_bytes long, n_tokens long")
     return out.selectExpr(f"id AS `{id_col}`", "n_bytes", "n_tokens", f"n_tokens > {int(limit)} AS over_limit")

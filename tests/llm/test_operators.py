@@ -25,7 +25,7 @@ from gridproof.llm.packing import PIECES, _across, bands, pack, pack_documents
 from gridproof.llm.quality import quality
 from gridproof.llm.simhash import near_duplicates, near_edges, simhash
 from gridproof.llm.suffix_dedup import remove_repeats, repeated_spans
-from gridproof.llm.token_counts import token_counts
+from gridproof.llm.token_counts import parts, token_counts
 from gridproof.llm.token_output import build_mph, mph_slots, write_tokens
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -78,7 +78,8 @@ def test_pieces_encode_as_the_whole():
         library, enc, count = Tokenizer.from_file(path), _tokens.Encoder(path), _tokens.Encoder(path, True)
         for t in [x for x in HARD if x] + [words(300, 5), "ªµº ﬁ ẛ̣ Σ ΑΣ", "\x00 a\x00", "x\n's y\n12", " lead", "a .b"]:
             want = library.encode(t, add_special_tokens=False).ids
-            assert enc.ids(t).tolist() == want and sum(count.values(t)) == len(want)
+            assert enc.ids(t).tolist() == want and count.counts([t, "a", t]) == [len(want), count.counts(["a"])[0], len(want)]
+        assert enc.cuts and count.cuts
 
 
 def test_memo_stays_bounded(monkeypatch):
@@ -473,15 +474,42 @@ def test_boilerplate(spark, odd, empty):
 
 
 # 9
-def test_token_counts(spark, docs, texts, odd, empty, monkeypatch):
-    monkeypatch.setattr("gridproof.llm.token_counts.SPLIT_CHARS", 700)
+@pytest.mark.parametrize("split", [1 << 20, 700, 40])
+def test_token_counts(docs, texts, odd, empty, split):
     library = Tokenizer.from_file(WORD_BPE)
-    for r in token_counts(docs, WORD_BPE, limit=100).collect():
+    for r in token_counts(docs, WORD_BPE, limit=100, split_chars=split, batch_bytes=3000).collect():
         n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 100)
     assert token_counts(odd, WORD_BPE).count() == 6 and token_counts(empty, WORD_BPE).count() == 0
 
 
+def test_long_texts_are_cut():
+    long = words(4000, 8) + "\u00a0 \u00a0 x  y\n z" + "q" * 900
+    cut = list(parts(long, 500))
+    assert len(cut) > 30 and "".join(cut) == long and all(len(p) < 2000 for p in cut)
+    library, enc = Tokenizer.from_file(WORD_BPE), _tokens.Encoder(WORD_BPE, True)
+    assert sum(enc.counts(cut)) == len(library.encode(long, add_special_tokens=False).ids)
+
+
+def test_a_tokenizer_that_crosses_spaces_takes_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer as T, models
+
+    vocab = {c: i for i, c in enumerate(" abxy.\n")} | {"a b": 90, "a ": 91}
+    tokenizer = T(models.BPE(vocab=vocab, merges=[("a", " "), ("a ", "b")]))
+    tokenizer.save(f"{tmp_path}/t.json")
+    assert not _tokens.cuts_at_spaces(tokenizer)
+    got = token_counts(spark.createDataFrame([(1, "a ba b"), (2, "x y")], "doc_id long, text string"), f"{tmp_path}/t.json").orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [2, 3]
+
+
+def test_sentencepiece_models(spark, docs, texts):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert all(r.n_tokens == len(model.encode(texts[r.doc_id])) for r in token_counts(docs, path).collect())
+
+
 # 10
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><div class="cookie-notice">We use cookies</div>
 <header><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="ad">Buy &amp; save</div><article><h1>Head  line</h1><p><b>First &lt;b&gt;<br><p>Second&nbsp;&#233; paragraph
