@@ -3,8 +3,9 @@
 A text is cut into paragraphs (lines), and paragraphs into units: up to 8 words, ended early by the end of the line or
 by a sentence mark from the fourth word on, so an edit in one sentence leaves the units of the others alone. Units cover every character.
 Each unit hashes to a wide vector of LANES entries of +1 or -1; the fingerprint is the sum over all units, each lane
-modulo 2**16, as 4 hex digits a lane. So it does not depend on the order of units, and units can be added or taken away by
-adding or subtracting vectors. The cosine of two sums estimates how many units their texts share.
+modulo 2**16, as 4 hex digits a lane. So it does not depend on the order of units, and paragraphs can be added to a fingerprint or
+taken away from it (inserted, deleted) without the rest of the text. Whole paragraphs would be too coarse: many texts are one paragraph, and an edit
+in it would leave no likeness. With entries of +1 or -1 the cosine of two fingerprints estimates how many units their texts share.
 """
 
 from __future__ import annotations
@@ -53,6 +54,32 @@ def digest(vector: Column) -> Column:
     return F.lower(F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(F.pmod(x, F.lit(65536))), 4, "0")), ""))
 
 
+def reduced(vector: Column) -> Column:
+    """A vector as its fingerprint holds it: each lane modulo 2**16, from -2**15 on."""
+    return F.transform(vector, lambda x: F.pmod(x + 32768, F.lit(65536)) - 32768)
+
+
+def parsed(fingerprint: Column) -> Column:
+    """The reduced vector of a fingerprint's hex digits."""
+    lane = lambda i: F.conv(F.substring(fingerprint, 4 * i + 1, F.lit(4)), 16, 10).cast("long")
+    return reduced(F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lane))
+
+
+def inserted(fingerprint: Column, other: Column) -> Column:
+    """The fingerprint of a text with the paragraphs of another one, from the fingerprints of both."""
+    return digest(F.zip_with(parsed(fingerprint), parsed(other), lambda a, b: a + b))
+
+
+def deleted(fingerprint: Column, other: Column) -> Column:
+    """The fingerprint of a text without the paragraphs of another one, all of which it has."""
+    return digest(F.zip_with(parsed(fingerprint), parsed(other), lambda a, b: a - b))
+
+
+def alike(a: Column, b: Column) -> Column:
+    """Likeness of two fingerprints, from their hex digits."""
+    return likeness(parsed(a), parsed(b))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Cosine of two vectors, not below 0; two zero vectors are alike, and only equal vectors have exactly 1."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -74,6 +101,12 @@ def _neighbours(ids: DataFrame) -> DataFrame:
     return inside.join(edges.select("part", "below"), "part").select("k", F.coalesce("next", "below").alias("next"))
 
 
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fingerprint of every row; a null text is empty, and an empty one has the zero fingerprint. Null ids and repeated rows pass through."""
+    rows = docs.select(F.col(id_col).alias("id"), units(F.coalesce(F.col(text_col), F.lit(""))).alias("u")).withColumn("row", F.monotonically_increasing_id())
+    return unit_counters(rows, ["id", "row"], "u").select(F.col("id").alias(id_col), digest(lanes(F.col("n"), F.col("c"))).alias("fingerprint"))
+
+
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
@@ -103,7 +136,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sums = counted.groupBy("k", "next", "doc").agg(pick(0, "n").alias("n"), pick(0, "c").alias("c"), pick(1, "n").alias("en"), pick(1, "c").alias("ec"))
     sums = written(sums, "fingerprints")  # read twice below
     after = sums.groupBy("k").agg(F.min_by(F.struct("n", "c"), F.col("doc.order")).alias("after")).withColumnRenamed("k", "next")
-    vectors = sums.join(after, "next").select(F.nullif(F.col("k"), F.lit(-(1 << 63))).alias("id"), "doc", lanes(F.col("n"), F.col("c")).alias("a"), lanes(F.col("en"), F.col("ec")).alias("b"), lanes(F.col("after.n"), F.col("after.c")).alias("d"))
+    vector = lambda n, c: reduced(lanes(F.col(n), F.col(c)))
+    vectors = sums.join(after, "next").select(F.nullif(F.col("k"), F.lit(-(1 << 63))).alias("id"), "doc", vector("n", "c").alias("a"), vector("en", "ec").alias("b"), vector("after.n", "after.c").alias("d"))
     return vectors.select(
         F.col("id").alias(id_col), "doc.n_chars", "doc.edited_sha256", digest(F.col("a")).alias("fingerprint"), digest(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("d")).alias("near_next"),

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 15
@@ -23,12 +23,12 @@ BATCH = 64
 CHUNK = 1 << 20
 
 
-def presence(text: str) -> np.ndarray:
+def presence(text: str, chunk: int = CHUNK) -> np.ndarray:
     """Presence bits (bool) of the n-grams of a whole text, read in chunks that overlap by two bytes."""
     seen = np.zeros(1 << BITS, bool)
     data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
-    for i in range(0, len(data), CHUNK):
-        one = data[i : i + CHUNK + 2].astype(np.uint32)
+    for i in range(0, len(data), chunk):
+        one = data[i : i + chunk + 2].astype(np.uint32)
         seen[one] = True
         two = one[:-1] << np.uint32(8) | one[1:]
         for grams, odd in ((two, 2654435761), (two[:-1] << np.uint32(8) | one[2:], 2246822519)):
@@ -80,34 +80,29 @@ def limits(bits: np.ndarray, labels: list[str]) -> tuple[np.ndarray, np.ndarray]
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[np.ndarray, list[str]]:
-    """Presence bits and languages of at most per_language labelled rows of each language, those with the smallest hash of their ids.
+    """Presence bits and languages of at most per_language labelled rows of each language, those with the smallest hash of id and text.
 
-    Rows without a language, or whose text has no letter, are no examples. Only presence bits (4 KB a row) come to the
-    driver.
+    Rows without a language, or whose text has no letter, are no examples. Rows that repeat in both are one. The bound is exact before anything
+    comes to the driver, and only presence bits (4 KB a row) do.
     """
-    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
+    labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    order = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("sample"))
+    sizes = {r[0]: max(1, r[1]) for r in labelled.groupBy(lang_col).agg(F.approx_count_distinct(order)).collect()}  # a row a language
     rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, (1.5 * per_language + 50) / n)))]) if sizes else None
     if rate is None:
         return np.empty((0, 1 << BITS), bool), []
-    order = F.xxhash64(F.col(id_col), F.lit("sample"))
-    drawn = labelled.filter(F.pmod(order, F.lit(1 << 31)) < rate[F.col(lang_col)] * F.lit(1 << 31))
+    likely = labelled.filter(F.pmod(order, F.lit(1 << 31)) < rate[F.col(lang_col)] * F.lit(1 << 31))  # somewhat more than the bound, by a hash
+    each = likely.groupBy(F.col(lang_col).alias("lang"), order.alias("h")).agg(F.min(text_col).alias("text"))
+    drawn = each.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= per_language)
 
     def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f = f[[has_letter(t) for t in f["text"]]]
             yield pd.DataFrame({"h": f["h"], "lang": f["lang"], "bits": [np.packbits(presence(t)).tobytes() for t in f["text"]]})
 
-    rows = drawn.select(order.alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(features, "h long, lang string, bits binary").collect()
-    rows.sort(key=lambda r: (r["h"], r["lang"], bytes(r["bits"])))
-    seen: dict[str, int] = {}
-    kept = []
-    for r in rows:
-        seen[r["lang"]] = seen.get(r["lang"], 0) + 1
-        if seen[r["lang"]] <= per_language:
-            kept.append(r)
-    if not kept:
+    rows = drawn.select("h", "lang", "text").mapInPandas(features, "h long, lang string, bits binary").collect()
+    if not rows:
         return np.empty((0, 1 << BITS), bool), []
+    kept = sorted(rows, key=lambda r: (r["h"], r["lang"], bytes(r["bits"])))
     return np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in kept]).astype(bool), [r["lang"] for r in kept]
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import written
+
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -18,6 +20,8 @@ LINE_SHARE = 0.0005
 #: A document is depleted when fewer words, or a smaller share of them, are left.
 LEAST_LEFT = 10
 LEAST_SHARE = 0.3
+BROADCAST_LINES = 200_000
+SALTS = 32
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -79,23 +83,35 @@ def base_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def removed_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """key, removed: words of a document in lines that are above the limits of its host; only documents with such lines.
+def _line_words(text: Column) -> Column:
+    """Hash and words of each line that has a word, normalised: lower case, runs of white space to one space."""
+    return F.transform(_lines(text), lambda x: _let(_normal(x), lambda t: F.struct(F.xxhash64(t).alias("h"), F.size(F.split(t, " ")).alias("n"))))
+
 
-    Lines are normalised (lower case, runs of white space to one space), hashed to 64 bits, and counted by (host, line)
-    with partial sums before the shuffle, so a line in a third of all documents is a few rows a task. Each row is
-    one document, also where ids repeat.
+def frequent_lines(rows: DataFrame) -> DataFrame:
+    """host, h of lines that stand in more documents of their host than both limits allow; rows has host and lines (of _line_words).
+
+    Counts are partial sums before the shuffle, so a line in a third of all documents is one row a task.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    host = F.coalesce(F.col(host_col), F.lit(""))
-    key = F.xxhash64(F.col(id_col), host, text)
-    hashed = F.transform(_lines(text), lambda x: _let(_normal(x), lambda t: F.struct(F.xxhash64(t).alias("h"), F.size(F.split(t, " ")).alias("n"))))
-    flat = docs.select(key.alias("key"), host.alias("host"), F.explode(hashed).alias("line")).select("key", "host", "line.h", "line.n")
-    by_doc = docs.select(host.alias("host"), F.explode(F.array_distinct(F.transform(_lines(text), lambda x: F.xxhash64(_normal(x))))).alias("h"))
-    sizes = docs.groupBy(host.alias("host")).agg(F.count("*").alias("docs"))
-    often = by_doc.groupBy("host", "h").agg(F.count("*").alias("in_docs")).filter(F.col("in_docs") > LINE_DOCUMENTS).join(sizes, "host").filter(F.col("in_docs") > LINE_SHARE * F.col("docs"))
-    lines = flat.groupBy("key", "host", "h").agg(F.sum("n").alias("n"))
-    return lines.join(often.select("host", "h"), ["host", "h"]).groupBy("key").agg(F.sum("n").alias("removed"))
+    each = rows.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    sizes = rows.groupBy("host").agg(F.count("*").alias("docs"))
+    often = each.groupBy("host", "h").agg(F.count("*").alias("in_docs")).filter(F.col("in_docs") > LINE_DOCUMENTS)
+    return often.join(sizes, "host").filter(F.col("in_docs") > LINE_SHARE * F.col("docs")).select("host", "h")
+
+
+def removed_words(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """row, removed: words in frequent lines; only rows that have such lines.
+
+    Up to BROADCAST_LINES frequent lines (16 bytes and a host each) are broadcast. Beyond that a line's rows are spread over SALTS
+    keys, so that one in a third of all documents is not one task.
+    """
+    flat = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.n")
+    if often.count() <= BROADCAST_LINES:
+        met = flat.join(F.broadcast(often), ["host", "h"])
+    else:
+        salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = flat.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["host", "h", "salt"])
+    return met.groupBy("row").agg(F.sum("n").alias("removed"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -103,17 +119,16 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
     Lines above the limits of their host are removed; a document is rejected when under LEAST_LEFT words, or under
     LEAST_SHARE of its words, are left, or when a base rule fails. Null and empty texts have no words and fail. A null
-    host is a host of its own (with the empty name). Rows that agree in id, host and text share one verdict; null ids pass.
-    An empty table gives an empty table; other columns are ignored.
+    host is a host of its own (with the empty name). Each row is a document of its own with a verdict of its own, also where rows
+    repeat; null ids pass. Texts are read once: features and the hashes of lines are written, without the text. An empty table gives an empty table; other
+    columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    text, host = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("host"), F.lit(""))
-    base = base_features(rows).withColumn("key", F.xxhash64("doc_id", host, text)).drop("text", "host")
-    removed = removed_words(rows, "doc_id", "text", "host")
-    copies = rows.select(F.xxhash64("doc_id", host, text).alias("key")).groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
-    joined = base.join(removed, "key", "left").join(copies, "key", "left")
-    gone = F.coalesce((F.col("removed") / F.coalesce(F.col("copies"), F.lit(1))).cast("long"), F.lit(0).cast("long"))
-    out = joined.withColumn("n_removed_words", gone)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col), F.lit("")).alias("host"))
+    lines = _line_words(F.coalesce(F.col("text"), F.lit("")))
+    base = written(base_features(rows).withColumns({"lines": lines, "row": F.monotonically_increasing_id()}).drop("text"), "quality")
+    often = written(frequent_lines(base), "lines")
+    gone = F.coalesce(F.col("removed"), F.lit(0).cast("long")).cast("long")
+    out = base.drop("lines").join(removed_words(base, often), "row", "left").withColumn("n_removed_words", gone)
     left = F.col("n_words") - F.col("n_removed_words")
     return out.select(
         F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words",

@@ -17,9 +17,9 @@ from tokenizers import Tokenizer
 
 from gridproof.llm import _tokens, suffix_dedup, suffix_sort, token_output
 from gridproof.llm.components import connected_components
-from gridproof.llm.fingerprints import fingerprint_edits
+from gridproof.llm.fingerprints import HASHES, LANES, UNIT, alike, deleted, fingerprint, fingerprint_edits, inserted
 from gridproof.llm.html_text import extract, extract_main_text
-from gridproof.llm.language_id import has_letter, predict, train
+from gridproof.llm.language_id import fit, has_letter, predict, presence, sample, train
 from gridproof.llm.mixing import cumulative, mix
 from gridproof.llm.packing import PIECES, _across, bands, pack, pack_documents
 from gridproof.llm.quality import quality
@@ -318,6 +318,44 @@ def test_fingerprint_is_a_multiset_hash(spark):
     assert lanes(p[1]) == [(x + y) % 65536 for x, y in zip(lanes(alone[1]), lanes(alone[2]))]  # insertion is a sum
 
 
+def test_likeness_is_that_of_the_fingerprints(spark):
+    """near_* from the hex digits alone, against sums of hashed units; insertion and deletion of paragraphs."""
+    a, b = words(300, 31), words(260, 32)
+    wide = "x. " * 70_000  # a lane's sum leaves 16 bits
+    df = spark.createDataFrame([(3, a), (2, b), (1, a[:900] + b), (0, wide)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprint_edits(df).collect()}
+
+    def vector(text):
+        total = np.zeros(LANES, np.int64)
+        for unit in re.finditer(UNIT, text):
+            if unit[0]:
+                h0 = xxhash.xxh64_intdigest(unit[0].encode(), 42)
+                for k in range(HASHES):
+                    h = xxhash.xxh64_intdigest(int(k).to_bytes(4, "little"), h0)
+                    bits = np.array([h >> i & 1 for i in range(64)])
+                    # as the fingerprint orders them: all low counters, then all high ones
+                    total[32 * k : 32 * k + 32] += 2 * bits[:32] - 1
+                    total[LANES // 2 + 32 * k : LANES // 2 + 32 * k + 32] += 2 * bits[32:] - 1
+        return (total + 32768) % 65536 - 32768
+
+    def cosine(x, y):
+        x, y = x.astype(float), y.astype(float)
+        return 1.0 if (x == y).all() else min(1.0, max(0.0, float(x @ y) / math.sqrt(float(x @ x) * float(y @ y))))
+
+    for i, after in ((3, 2), (2, 1), (1, 0), (0, 3)):
+        text = {3: a, 2: b, 1: a[:900] + b, 0: wide}
+        n = len(text[i]) // 3
+        assert got[i].fingerprint == "".join(f"{int(x) % 65536:04x}" for x in vector(text[i]))
+        assert math.isclose(got[i].near_next, cosine(vector(text[i]), vector(text[after])), abs_tol=1e-9)
+        assert math.isclose(got[i].near_edited, cosine(vector(text[i]), vector(text[i][: len(text[i]) - n] + text[after][:n])), abs_tol=1e-9)
+    lines = ["first paragraph of its own\n", "a second one, here\n", "the third\n"]
+    one = spark.createDataFrame([(0, "".join(lines)), (1, lines[0] + lines[2]), (2, lines[1]), (3, lines[2] + lines[1] + lines[0])], "doc_id long, text string")
+    p = {r.doc_id: r.fingerprint for r in fingerprint(one).collect()}
+    x = spark.createDataFrame([(p[0], p[1], p[2])], "all string, two string, one string")
+    r = x.select(inserted(F.col("two"), F.col("one")).alias("i"), deleted(F.col("all"), F.col("one")).alias("d"), alike(F.col("all"), F.col("all")).alias("same")).first()
+    assert r.i == p[0] == p[3] and r.d == p[1] and r.same == 1.0
+
+
 def test_fingerprints_odd_and_empty(spark, odd, empty):
     got = fingerprint_edits(odd).collect()
     assert Counter(r.doc_id for r in got) == {None: 2, 7: 3, 9: 1} and fingerprint_edits(empty).count() == 0
@@ -405,6 +443,29 @@ def test_languages(spark):
     assert not has_letter("½ 1 _") and has_letter("1é")
 
 
+def test_kernel_ridge_against_brute_force():
+    """With all rows as landmarks the map is exact, so the scores are those of kernel ridge regression in its dual form; chunks don't matter."""
+    texts = [words(30, i) if i % 2 else " ".join(w[::-1] + "x" for w in words(30, i).split()) for i in range(24)]
+    labels = ["a" if i % 2 else "b" for i in range(24)]
+    bits = np.stack([presence(t) for t in texts])
+    names, weights = fit(bits[:20], labels[:20], landmarks=20, ridge=1e-2)
+    x = bits / np.sqrt(bits.sum(1, keepdims=True))
+    kernel, y = x[:20] @ x[:20].T, np.where(np.array(labels[:20])[:, None] == np.array(names), 1.0, -1.0)
+    want = x[20:] @ x[:20].T @ np.linalg.solve(kernel + 1e-2 * np.eye(20), y)
+    got = bits[20:].astype(np.float32) @ weights / np.sqrt(bits[20:].sum(1, keepdims=True))
+    assert names == ["a", "b"] and np.abs(got - want).max() < 1e-3
+    text = words(400, 3) + "é€😀" * 20
+    whole = presence(text)
+    for size in (7, 64, 1001):
+        assert (presence(text, size) == whole).all()
+
+
+def test_sample_is_bounded_where_one_id_holds_most_rows(spark):
+    rows = [(7, f"hot text {i % 3}", "en") for i in range(900)] + [(None, f"text number {i}", "fr") for i in range(300)]
+    bits, labels = sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=40)
+    assert Counter(labels) == {"en": 3, "fr": 40} and len(bits) == 43
+
+
 def test_languages_odd_and_empty(odd, empty):
     model = train(odd)
     assert model[0] == ["en"] and predict(odd, model).count() == 6
@@ -473,6 +534,40 @@ def test_boilerplate(spark, odd, empty):
     assert quality(odd).count() == 6 and quality(empty).count() == 0
 
 
+def brute_kept(rows):
+    """kept by (doc_id, text) rows, one by one, with lists and dicts."""
+    word = lambda t: re.findall("[^\x20\x09-\x0d]+", t or "")
+    normal = lambda x: " ".join(word(x)).lower()
+    hosts, seen = Counter(), Counter()
+    for _, t, host in rows:
+        hosts[host or ""] += 1
+        for line in {normal(x) for x in (t or "").split("\n") if word(x)}:
+            seen[host or "", line] += 1
+    out = []
+    for i, t, host in rows:
+        w = word(t)
+        win = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {j for k in range(len(w) - 7) if win[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        gone = sum(len(word(x)) for x in (t or "").split("\n") if word(x) and seen[host or "", normal(x)] > max(20, 0.0005 * hosts[host or ""]))
+        left = len(w) - gone
+        out.append((i, gone, len(w) >= 20 and 100 * len(covered) <= 30 * len(w) and left >= 10 and left >= 0.3 * len(w)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_quality_verdicts(spark, monkeypatch, most):
+    monkeypatch.setattr("gridproof.llm.quality.BROADCAST_LINES", most)  # 0: the salted join
+    rng, rows = np.random.default_rng(5), []
+    common = [f"Share this page with {w} friends of yours now" for w in ("all", "two", "no")]
+    for i in range(400):
+        lines = [words(int(rng.integers(3, 30)), 1000 + i)] + [c.upper() if rng.random() < 0.2 else c for c in common if rng.random() < 0.4]
+        rows.append((i, "\n".join(rng.permutation(lines)), ["a", "b", None][i % 3] if i < 380 else "small"))
+    rows += [(7, rows[7][1], "a"), (None, rows[8][1], "a"), (None, None, "a"), (5000, common[0] + "\n" + " ".join(common), "a")]
+    got = quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(((r.doc_id, r.n_removed_words, r.kept) for r in got), key=repr) == brute_kept(rows)
+    assert {r.kept for r in got} == {True, False}
+
+
 # 9
 @pytest.mark.parametrize("split", [1 << 20, 700, 40])
 def test_token_counts(docs, texts, odd, empty, split):
