@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.filter("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        links = written(small.filter("u <> v").repartition("u", "v").distinct(), "edges")  # by both, so that a hub is not one task
+        links = written(small.filter("u <> v").repartition("u", "v").distinct(), "edges", links)  # by both, so that a hub is not one task
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("v")).first()
         if state == last:
             break

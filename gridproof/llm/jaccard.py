@@ -133,7 +133,7 @@ def similar_edges(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         ranked = written(sized.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("size", "node"))), "bands")
         hub = ranked.filter(F.col("rank") <= hubs).select("key", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
         pairs = ranked.join(hub, "key").filter("comp <> hub_comp").selectExpr("least(hub, node) AS a", "greatest(hub, node) AS b").distinct()
-        edges = written(edges.union(_links(pairs, sets)), "links")
+        edges = written(edges.union(_links(pairs, sets)), "links", edges)
         rest, hubs = ranked.filter(F.col("rank") > hubs), HUBS
 
 

@@ -125,6 +125,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     short = written(pieces.filter(~alone).select("row", "length", band.alias("band")), "short")
     gaps = first.filter(F.col("length") < capacity).select(F.col("row").alias("sequence_id"), (F.lit(capacity) - F.col("length")).cast("long").alias("gap"))
     todo = {r["band"]: r["n"] for r in short.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a row a band
+    swept: DataFrame | None = None
     free, widest, rounds, zero = sum(todo.values()), capacity - capacity // 2 - 1, 0, F.lit(0).cast("long")
     for i, n in sorted(todo.items()):
         low, top = bands(capacity)[i]
@@ -137,7 +138,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             )
             # gaps come before documents of their size; the hash parts rows of one size
             order = [F.desc("size"), F.asc("length"), F.xxhash64("row", "sequence_id", "slot")]
-            swept = written(events.repartitionByRange(max(1, (n + free) // ROWS_A_TASK), *order).sortWithinPartitions(*order).mapInPandas(_sweep, SWEPT), "swept")
+            swept = written(events.repartitionByRange(max(1, (n + free) // ROWS_A_TASK), *order).sortWithinPartitions(*order).mapInPandas(_sweep, SWEPT), "swept", swept)
             counts = swept.filter("kind = 'count'").select("part", F.col("row").alias("matches"), F.col("rank").alias("documents"), F.col("slot").alias("gaps")).collect()  # a row a range
             met, left = _across([(r["part"], r["documents"], r["gaps"]) for r in counts])
             across = sum(high - first for _, first, high, _, _ in met)
