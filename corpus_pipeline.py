@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages; each takes the documents its predecessor kept.
 
-Language identification, near-dedup by 5-word shingles, removal of repeated strings, mixing of sources, and packing.
+Language identification, near-dedup (SimHash of 5-word shingles with multi-index hashing first, MinHash bands for what lies farther, and the
+Jaccard similarity of whole shingle sets to decide), removal of repeated strings, mixing of sources, and packing.
 """
 
 from __future__ import annotations
