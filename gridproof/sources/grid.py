@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from .shared import written
 
 GRID = "file string, sheet string, row int, col int, vtype string, value string, formula string, style string"
-STRUCTURE = "file string, sheet string, rows int, cols int, merges array<string>, header_merges int, formulas int"
+STRUCTURE = (
+    "file string, sheet string, rows int, cols int, merges array<string>, header_merges int, formulas int, filter_ref string, tables array<string>, hidden_rows array<int>, hidden_cols array<string>, "
+    "header_styles array<string>, sheet_state string, error string"
+)
+BROKEN = (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError, NotImplementedError)
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -109,32 +113,82 @@ def _shared(book: zipfile.ZipFile) -> list[str]:
     return ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
 
 
+def _tables(book: zipfile.ZipFile, member: str) -> list[str]:
+    """name=range of the tables of a sheet, in the order of their names."""
+    folder, _, name = member.rpartition("/")
+    if f"{folder}/_rels/{name}.rels" not in book.namelist():
+        return []
+    out = []
+    for r in ElementTree.fromstring(book.read(f"{folder}/_rels/{name}.rels")):
+        if (r.get("Type") or "").endswith("/table"):
+            table = ElementTree.fromstring(book.read("xl/" + r.get("Target").replace("../", "").lstrip("/").removeprefix("xl/")))
+            out.append(f"{table.get('displayName') or table.get('name')}={table.get('ref')}")
+    return sorted(out)
+
+
+def _letters(n: int) -> str:
+    out = ""
+    while n:
+        n, rest = divmod(n - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def _frame(book: zipfile.ZipFile, member: str) -> tuple:
+    """Filter range, tables, hidden rows and columns of a sheet."""
+    root = ElementTree.fromstring(book.read(member))
+    found = root.find(f"{_MAIN}autoFilter")
+    rows = [int(r.get("r")) for r in root.iter(f"{_MAIN}row") if r.get("hidden") in ("1", "true")]
+    cols = [_letters(i) for c in root.iter(f"{_MAIN}col") if c.get("hidden") in ("1", "true") for i in range(int(c.get("min")), int(c.get("max")) + 1)]
+    return None if found is None else found.get("ref"), _tables(book, member), rows, cols
+
+
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all sheets of .xlsx files, one task a file: value, formula and style of each."""
+    """Cells of all sheets of .xlsx files, one task a file: value, formula and style of each.
+
+    A file that can't be read gives one row of type unreadable, with the reason as its value, after the sheets that could.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, content in zip(f["file"], f["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as book:
-                    shared = _shared(book)
-                    for sheet, member in _sheets(book):
-                        yield pd.DataFrame([(name, sheet, *c) for c in _cells(book, member, shared)], columns=[x.split()[0] for x in GRID.split(", ")])
+                columns = [x.split()[0] for x in GRID.split(", ")]
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as book:
+                        shared = _shared(book)
+                        for sheet, member in _sheets(book):
+                            yield pd.DataFrame([(name, sheet, *c) for c in _cells(book, member, shared)], columns=columns)
+                except BROKEN as e:
+                    yield pd.DataFrame([(name, None, 0, 0, "unreadable", f"{type(e).__name__}: {e}", None, None)], columns=columns)
 
     return _workbooks(spark, path).mapInPandas(run, GRID)
 
 
 def workbook_structure(spark: SparkSession, path: str) -> DataFrame:
-    """Size, merged ranges (those of the first five rows counted as header merges) and formulas of each sheet."""
+    """Size, merged ranges (those of the first five rows counted as header merges), formulas, filter range, tables, hidden rows and columns, styles of the first row and state of each sheet.
+
+    A file that can't be read gives one row with the reason in error.
+    """
+    columns = [x.split()[0] for x in STRUCTURE.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, content in zip(f["file"], f["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as book:
-                    for sheet, member in _sheets(book):
-                        cells = list(_cells(book, member, _shared(book)))
-                        merges = [m.get("ref") for m in ElementTree.fromstring(book.read(member)).iter(f"{_MAIN}mergeCell")]
-                        heads = sum(int(re.search(r"\d+", m)[0]) <= 5 for m in merges)
-                        yield pd.DataFrame([(name, sheet, max((c[0] for c in cells), default=0), max((c[1] for c in cells), default=0), merges, heads, sum(c[4] is not None for c in cells))])
+                rows = []
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as book:
+                        states = {s.get("name"): s.get("state") or "visible" for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")}
+                        for sheet, member in _sheets(book):
+                            cells = list(_cells(book, member, _shared(book)))
+                            merges = [m.get("ref") for m in ElementTree.fromstring(book.read(member)).iter(f"{_MAIN}mergeCell")]
+                            heads = sum(int(re.search(r"\d+", m)[0]) <= 5 for m in merges)
+                            size, top = [max((c[i] for c in cells), default=0) for i in (0, 1)], {c[1]: c[5] or "" for c in cells if c[0] == 1}
+                            styles = [top.get(i, "") for i in range(1, size[1] + 1)]
+                            rows.append((name, sheet, *size, merges, heads, sum(c[4] is not None for c in cells), *_frame(book, member), styles, states[sheet], None))
+                except BROKEN as e:
+                    rows.append((name, *[None] * (len(columns) - 2), f"{type(e).__name__}: {e}"))
+                frame = pd.DataFrame(rows, columns=columns)
+                yield frame.astype({c: "Int64" for c in ("rows", "cols", "header_merges", "formulas")})
 
     return _workbooks(spark, path).mapInPandas(run, STRUCTURE)
 

@@ -46,9 +46,11 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """file, size, sha256 of all files below a folder."""
+    """file (its path below the folder), size, sha256 of all files below a folder."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    folder = F.regexp_replace(F.lit(path.rstrip("/")), r"^[a-z0-9+.-]+:/*", "/")
+    below = F.substring(F.col("path"), F.instr("path", folder) + F.length(folder) + 1, F.length("path"))
+    return found.select(below.alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:

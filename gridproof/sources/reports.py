@@ -58,6 +58,8 @@ def latex(df: DataFrame, first: str, order: list[str]) -> str:
 
 
 def json_report(df: DataFrame, by: list[str]) -> DataFrame:
-    """One JSON object with the rows of a report in order."""
+    """One JSON object with the rows of a report in order; over PAGE_ROWS rows raise."""
+    df = df.limit(PAGE_ROWS + 1)
     row = F.struct(*df.columns)
-    return df.agg(F.to_json(F.struct(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.struct(*by, row.alias("row")))).alias("items"))).alias("report"))
+    said = F.to_json(F.struct(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.struct(*by, row.alias("row")))).alias("items")))
+    return df.agg(F.when(F.count("*") <= PAGE_ROWS, said).otherwise(F.raise_error(F.lit(f"a report has at most {PAGE_ROWS} rows")).cast("string")).alias("report"))

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def canonical_stream(attempts: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def canonical_stream(attempts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """id, line, status, answer, attempts, emitted anew whenever a batch changes an id (update mode).
 
-    State is one row an id: the last success with an answer, else the last attempt. An id without new attempts for ttl_ms
-    leaves the state; a later attempt then begins anew. Attempts of one batch may come in any order.
+    State is one row an id: the last success with an answer, else the last attempt. With ttl_ms an id without new attempts for
+    so long leaves the state, and a later attempt begins anew; without it state is kept, as the answer is that of the whole log. Attempts of one batch may come in any order.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -28,9 +28,10 @@ def canonical_stream(attempts: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> Dat
                     best = (int(line), status, answer, good)
                 n += 1
         state.update((*best, n))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame([(key[0], best[0], best[1], best[2], n)], columns=["id", "line", "status", "answer", "attempts"])
 
     return attempts.groupBy("id").applyInPandasWithState(
-        step, "id string, line long, status string, answer string, attempts long", "line long, status string, answer string, good boolean, attempts long", "update", GroupStateTimeout.ProcessingTimeTimeout
+        step, "id string, line long, status string, answer string, attempts long", "line long, status string, answer string, good boolean, attempts long", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     )

@@ -25,6 +25,11 @@ def test_round_trip_and_inventory(spark, tmp_path):
     back = jsonl.read_jsonl(spark, str(tmp_path / "log"))
     assert sorted(r[0] for r in back.select(jsonl.field("a", "long")).collect()) == [1, 1, 2, 2]
     assert jsonl.inventory(spark, str(tmp_path / "log")).filter("size > 0").count() >= 2
+    for folder in ("x", "y"):
+        (tmp_path / "tree" / folder).mkdir(parents=True)
+        (tmp_path / "tree" / folder / "same.csv").write_text(folder)
+    for path in (str(tmp_path / "tree"), f"file://{tmp_path}/tree/"):
+        assert sorted(r.file for r in jsonl.inventory(spark, path).collect()) == ["x/same.csv", "y/same.csv"]
 
 
 def test_json_documents(spark, tmp_path):
@@ -47,7 +52,18 @@ def test_workbook(spark, tmp_path):
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{MAIN}"><si><t>id</t></si><si><r><t>01</t></r></si></sst>')
         cells = '<row r="1"><c r="A1" t="s" s="2"><v>0</v></c><c r="AB1" t="inlineStr"><is><t>x</t></is></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="B2"><f>A2*2</f><v>2</v></c></row>'
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{MAIN}"><sheetData>{cells}</sheetData><mergeCells><mergeCell ref="A1:B1"/></mergeCells></worksheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{MAIN}"><cols><col min="2" max="3" hidden="1"/></cols><sheetData>{cells}<row r="5" hidden="1"/></sheetData><autoFilter ref="A1:B2"/><mergeCells><mergeCell ref="A1:B1"/></mergeCells></worksheet>')
+    (tmp_path / "broken.xlsx").write_bytes(b"no workbook")
+    cells = grid.read_workbooks(spark, str(tmp_path))
+    assert [(r.file, r.sheet) for r in cells.filter("vtype = 'unreadable'").collect()] == [("broken.xlsx", None)]
+    sheets = grid.workbook_structure(spark, str(tmp_path))
+    assert sheets.filter("error IS NOT NULL").count() == 1
+    r = sheets.filter("error IS NULL").first()
+    assert (r.filter_ref, r.tables, r.hidden_rows, r.hidden_cols, r.header_styles[0], r.sheet_state) == ("A1:B2", [], [5], ["B", "C"], "2", "visible")
+    from gridproof.operators.structure import sheet_issues
+
+    assert sheet_issues(sheets, sheets.withColumn("filter_ref", sheets.sheet), "unit_scale_conversion").first()["code"] == "filter_changed"
+    (tmp_path / "broken.xlsx").unlink()
     got = {(r.row, r.col): (r.vtype, r.value, r.formula, r.style) for r in grid.read_workbooks(spark, str(tmp_path)).collect()}
     assert got == {(1, 1): ("string", "id", None, "2"), (1, 28): ("string", "x", None, None), (2, 1): ("string", "01", None, None), (2, 2): ("number", "2", "=A2*2", None)}
     r = grid.workbook_structure(spark, str(tmp_path)).first()
