@@ -9,6 +9,7 @@ from ..functions.parse import family, has_text
 
 HEADER_ROWS = 3
 SAMPLE_ROWS = 8
+MERGES_LISTED = 20
 
 
 def header_scores(grid: DataFrame) -> DataFrame:
@@ -61,6 +62,24 @@ def sheet_profile(grid: DataFrame) -> DataFrame:
     return sums.withColumn("dimension_suspect", (F.col("rows") >= 1_000_000) | (F.col("cols") >= 10_000))
 
 
+def workbook_profile(sheets: DataFrame, grid: DataFrame) -> DataFrame:
+    """file, sheets, merges, ranges (the first MERGES_LISTED), header_merges, formulas, complex_structure_candidate.
+
+    A workbook may be complex if it has several sheets, a merged header, a header of several rows, or a header cell that repeats. sheets: rows of
+    sources.grid.workbook_structure; grid: its cells.
+    """
+    order = F.row_number().over(Window.partitionBy("file").orderBy("sheet", "at"))
+    listed = sheets.select("file", "sheet", F.posexplode("merges").alias("at", "ref")).withColumn("k", order).filter(F.col("k") <= MERGES_LISTED)
+    ranges = listed.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("k", "ref"))).alias("r")).select("file", F.col("r")["ref"].alias("ranges"))
+    several = multirow_header(grid).groupBy("file").agg(F.bool_or("looks_multirow").alias("multirow"))
+    again = column_names(grid.filter("row = 1")).groupBy("file").agg(F.bool_or("repeated").alias("again"))
+    sums = sheets.filter("error IS NULL").groupBy("file").agg(F.count("*").alias("sheets"), F.sum(F.size("merges")).alias("merges"), F.sum("header_merges").alias("header_merges"), F.sum("formulas").alias("formulas"))
+    rows = sums.join(ranges, "file", "left").join(several, "file", "left").join(again, "file", "left")
+    no = F.lit(False)
+    complex_ = (F.col("sheets") > 1) | (F.col("header_merges") > 0) | F.coalesce("multirow", no) | F.coalesce("again", no)
+    return rows.select("file", "sheets", "merges", F.coalesce("ranges", F.array().cast("array<string>")).alias("ranges"), "header_merges", "formulas", complex_.alias("complex_structure_candidate"))
+
+
 def package_profile(files: DataFrame) -> DataFrame:
     """package, file_count, existing_file_count, all_files_exist, kinds from package, file, found."""
     suffix = F.lower(F.regexp_extract("file", r"(\.[^.]+)$", 1))

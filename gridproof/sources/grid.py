@@ -54,15 +54,31 @@ def to_table(grid: DataFrame, columns: list[str]) -> DataFrame:
     return cells.agg(*[F.max(F.when(F.col("col") == i + 1, F.col("value"))).alias(c) for i, c in enumerate(columns)])
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """A grid of texts: ragged rows and empty cells kept, no types guessed, a byte-order mark left out."""
+#: Rows, columns and sheets that a preview shows, and characters from which a delimiter is guessed.
+PREVIEW_ROWS, PREVIEW_COLS, PREVIEW_SHEETS = 13, 200, 20
+SNIFFED, DELIMITERS = 8192, ",;\t|"
+
+
+def _sniffed(text: str) -> str:
+    """The delimiter that the first characters suggest, else a comma."""
+    import csv
+
+    try:
+        return csv.Sniffer().sniff(text[:SNIFFED], DELIMITERS).delimiter
+    except csv.Error:
+        return ","
+
+
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = ",") -> DataFrame:
+    """A grid of texts: ragged rows and empty cells kept, no types guessed, a byte-order mark left out. Without a delimiter each file's own is guessed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import csv
 
         for f in frames:
             for name, content in zip(f["file"], f["content"]):
-                rows = csv.reader(io.StringIO(_decoded(content)), delimiter=delimiter)
+                text = _decoded(content)
+                rows = csv.reader(io.StringIO(text), delimiter=delimiter or _sniffed(text))
                 out = [(name, "", r, c, "string", v, None, None) for r, cells in enumerate(rows, 1) for c, v in enumerate(cells, 1)]
                 yield pd.DataFrame(out, columns=[x.split()[0] for x in GRID.split(", ")])
 
@@ -93,7 +109,7 @@ def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return [(s.get("name"), "xl/" + rels[s.get(rel)].lstrip("/").removeprefix("xl/")) for s in found]
 
 
-def _cells(book: zipfile.ZipFile, member: str, shared: list[str]) -> Iterator[tuple]:
+def _cells(book: zipfile.ZipFile, member: str, shared: list[str], rows: int | None = None) -> Iterator[tuple]:
     kinds = {"s": "string", "str": "string", "inlineStr": "string", "b": "boolean", "e": "error", "d": "date"}
     for _, cell in ElementTree.iterparse(book.open(member)):
         if cell.tag != f"{_MAIN}c":
@@ -103,6 +119,8 @@ def _cells(book: zipfile.ZipFile, member: str, shared: list[str]) -> Iterator[tu
         text = value.text if value is not None else "".join(t.text or "" for t in cell.iter(f"{_MAIN}t")) if kind == "inlineStr" else None
         if kind == "s" and text is not None:
             text = shared[int(text)]
+        if rows is not None and int(re.search(r"\d+", ref)[0]) > rows:
+            return  # rows come in order: the rest isn't parsed
         yield int(re.search(r"\d+", ref)[0]), _column(ref), kinds.get(kind, "number"), text, None if formula is None else "=" + (formula.text or ""), cell.get("s")
         cell.clear()
 
@@ -143,8 +161,8 @@ def _frame(book: zipfile.ZipFile, member: str) -> tuple:
     return None if found is None else found.get("ref"), _tables(book, member), rows, cols
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all sheets of .xlsx files, one task a file: value, formula and style of each.
+def read_workbooks(spark: SparkSession, path: str, preview: bool = False) -> DataFrame:
+    """Cells of all sheets of .xlsx files, one task a file: value, formula and style of each. A preview reads the first PREVIEW_ROWS rows, PREVIEW_COLS columns and PREVIEW_SHEETS sheets only.
 
     A file that can't be read gives one row of type unreadable, with the reason as its value, after the sheets that could.
     """
@@ -156,8 +174,9 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as book:
                         shared = _shared(book)
-                        for sheet, member in _sheets(book):
-                            yield pd.DataFrame([(name, sheet, *c) for c in _cells(book, member, shared)], columns=columns)
+                        for sheet, member in _sheets(book)[: PREVIEW_SHEETS if preview else None]:
+                            found = _cells(book, member, shared, PREVIEW_ROWS if preview else None)
+                            yield pd.DataFrame([(name, sheet, *c) for c in found if not preview or c[1] <= PREVIEW_COLS], columns=columns)
                 except BROKEN as e:
                     yield pd.DataFrame([(name, None, 0, 0, "unreadable", f"{type(e).__name__}: {e}", None, None)], columns=columns)
 

@@ -53,6 +53,15 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return found.select(below.alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
+def judgment_files(spark: SparkSession, paths: list[str], pattern: str = "*_judgments.jsonl") -> DataFrame:
+    """file: the logs that files, folders (searched below) and globs name, once each; tables of judgments (*_tabular_judgments.jsonl) are none. Nothing found raises."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths).select(F.col("path").alias("file"))
+    files = found.filter(~F.col("file").endswith("_tabular_judgments.jsonl")).distinct()
+    if files.isEmpty():
+        raise ValueError(f"no {pattern} in {', '.join(paths)}")
+    return files
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     """One compact JSON object a line, nulls kept; the commit protocol makes an append whole or absent."""
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)

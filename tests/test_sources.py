@@ -45,6 +45,35 @@ def test_csv_is_lexical(spark, tmp_path):
     assert cells == {(1, 1): "id", (1, 2): "category", (2, 1): "1", (2, 2): "01", (3, 1): "2", (3, 2): "", (3, 3): "x"}
 
 
+def test_delimiters_are_guessed(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id;v\n1;2,5\n2;3,5\n")
+    (tmp_path / "b.tsv").write_text("id\tv\n1\tx\n")
+    cells = grid.read_delimited(spark, str(tmp_path), None)
+    assert {r.file: r.value for r in cells.filter("row = 2 AND col = 2").collect()} == {"a.csv": "2,5", "b.tsv": "x"}
+
+
+def test_judgment_files(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    for name in ("a_judgments.jsonl", "m/b_judgments.jsonl", "m/c_tabular_judgments.jsonl", "m/d.jsonl"):
+        (tmp_path / name).write_text("{}\n")
+    got = jsonl.judgment_files(spark, [str(tmp_path), str(tmp_path / "m")])
+    assert sorted(r.file.rpartition("/")[2] for r in got.collect()) == ["a_judgments.jsonl", "b_judgments.jsonl"]
+    with pytest.raises(ValueError, match="no x_"):
+        jsonl.judgment_files(spark, [str(tmp_path)], "x_*.jsonl")
+
+
+def test_a_preview_is_bounded(spark, tmp_path):
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "many.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{MAIN}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="s{i}" r:id="r{i}"/>' for i in range(25)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(25)) + "</Relationships>")
+        for i in range(25):
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{MAIN}"><sheetData>' + "".join(f'<row r="{r}"><c r="A{r}"><v>1</v></c><c r="GT{r}"><v>2</v></c></row>' for r in range(1, 40)) + "</sheetData></worksheet>")
+    cells = grid.read_workbooks(spark, str(tmp_path), preview=True)
+    assert cells.count() == 20 * 13 and cells.selectExpr("max(row)", "max(col)", "count(DISTINCT sheet)").first() == (13, 1, 20)
+    assert grid.read_workbooks(spark, str(tmp_path)).count() == 25 * 39 * 2
+
+
 def test_workbook(spark, tmp_path):
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
@@ -64,6 +93,12 @@ def test_workbook(spark, tmp_path):
 
     assert sheet_issues(sheets, sheets.withColumn("filter_ref", sheets.sheet), "unit_scale_conversion").first()["code"] == "filter_changed"
     (tmp_path / "broken.xlsx").unlink()
+    from gridproof.operators.profile import workbook_profile
+
+    preview = {(r.row, r.col) for r in grid.read_workbooks(spark, str(tmp_path), preview=True).collect()}
+    assert preview == {(1, 1), (1, 28), (2, 1), (2, 2)}
+    p = workbook_profile(grid.workbook_structure(spark, str(tmp_path)), grid.read_workbooks(spark, str(tmp_path))).first()
+    assert (p.file, p.sheets, p.merges, p.ranges, p.header_merges, p.formulas, p.complex_structure_candidate) == ("b.xlsx", 1, 1, ["A1:B1"], 1, 1, True)
     got = {(r.row, r.col): (r.vtype, r.value, r.formula, r.style) for r in grid.read_workbooks(spark, str(tmp_path)).collect()}
     assert got == {(1, 1): ("string", "id", None, "2"), (1, 28): ("string", "x", None, None), (2, 1): ("string", "01", None, None), (2, 2): ("number", "2", "=A2*2", None)}
     r = grid.workbook_structure(spark, str(tmp_path)).first()

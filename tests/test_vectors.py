@@ -1,5 +1,6 @@
 """Small cases with known answers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridproof.functions import parse
@@ -26,6 +27,40 @@ def test_clean_log(spark):
     assert tuple(canonical.canonicalization_stats(df).first()) == (6, 1, 2, 3, 1, 1)
 
 
+def test_outcomes_by_score(spark):
+    kind = "id string, line long, judge_status string, is_correct boolean, score double"
+    log = [("DA_1", 1, None, None, 0.0), ("DA_1", 2, None, None, 1.0), ("b", 3, "success", None, float("nan")), ("c", 4, "judge_error", None, 1.0), ("d", 5, "success", False, 1.0), ("e", 6, None, None, 0.5)]
+    got = {r.id: (r.correct, r.all_failed) for r in canonical.canonical_clean(spark.createDataFrame(log, kind)).collect()}
+    assert got == {"DA_1": (True, False), "b": (False, True), "c": (False, True), "d": (False, False), "e": (False, False)}
+    failed = canonical.canonical_clean(spark.createDataFrame([("a", 1, "judge_error", None, 0.0)], kind))
+    hit = spark.createDataFrame([(1, "a", "x", True)], "id long, source_id string, attack_type string, is_correct boolean")
+    r = robust.robust_summary(hit, failed, "exclude").first()
+    assert (r.paired_records, r.clean_dataset_accuracy, r.improved) == (1, 0.0, 1)
+
+
+def test_metric_table(spark):
+    clean = spark.createDataFrame([("a", True), ("b", False)], "id string, correct boolean")
+    hit = spark.createDataFrame([(1, "a", "y", None), (2, "b", "x", True), (3, None, "", True), (4, "a", "x", True)], "id long, source_id string, attack_type string, is_correct boolean")
+    rows = robust.metric_table(hit, clean).orderBy("position").collect()
+    assert [r.group for r in rows] == ["overall", robust.MISSING, "x", "y"] and list(rows[0].asDict()) == [*robust.METRIC_COLUMNS, "position"]
+    assert (rows[0].attack_records, rows[0].attacked_unique_sources, rows[0].source_clean_correct_support, rows[0].source_balanced_cra, rows[0].clean_dataset_correct) == (4, 2, 1, 0.5, 1)
+    assert robust.METRIC_COLUMNS[0] == "group" and len(robust.METRIC_COLUMNS) == 26
+
+
+def test_last_of_repeated_names_counts(spark):
+    labels = spark.createDataFrame([("1", "a", "x", 1), ("1", "a", "y", 2)], "id string, name string, value string, ordinal long")
+    r = scoring.score_answers(spark.createDataFrame([("DA_1", 1, "success", "@a[y]")], "id string, line long, status string, response string"), labels).first()
+    assert (r.correct, r.n_fields) == (True, 1)
+
+
+def test_one_model_only(spark):
+    models = lambda *x: spark.createDataFrame([(v,) for v in x], "model string")
+    assert canonical.single_model(models("m", " m ", "", None)).first().model == "m"
+    for wrong in (models("m", "n"), models("", None)):
+        with pytest.raises(Exception, match="exactly one model"):
+            canonical.single_model(wrong).collect()
+
+
 def test_policies(spark):
     clean = spark.createDataFrame([("a", True), ("b", False)], "id string, correct boolean")
     hit = spark.createDataFrame([(1, "a", "x", None), (2, "b", "x", True), (3, None, "", True), (4, "z", "x", True)], "id long, source_id string, attack_type string, is_correct boolean")
