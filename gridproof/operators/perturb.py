@@ -69,7 +69,7 @@ def decoy_features(df: DataFrame, key: str, value: str, group: str) -> DataFrame
     """Three columns at the right that look like facts: a forecast, a rounded value and whether it is over its group's mean. All rows stay; null is a group too."""
     mean = df.groupBy(F.col(group).alias("_group")).agg(F.avg(value).alias("_mean"))
     out = df.join(mean, F.col(group).eqNullSafe(F.col("_group")), "left")
-    return out.select(*df.columns, F.round(F.col(value) * 1.1, 2).alias(f"{value}_forecast"), F.floor(F.col(value) / 1000).cast("long").alias(f"{value}_band"), (F.col(value) > F.col("_mean")).alias(f"{value}_above_mean"))
+    return out.select(*df.columns, (F.floor(F.col(value) * 110 + 0.5) / 100).alias(f"{value}_forecast"), F.floor(F.col(value) / 1000).cast("long").alias(f"{value}_band"), (F.col(value) > F.col("_mean")).alias(f"{value}_above_mean"))
 
 
 def non_observation_rows(df: DataFrame, key: str, n: int, marker: str = "record_type") -> DataFrame:

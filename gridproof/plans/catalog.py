@@ -355,7 +355,7 @@ def _decoyed(s, d):
     return perturb.decoy_features(_orders(s, d).drop("o_orderdate"), "o_orderkey", "o_totalprice", "o_orderstatus")
 
 
-@query("""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, round(o_totalprice * 1.1, 2) AS o_totalprice_forecast, floor(o_totalprice / 1000)::BIGINT AS o_totalprice_band,
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, floor(o_totalprice * 110 + 0.5) / 100 AS o_totalprice_forecast, floor(o_totalprice / 1000)::BIGINT AS o_totalprice_band,
  o_totalprice > avg(o_totalprice) OVER (PARTITION BY o_orderstatus) AS o_totalprice_above_mean FROM orders""")
 def decoy_feature_pack(s, d):
     return _decoyed(s, d)
