@@ -105,36 +105,41 @@ def _print_pairs(nodes: DataFrame) -> DataFrame:
 def similar_edges(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """a, b: links between distinct texts (node) that connect all similar ones whose fingerprints are near or that meet in a band.
 
-    Pairs from the fingerprints come first. Then, in each round, a few members of a bucket, of its smallest groups first, are held against all
-    members of other groups, and are done with. The first round takes one, so a large group of near copies gives a pair a member, and rounds go
-    on until each bucket is one group or used up.
+    In each round a few members of a bucket, the hubs, are held against all members of other groups, and are done with. The first hub is the member
+    that meets most others over all its buckets: where copies were made from one text, that text, so one pair a member links nearly all. Pairs from
+    the fingerprints come along in this round. Later hubs come from the smallest groups first, and rounds go on until each bucket is one group or used up.
     """
     members = nodes.select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = written(members.join(shared, "key"), "bands")
-    pairs = written(_print_pairs(nodes), "pairs")
+    meets = met.groupBy("node").agg(F.sum("n").alias("meets"))
+    active = met.join(meets, "node").select("node", "key", F.col("node").alias("comp"), "meets")
+    prints = written(_print_pairs(nodes), "pairs")
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _Words()
         for f in frames:
             yield pd.DataFrame({"node": f["node"], "grams": [shingles(t, memo).tobytes() for t in f["text"]]})
 
-    ids = met.select("node").unionByName(pairs.selectExpr("a AS node")).unionByName(pairs.selectExpr("b AS node")).distinct()
+    ids = met.select("node").unionByName(prints.selectExpr("a AS node")).unionByName(prints.selectExpr("b AS node")).distinct()
     sets = written(texts.join(ids, "node", "left_semi").dropDuplicates(["node"]).mapInPandas(grams, "node long, grams binary"), "shingles")
-    edges, hubs, rest = written(_links(pairs, sets), "links"), 1, met
-    while True:
+    edges: DataFrame | None = None
+    hubs, old = 1, met
+    while edges is None or not active.isEmpty():
+        size = F.lit(1) if edges is None else F.count("*").over(Window.partitionBy("key", "comp"))
+        ranked = written(active.withColumn("size", size).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("size", F.desc("meets"), "node"))), "bands", old)
+        hub = ranked.filter(F.col("rank") <= hubs).select("key", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+        pairs = ranked.join(hub, "key").filter("comp <> hub_comp").selectExpr("least(hub, node) AS a", "greatest(hub, node) AS b")
+        if edges is None:
+            edges = written(_links(pairs.unionByName(prints.select("a", "b")).distinct(), sets), "links")
+        else:
+            edges = written(edges.union(_links(pairs.distinct(), sets)), "links", edges)
         groups = connected_components(edges).withColumnRenamed("id", "node")
-        rest = rest.select("node", "key").join(groups, "node", "left").select("node", "key", F.coalesce("component", "node").alias("comp"))
+        rest = ranked.filter(F.col("rank") > hubs).select("node", "key", "meets").join(groups, "node", "left").select("node", "key", F.coalesce("component", "node").alias("comp"), "meets")
         several = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-        active = written(rest.join(several, "key", "left_semi").select("node", "key", "comp"), "bands")
-        if active.isEmpty():
-            return edges
-        sized = active.withColumn("size", F.count("*").over(Window.partitionBy("key", "comp")))
-        ranked = written(sized.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("size", "node"))), "bands")
-        hub = ranked.filter(F.col("rank") <= hubs).select("key", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-        pairs = ranked.join(hub, "key").filter("comp <> hub_comp").selectExpr("least(hub, node) AS a", "greatest(hub, node) AS b").distinct()
-        edges = written(edges.union(_links(pairs, sets)), "links", edges)
-        rest, hubs = ranked.filter(F.col("rank") > hubs), HUBS
+        active = old = written(rest.join(several, "key", "left_semi").select("node", "key", "comp", "meets"), "bands", ranked)
+        hubs = HUBS
+    return edges
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
