@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import new_path, table
+from .fill_in_middle import fill_in_middle, restored
 from .fingerprints import fingerprint_edits
 from .html_text import extract_main_text
 from .language_id import predict, train
@@ -17,6 +18,7 @@ from .simhash import near_duplicates
 from .suffix_dedup import repeated_spans
 from .token_counts import token_counts
 from .token_output import write_tokens
+from .whitening import whiten
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_suffix_dedup, op3_simhash, op4_fingerprints, op5_packing, op6_language_id, op7_mixing, op8_quality, op9_token_counts, op10_html_text)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("output"), F.col("form")), 256)}).drop("output")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_suffix_dedup, op3_simhash, op4_fingerprints, op5_packing, op6_language_id, op7_mixing, op8_quality, op9_token_counts, op10_html_text, op12_fill_in_middle, op13_whitening)}
 
 ORACLE_SQL = {
     "op7_mixing": """
@@ -82,5 +93,20 @@ drawn AS (SELECT row_number() OVER () AS row, *, ('0x' || substr(md5('mix|' || c
 counts AS (SELECT d.row, count(*) AS n FROM drawn d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source AND d.u >= cdf.c GROUP BY d.row),
 copies AS (SELECT row, unnest(range(0, n)) AS copy FROM counts)
 SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, md5('mix|' || coalesce(doc_id::VARCHAR, '-') || '|' || copy) AS mix_key FROM copies JOIN drawn USING (row)
+""",
+    "op12_fill_in_middle": """
+WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+drawn AS (
+  SELECT doc_id, t, length(t) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM hashed
+),
+cut AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+),
+parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
 """,
 }
