@@ -70,23 +70,32 @@ def boundaries(data: bytes) -> np.ndarray:
     return np.append(np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80), len(data))
 
 
-def text_index(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """fm_digest, fm_text, fm_copies, fm_bounds: one row for each distinct text; fm_bounds is the Elias-Fano list of its boundaries.
-
-    Copies are put together before the shuffle. If one digest had two contents the query would stop: length and a second hash are compared in each group.
-    """
+def _digested(docs: DataFrame, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.unhex(F.sha2(text, 256)).alias("fm_digest"), text.alias("fm_text"))
+    return docs.select(F.unhex(F.sha2(text, 256)).alias("fm_digest"), text.alias("fm_text"))
+
+
+def _distinct(rows: DataFrame) -> DataFrame:
+    """fm_digest, fm_text, fm_copies of digested rows; copies are put together before the shuffle. Length and a second hash verify that a digest has one text."""
     checks = [F.xxhash64("fm_text"), F.octet_length("fm_text").cast("long")]
     grouped = rows.groupBy("fm_digest").agg(F.first("fm_text").alias("fm_text"), F.count("*").alias("fm_copies"), *[f(c).alias(f"fm_{f.__name__}{i}") for i, c in enumerate(checks) for f in (F.min, F.max)])
     same = (F.col("fm_min0") == F.col("fm_max0")) & (F.col("fm_min1") == F.col("fm_max1"))
-    verified = grouped.select("fm_digest", F.when(same, F.col("fm_text")).otherwise(F.raise_error(F.lit("two texts have one digest"))).alias("fm_text"), "fm_copies")
+    return grouped.select("fm_digest", F.when(same, F.col("fm_text")).otherwise(F.raise_error(F.lit("two texts have one digest"))).alias("fm_text"), "fm_copies")
+
+
+def _listed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: EliasFano.of(boundaries(t.encode("utf-8", "surrogatepass"))).to_bytes())
 
-    @F.pandas_udf("binary")
-    def listed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: EliasFano.of(boundaries(t.encode("utf-8", "surrogatepass"))).to_bytes())
 
-    return verified.withColumn("fm_bounds", listed("fm_text"))
+def _bounds(texts: DataFrame) -> DataFrame:
+    """fm_digest, fm_bounds: the Elias-Fano list of each text's boundaries. The texts themselves don't move again."""
+    return texts.select("fm_digest", F.pandas_udf(_listed, "binary")("fm_text").alias("fm_bounds"))
+
+
+def text_index(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """fm_digest, fm_text, fm_copies, fm_bounds: one row for each distinct text, a null one being empty."""
+    texts = _distinct(_digested(docs, text_col))
+    return texts.join(_bounds(texts), "fm_digest")
 
 
 def _cuts(bounds: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.DataFrame:
@@ -99,22 +108,31 @@ def _cuts(bounds: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n", "a", "b", "x", "y"])
 
 
+def _cut_and_text(pairs: DataFrame, texts: DataFrame, keys: list[str], bounds: DataFrame) -> DataFrame:
+    """pairs with fm_cut, from the list of their text, and then the text itself: lists are small and texts already lie where their digest belongs."""
+    cuts = F.pandas_udf(_cuts, "n long, a long, b long, x long, y long")
+    cut = pairs.join(bounds, keys).withColumn("fm_cut", cuts("fm_bounds", "fm_h1", "fm_h2")).drop("fm_bounds")
+    return cut.join(texts.select(*keys, "fm_text"), keys).select("fm_id", "fm_h3", "fm_h4", "fm_cut", "fm_text")
+
+
 def _with_index(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """pairs (any columns, and fm_digest) with fm_text and fm_bounds.
+    """pairs (fm_id, fm_digest, fm_h1 to fm_h4) with fm_cut and fm_text.
 
     A text of many documents is sent to as many tasks as they need. Which texts these are is broadcast: no more than HOT can have over rows / HOT copies.
     """
-    index = text_index(docs, text_col)
     most = max(COPIES, -(-docs.count() // HOT))
-    often = index.filter(F.col("fm_copies") > most)
-    parts = F.ceil(F.col("fm_copies") / most).cast("int")
-    row = F.monotonically_increasing_id()
-    dealt = written(pairs.withColumn("fm_row", row).join(F.broadcast(often.select("fm_digest", parts.alias("fm_parts"))), "fm_digest", "left"), "pairs")
-    few = dealt.filter("fm_parts IS NULL").join(index.filter(F.col("fm_copies") <= most), "fm_digest")
-    spread = often.withColumn("fm_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    many = dealt.filter("fm_parts IS NOT NULL").withColumn("fm_part", F.pmod(F.xxhash64("fm_row"), F.col("fm_parts")).cast("int")).join(spread, ["fm_digest", "fm_part"])
-    columns = [*pairs.columns, "fm_text", "fm_bounds"]
-    return few.select(*columns).unionByName(many.select(*columns))
+    copies = pairs.groupBy("fm_digest").count().filter(F.col("count") > most)
+    hot = F.broadcast(written(copies.select("fm_digest", F.ceil(F.col("count") / most).cast("int").alias("fm_parts")), "hot-texts"))
+    dealt = written(pairs.withColumn("fm_row", F.monotonically_increasing_id()).join(hot, "fm_digest", "left"), "pairs")
+    rows = _digested(docs, text_col)
+    texts = _distinct(rows.join(hot, "fm_digest", "left_anti"))
+    few = _cut_and_text(dealt.filter("fm_parts IS NULL"), texts, ["fm_digest"], _bounds(texts))
+    if hot.isEmpty():
+        return few
+    texts = _distinct(rows.join(hot, "fm_digest", "left_semi"))
+    spread = lambda t: t.join(hot, "fm_digest").withColumn("fm_part", F.explode(F.sequence(F.lit(0), F.col("fm_parts") - 1))).drop("fm_parts")
+    many = dealt.filter("fm_parts IS NOT NULL").withColumn("fm_part", F.pmod(F.xxhash64("fm_row"), F.col("fm_parts")).cast("int"))
+    return few.unionByName(_cut_and_text(many, spread(texts), ["fm_digest", "fm_part"], spread(_bounds(texts))))
 
 
 def fill_in_middle(docs: DataFrame, seed: str = "1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,8 +148,7 @@ def fill_in_middle(docs: DataFrame, seed: str = "1", id_col: str = "doc_id", tex
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     draw = [F.conv(F.substring("fm_seed", 8 * i + 1, 8), 16, 10).cast("long").alias(f"fm_h{i + 1}") for i in range(4)]
     pairs = docs.select(F.col(id_col).alias("fm_id"), digest.alias("fm_digest"), seeded.alias("fm_seed")).select("fm_id", "fm_digest", *draw)
-    cuts = F.pandas_udf(_cuts, "n long, a long, b long, x long, y long")
-    at = _with_index(pairs, docs, text_col).withColumn("fm_cut", cuts("fm_bounds", "fm_h1", "fm_h2"))
+    at = _with_index(pairs, docs, text_col)
     n, a, b, x, y = (F.col(f"fm_cut.{c}") for c in "nabxy")
     marked = F.lit(False)
     for mark in (PREFIX, SUFFIX, MIDDLE):
