@@ -28,9 +28,11 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (5-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest id stays, once; without any id in a group, each different text stays once."""
-    groups = similar_groups(docs)
+    groups = similar_groups(docs, prints=True)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").withColumn("_same", F.when(F.col("doc_id").isNull(), F.col("text"))).dropDuplicates(["doc_id", "_same"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]), "left_semi").withColumn("unnamed", F.when(F.col("id").isNull(), F.col("text")))
+    return rows.dropDuplicates(["id", "unnamed"]).select("doc.*")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

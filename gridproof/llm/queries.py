@@ -10,6 +10,7 @@ from ._shared import new_path, table
 from .fill_in_middle import fill_in_middle, restored
 from .fingerprints import fingerprint_edits
 from .html_text import extract_main_text
+from .jaccard import similar_groups
 from .language_id import predict, train
 from .mixing import mix
 from .packing import pack_documents
@@ -69,6 +70,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = similar_groups(table(spark, sf_dir, "documents"), size=4, link_empty=False)
+    return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(table(spark, sf_dir, "documents"))
     return made.withColumns({"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("output"), F.col("form")), 256)}).drop("output")
@@ -78,7 +84,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_suffix_dedup, op3_simhash, op4_fingerprints, op5_packing, op6_language_id, op7_mixing, op8_quality, op9_token_counts, op10_html_text, op12_fill_in_middle, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_suffix_dedup, op3_simhash, op4_fingerprints, op5_packing, op6_language_id, op7_mixing, op8_quality, op9_token_counts, op10_html_text, op11_minhash, op12_fill_in_middle, op13_whitening)}
 
 ORACLE_SQL = {
     "op7_mixing": """

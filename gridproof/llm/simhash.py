@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import written
+from .buckets import dealt, forest, join_counted, whole_buckets
 from .components import connected_components
 
 SEED = 42
-TILE = 1024
-BLOCK = 8192  # members of a bucket that one task compares with each other
+BLOCK = 8192  # members and probes of a bucket in one task
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
 
 def _balls(fps: DataFrame) -> DataFrame:
-    """key (segment, value), fp, probe: each fingerprint's own two 32-bit segments, and the values with one more bit set.
+    """key (segment, value), fp, owner: each fingerprint's own two 32-bit segments, and the values with one more bit set.
 
     With 3 differing bits at most, one of the two segments differs in one bit or none. Of two values that differ in one bit,
     only the one without it enumerates the other, so each such pair meets once.
@@ -65,41 +65,9 @@ def _balls(fps: DataFrame) -> DataFrame:
                     top = np.uint64(segment) << np.uint64(32)
                     row, b = np.nonzero((value[:, None] & bit) == 0)
                     keys = np.concatenate([value | top, (value[row] | bit[b]) | top])
-                    yield pd.DataFrame({"key": keys.view(np.int64), "fp": np.concatenate([own, own[row]]).view(np.int64), "probe": np.arange(len(keys)) >= len(own)})
-
-    return fps.mapInPandas(run, "key long, fp long, probe boolean")
-
-
-def _links(own: np.ndarray, more: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A forest that links all of `own` within `distance` of each other or of one of `more`; tile by tile, and done once all are linked."""
-    every = np.concatenate([own, more])
-    label = np.arange(len(every))
-    out: list[tuple[int, int]] = []
-    for i in range(0, len(own), TILE):
-        for j in range(i, len(every), TILE):
-            a, b = every[i : min(i + TILE, len(own))], every[j : j + TILE]
-            near = np.bitwise_count(a[:, None] ^ b[None]) <= distance
-            la, lb = label[i : i + len(a)], label[j : j + len(b)]
-            while len(rows := np.flatnonzero((apart := near & (la[:, None] != lb[None])).any(1))):
-                r = rows[0]
-                at = np.flatnonzero(apart[r])
-                roots, first = np.unique(lb[at], return_index=True)
-                out += [(int(a[r]), int(b[k])) for k in at[first]]
-                label[np.isin(label, roots)] = la[r]
-            if len(out) == len(every) - 1:
-                return out
-    return out
-
-
-def _split_buckets(balls: DataFrame, most: int) -> DataFrame:
-    """balls with x, y: buckets of more than `most` own values become pairs (x <= y) of blocks, each pair a bucket by itself.
-
-    A value lies in one block and meets each block, so a large bucket is shared out over many tasks, and none holds more than two blocks.
-    """
-    large = balls.filter("NOT probe").groupBy("key").agg(F.ceil(F.count("*") / most).cast("int").alias("n")).filter("n > 1")
-    joined = balls.join(large, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    block = joined.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-    return block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "fp", "probe", "block")
+                    yield pd.DataFrame({"key": keys.view(np.int64), "fp": np.concatenate([own, own[row]]).view(np.int64), "owner": np.arange(len(keys)) < len(own)})
+
+    return fps.mapInPandas(run, "key long, fp long, owner boolean")
 
 
 def near_edges(fps: DataFrame, distance: int = 3) -> DataFrame:
@@ -107,40 +75,30 @@ def near_edges(fps: DataFrame, distance: int = 3) -> DataFrame:
 
     Members and probes of a bucket meet in one partition in sorted order and are compared in numpy, tile by tile; a bucket
     gives a forest of links instead of all its pairs, so a large group of near copies gives fewer links than it has members.
-    Buckets of over BLOCK members are compared block by block in tasks of their own.
+    Buckets of over BLOCK members and probes are compared block by block in tasks of their own; those that no fingerprint owns are dropped where they are hot.
     """
     if not 0 <= distance <= 3:
         raise ValueError("two segments with balls of one bit find 3 differing bits at most")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry: list[pd.DataFrame] = []
-        names = ["key", "x", "y"]
-
-        def close(f: pd.DataFrame) -> pd.DataFrame:
-            at, fp, probe, block = f[names].to_numpy(), f["fp"].to_numpy().view(np.uint64), f["probe"].to_numpy().astype(bool), f["block"].to_numpy()
-            edges = np.append(np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(1))), len(at))
-            members = np.add.reduceat((~probe).astype(np.int64), edges[:-1])
+        for f, edges in whole_buckets(frames, ["key", "x", "y"]):
+            fp, owner = f["fp"].to_numpy().view(np.uint64), f["owner"].to_numpy().astype(bool)
+            members = np.add.reduceat(owner.astype(np.int64), edges[:-1])
             sizes = np.diff(edges)
-            out: list[tuple[int, int]] = []
+            out: list[np.ndarray] = []
             two = edges[:-1][(members > 0) & (sizes == 2)]  # most buckets
             near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
-            out += zip(fp[near].tolist(), fp[near + 1].tolist())
+            out.append(np.stack([fp[near], fp[near + 1]], 1))
             for k in np.flatnonzero((members > 0) & (sizes > 2)).tolist():
-                a, b = edges[k], edges[k + 1]
-                out += _links(fp[a:b][~probe[a:b]], fp[a:b][probe[a:b]], distance)
-            links = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-            return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
-
-        for f in frames:
-            new = (f[names] != f[names].iloc[-1]).any(axis=1).to_numpy()
-            if carry and (f[names].iloc[0] != carry[-1][names].iloc[-1]).any() or new.any():
-                yield close(pd.concat([*carry, f[new]], ignore_index=True))
-                carry = []
-            carry.append(f[~new])  # the last bucket may go on in the next frame
-        if carry:
-            yield close(pd.concat(carry, ignore_index=True))
+                at = slice(edges[k], edges[k + 1])
+                own, every = int(members[k]), np.concatenate([fp[at][owner[at]], fp[at][~owner[at]]])
+                links = forest(own, len(every), lambda a, b: np.bitwise_count(every[a][:, None] ^ every[b][None]) <= distance)  # noqa: B023
+                out.append(every[np.array(links, np.int64).reshape(-1, 2)])
+            links = np.concatenate(out).view(np.int64)
+            yield pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
 
-    return _split_buckets(_balls(fps), BLOCK).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(run, "a long, b long").distinct()
+    balls = dealt(_balls(fps), "fp", fps.count() * 34, BLOCK)
+    return balls.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,12 +112,12 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col
     """
     prints = written(fingerprints(docs, shingle, id_col, text_col), "simhash")
     # an id that repeats with different texts ties their fingerprints together
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs")), "simhash-nodes")
     edges = near_edges(nodes.select("fp"), distance)
     repeated = prints.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("doc_id IS NOT NULL AND a <> b")
     tied = prints.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("fp").alias("b")).filter("a <> b").distinct()
     groups = connected_components(edges.union(tied)).withColumnRenamed("id", "fp")
     of_node = nodes.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of_node.join(least, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = of_node.join(least, "component").select("fp", "docs", "component_id")
+    return join_counted(prints, named, ["fp"], "docs", prints.count()).select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
