@@ -280,7 +280,7 @@ def similar_edges(docs: DataFrame, nodes: DataFrame, size: int, prints: bool, te
             hashes = np.array([_set_hash(s) for s in sets], np.int64).reshape(-1, 2)
             yield pd.DataFrame({"h1": hashes[:, 0], "h2": hashes[:, 1], "grams": [s.tobytes() for s in sets]})
 
-    texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).join(wanted.select("t"), "t", "left_semi").dropDuplicates(["t", "text"])
+    texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).join(wanted.select("t").hint("merge"), "t", "left_semi").dropDuplicates(["t", "text"])  # texts move, at every size
     grams = texts.mapInPandas(run, "h1 long, h2 long, grams binary")  # one text stands for all with its set: its own hash names it
     sets = grams.join(wanted.drop("t"), ["h1", "h2"]).select("key", "node", "n", "grams")
     return verified_links(written(sets, "shingles"))

@@ -2,12 +2,13 @@
 
 import html
 import re
+import time
 
 import hypothesis
 import hypothesis.strategies as st
 import pytest
 
-from gridproof.llm.html_text import extract
+from gridproof.llm.html_text import extract, extract_main_text
 
 TEXT = "One whole paragraph of the article, long enough to be content of its own."
 
@@ -85,3 +86,52 @@ def test_pages_against_exact_text(spark):
         inside = re.sub(r"(?s)<!--.*?-->", "", r.html[r.html.index("<article>") + 9 : r.html.index("</article>")])
         blocks = [" ".join(html.unescape(re.sub("<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1|h2|div|ul|li|br)\b[^>]*>", inside)]
         assert extract(r.html) == "\n\n".join(b for b in blocks if b), r.page_id
+
+
+@pytest.mark.parametrize("tag", ["li", "td", "tr", "dt", "dd", "option", "div", "b", "span", "p", "section", "head", "b><p", "form", "ul><li", "table><tr><td", "dl><dt"])
+def test_open_tags_take_linear_time(tag):
+    page = f"<body><article><p>{TEXT}</p>" + f"<{tag}>" * 100_000 + "</article></body>"
+    began = time.perf_counter()
+    assert extract(page).startswith(TEXT) or tag == "form"
+    assert time.perf_counter() - began < 8  # 2 on an idle machine; quadratic time takes minutes
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 12, 200])
+@pytest.mark.parametrize("holder", ["form", "div class=sidebar"])
+def test_nested_holders_are_read_to_the_end(n, holder):
+    assert extract("<body>" + f"<{holder}>" * n + BODY + f"</{holder.split()[0]}>" * n + "</body>") == "\n\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("name", ["reader-comments", "user-comments", "post-comments", "blog-comments", "comment_item", "commentlist", "CommentSection", "disqus_thread", "adsbygoogle", "comments-area", "comment-list", "userComments", "comments_wrapper"])
+@pytest.mark.parametrize("kind", ["class", "id"])
+def test_reader_comments_and_adverts_go(name, kind):
+    remark = f"<div {kind}='{name}'><p>{TEXT} I disagree with every word of it.</p></div>"
+    assert extract(f"<body><article>{BODY}</article>{remark}</body>") == "\n\n".join(PARAGRAPHS)
+    assert extract(f"<body><article>{BODY}{remark}</article></body>") == "\n\n".join(PARAGRAPHS)
+    assert extract(f"<body><div>{BODY}</div>{remark}</body>") == "\n\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("name", ["no-comments", "has-comments", "comments-open", "comments-closed", "commentary-track-lead", "post-body", "entry-author", "user-story", "postItem"])
+def test_names_that_only_mention_comments_stay(name):
+    assert extract(f"<body><div class='{name}'>{BODY}</div></body>") == "\n\n".join(PARAGRAPHS)
+
+
+def test_linked_text_of_an_article_stays():
+    links = [f"Read the report of the year {i} here." for i in range(4)]
+    items = "<ul>" + "".join(f"<li><a href=/{i}>{x}</a></li>" for i, x in enumerate(links)) + "</ul>"
+    assert extract(f"<article><p>{TEXT}</p><p><a href=/x>{TEXT}</a></p>{items}<p>{TEXT}</p></article>") == "\n\n".join([TEXT, TEXT, *links, TEXT])
+    assert extract(f"<article><p><a href=/x>{TEXT}</a></p></article>") == TEXT
+    assert extract(f"<article>{items}</article>") == "\n\n".join(links)
+
+
+def test_optional_end_tags():
+    assert extract("<article><p>" + TEXT + "<table><tr><td>a cell<td>another<tr><td>third</table><dl><dt>term<dd>what it means<dt>next</dl><ul><li>one<ul><li>inner</ul><li>two</ul></article>").split("\n\n") == [TEXT, "a cell", "another", "third", "term", "what it means", "next", "one", "inner", "two"]
+
+
+def test_pages_through_the_query(spark):
+    pages = [
+        (1, f"<body><article>{BODY}</article><div class=reader-comments><p>{TEXT}</p></div></body>", "\n\n".join(PARAGRAPHS)), (2, "<body>" + "<form>" * 5 + BODY + "</body>", "\n\n".join(PARAGRAPHS)),
+        (3, f"<article><p>{TEXT}</p><p><a href=/x>{TEXT}</a></p></article>", f"{TEXT}\n\n{TEXT}"), (4, None, ""), (5, "", ""), (6, "<li>" * 20_000, ""), (7, f"<p>&eacute;&amp;&#x41; {TEXT}", f"é&A {TEXT}"), (None, f"<p>{TEXT}", TEXT),
+    ]
+    docs = spark.createDataFrame([(i, f"u{i}", h, "x") for i, h, _ in pages], "page_id long, url string, html string, text string")
+    assert sorted(((r.page_id, r.url, r.text, r.n_chars) for r in extract_main_text(docs).collect()), key=repr) == sorted(((i, f"u{i}", t, len(t)) for i, _, t in pages), key=repr)
