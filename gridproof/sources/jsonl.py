@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .splits import number_lines, split_lines
+
 
-def read_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
-    """value, file, block, line_id: lines that are not blank; (file, block, line_id) sorts as the files do.
+def read_lines(spark: SparkSession, path: str | list[str], pattern: str | None = None, numbered: bool = False) -> DataFrame:
+    """value, file, block, line_id: lines that are not blank; (file, block, line_id) sorts as the files do. numbered: line too, the number in the file from 1, blank ones counted.
 
     Folders are searched recursively; `pattern` is a glob for file names.
     """
-    reader = spark.read.option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_id"))
-    return lines.filter(F.trim("value") != "")
+    lines = split_lines(spark, path, pattern)
+    return (number_lines(lines) if numbered else lines).filter(F.trim("value") != "")
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], mode: str = "strict", pattern: str | None = None) -> DataFrame:
-    """As read_lines with `row` (variant). strict: bad JSON or a value that is no object raises; lenient: any JSON; skip: bad lines go."""
-    lines = read_lines(spark, path, pattern).withColumn("row", F.try_parse_json("value"))
+    """As read_lines with `row` (variant). strict: bad JSON or a value that is no object raises, with the line's number; lenient: any JSON; skip: bad lines go."""
+    lines = read_lines(spark, path, pattern, numbered=mode == "strict").withColumn("row", F.try_parse_json("value"))
     if mode == "skip":
         return lines.filter(F.col("row").isNotNull())
     bad = F.col("row").isNull()
@@ -28,7 +30,8 @@ def read_jsonl(spark: SparkSession, path: str | list[str], mode: str = "strict",
         bad = bad | ~F.schema_of_variant("row").startswith("OBJECT")
     elif mode != "lenient":
         raise ValueError(f"unknown mode {mode}")
-    said = F.concat(F.lit("bad JSON line in "), F.col("file"), F.lit(": "), F.substring("value", 1, 80))
+    where = F.concat_ws(":", "file", *[c for c in ("line",) if c in lines.columns])
+    said = F.concat(F.lit("bad JSON line in "), where, F.lit(": "), F.substring("value", 1, 80))
     return lines.withColumn("row", F.when(bad, F.raise_error(said).cast("variant")).otherwise(F.col("row")))
 
 
@@ -78,6 +81,33 @@ def preview_keys(rows: DataFrame, sample: int = 8) -> DataFrame:
     return flat.groupBy("file", "key").agg(F.min("ordinal").alias("first_row"), F.count("*").alias("rows"))
 
 
+def _keys_in_order(texts: pd.Series) -> pd.Series:
+    def keys(text: str) -> list[str]:
+        value = json.loads(text)
+        return list(value) if isinstance(value, dict) else []
+
+    return texts.map(keys)
+
+
+def preview_jsonl(spark: SparkSession, path: str | list[str], sample: int = 8, pattern: str | None = None) -> DataFrame:
+    """file, rows, columns, sample: lines of each file that are not blank, the keys of its first `sample` lines in the order in which they are first seen, and these lines.
+
+    Variants sort the keys of an object, so keys are read from the text. All lines are counted, only the first are parsed; a bad one of them raises.
+    """
+    lines = read_lines(spark, path, pattern, numbered=True)
+    counts = lines.groupBy("file").agg(F.count("*").alias("rows"), F.slice(F.array_sort(F.collect_list(F.when(F.col("line") <= F.lit(sample), F.struct("line", "value")))), 1, sample).alias("head"))
+    # blank lines push the first ones further down than `sample`: these files take their first lines by a window of one row a line, after a bound
+    short = counts.filter((F.size("head") < sample) & (F.size("head") < F.col("rows")))
+    bound = lines.join(short.select("file"), "file", "left_semi")
+    first = Window.partitionBy("file").orderBy("line")
+    later = bound.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= sample).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("later"))
+    head = counts.join(later, "file", "left").select("file", "rows", F.coalesce("later", "head").alias("head"))
+    flat = head.select("file", F.posexplode("head").alias("at", "x")).select("file", "at", F.pandas_udf(_keys_in_order, "array<string>")("x.value").alias("keys"))
+    seen = flat.select("file", "at", F.posexplode("keys").alias("place", "key")).groupBy("file", "key").agg(F.min(F.struct("at", "place")).alias("first"))
+    columns = seen.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "key"))), lambda k: k["key"]).alias("columns"))
+    return head.join(columns, "file", "left").select("file", "rows", F.coalesce("columns", F.array().cast("array<string>")).alias("columns"), F.transform("head", lambda x: x["value"]).alias("sample"))
+
+
 def row_counts(spark: SparkSession, path: str) -> DataFrame:
     """file, rows: exact numbers of data rows of delimited files, by counting lines (a header line is none)."""
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
