@@ -59,3 +59,72 @@ def rejoin_check(original: DataFrame, tables: dict[str, DataFrame], keys: list[s
     lost = multiset_difference(original, rejoin(tables, keys))
     out.append(lost.agg(F.count("*").alias("n")).select(F.lit("relational_inverse_mismatch").alias("issue"), "n"))
     return reduce(DataFrame.unionByName, out)
+
+
+def unique_keys(df: DataFrame, key_sets: list[list[str]]) -> DataFrame:
+    """keys, distinct, repeated, unique for each set of columns: whether it determines the rows, all sets in one aggregate. Rows with a null in a key count as one that repeats nothing."""
+    whole = lambda ks: F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in ks]), F.struct(*ks))
+    sums = df.agg(*[x for i, ks in enumerate(key_sets) for x in (F.count(whole(ks)).alias(f"n{i}"), F.count_distinct(whole(ks)).alias(f"d{i}"))])
+    rows = [F.struct(F.array(*map(F.lit, ks)).alias("keys"), F.col(f"d{i}").alias("distinct"), (F.col(f"n{i}") - F.col(f"d{i}")).alias("repeated"), (F.col(f"n{i}") == F.col(f"d{i}")).alias("unique")) for i, ks in enumerate(key_sets)]
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def shared_keys(tables: dict[str, DataFrame]) -> list[str]:
+    """Columns that all tables have, in the order of the first."""
+    first, *rest = tables.values()
+    return [c for c in first.columns if all(c in t.columns for t in rest)]
+
+
+def _base(tables: dict[str, DataFrame]) -> str:
+    """The largest table (the first of equals): the others have a row a key at most, so no join from it makes rows."""
+    sizes = {name: t.count() for name, t in tables.items()}
+    return max(sizes, key=sizes.__getitem__)
+
+
+def rejoin_from_largest(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    base = _base(tables)
+    return reduce(lambda a, b: a.join(b, keys), [tables[base], *[t for name, t in tables.items() if name != base]])
+
+
+def relational_issues(original: DataFrame, tables: dict[str, DataFrame], keys: list[str] | None = None) -> DataFrame:
+    """issue, part, n: what keeps two or three tables from being a lossless decomposition of the original. Without keys, the columns that all tables have.
+
+    Forms are checked first: number of tables, keys that a table lacks, fields in two tables or in none. Then one grouping of all tables' keys finds keys with a null,
+    keys that repeat outside the largest table (the base), base rows without a match, and keys that the base lacks. Only where all that holds are the tables joined, from the base on, and compared
+    with the original as multisets: n is how many rows differ.
+    """
+    spark = original.sparkSession
+    keys = keys or shared_keys(tables)
+    found: list[tuple[str, str | None, int]] = []
+    if not 2 <= len(tables) <= 3:
+        found.append(("relational_file_count_invalid", None, len(tables)))
+    found += [("join_key_missing_from_table", name, lacking) for name, t in tables.items() if (lacking := sum(k not in t.columns for k in keys))]
+    owners = [c for t in tables.values() for c in t.columns if c not in keys]
+    if len(owners) > len(set(owners)):
+        found.append(("field_duplicated_across_tables", None, len(owners) - len(set(owners))))
+    if off := (set(owners) | set(keys)) ^ set(original.columns):
+        found.append(("relational_fields_not_lossless", None, len(off)))
+    if not keys:
+        found.append(("join_key_missing", None, 1))
+    if not found:
+        names = list(tables)
+        base = _base(tables)
+        flat = reduce(DataFrame.unionByName, [t.select(*keys, F.lit(i).alias("_t")) for i, t in enumerate(tables.values())])
+        per_key = flat.groupBy(*keys).agg(*[F.count_if(F.col("_t") == i).alias(f"_n{i}") for i in range(len(names))])
+        null = reduce(lambda a, b: a | b, [F.col(k).isNull() | (F.col(k).cast("string") == "") for k in keys])
+        b = F.col(f"_n{names.index(base)}")
+        rules = {}
+        for i, name in enumerate(names):
+            n = F.col(f"_n{i}")
+            rules["null_join_key", name] = F.sum(F.when(null, n).otherwise(0))
+            if name != base:
+                rules["unsafe_join_cardinality", name] = F.count_if(~null & (n > 1))
+                rules["join_record_missing", name] = F.sum(F.when(~null & (n == 0), b).otherwise(0))
+                rules["orphan_join_record", name] = F.count_if(~null & (n > 0) & (b == 0))
+        counts = per_key.agg(*[x.alias(f"r{i}") for i, x in enumerate(rules.values())]).first()
+        found += [(issue, name, int(n)) for (issue, name), n in zip(rules, counts) if n]
+        if not found:
+            whole = reduce(lambda x, y: x.join(y, keys), [tables[base], *[t for name, t in tables.items() if name != base]])
+            differ = multiset_difference(original, whole).agg(F.sum(F.abs("surplus"))).first()[0]
+            found += [("relational_inverse_mismatch", None, int(differ))] if differ else []
+    return spark.createDataFrame(found, "issue string, part string, n long")
