@@ -30,8 +30,8 @@ LEAST = (4, 5)  # a similarity of 4/5 or more links
 BANDS, ROWS = 32, 6  # a pair at 0.8 meets in no band with probability (1 - 0.8**6)**32, under 1 in 10,000
 COORDINATES = BANDS * ROWS
 FAR = 41  # differing bits of 192 (19.2 expected at 0.8, standard deviation 4.2: under 1 in 100,000 pairs has more)
-MEMO_WORDS = 500_000
-BATCH = 1 << 20  # shingles that are sketched at once
+MEMO_WORDS = 200_000
+BATCH = 1 << 17  # shingles that are sketched at once
 BUCKET = 8192  # rows of a band's bucket in a task
 GROUP = 1 << 20  # shingles of a group of candidates in a task, twice where blocks meet
 
