@@ -1,7 +1,8 @@
 """Homomorphic multiset fingerprints of documents; DataFrame functions only.
 
 A text is cut into paragraphs (lines), and paragraphs into units: up to 8 words, ended early by the end of the line or
-by a sentence mark from the fourth word on, so an edit in one sentence leaves the units of the others alone. Units cover every character.
+by a sentence mark from the fourth word on, so an edit in one sentence leaves the units of the others alone. Units cover every character but line ends,
+so a paragraph gives the same units wherever it stands, at the end of a text too, and empty lines give none; only a text of nothing but line ends is one unit.
 Each unit hashes to a wide vector of LANES entries of +1 or -1; the fingerprint is the sum over all units, each lane
 modulo 2**16, as 4 hex digits a lane. So it does not depend on the order of units, and paragraphs can be added to a fingerprint or
 taken away from it (inserted, deleted) without the rest of the text. Whole paragraphs would be too coarse: many texts are one paragraph, and an edit
@@ -14,15 +15,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import written
+from .buckets import hot_limit, join_counted
 
 HASHES = 2
 LANES = 64 * HASHES
 _PAIR = (1 << 32) + 1  # two counters of 32 bits in one long
-UNIT = r"(?:\S*+[^\S\n]++){0,3}+(?:[^\s.!?]*+[^\S\n]++){0,4}+[^\s.!?]*+(?:[.!?]++\s*+|\s++|$)"
+UNIT = r"\A\n++\Z|(?:\S*+[^\S\n]++){0,3}+(?:[^\s.!?]*+[^\S\n]++){0,4}+[^\s.!?]*+(?:[.!?]++[^\S\n]*+|[^\S\n]++|(?=\n)|$)"
+BELOW_ONE = 1 - 1e-9  # likeness of fingerprints that differ, at most
+HOT_ROWS = 10_000  # rows of one id that one task takes
 
 
 def units(text: Column) -> Column:
-    """Units of a text in order; together they are the text."""
+    """Units of a text in order; together they are the text without its line ends."""
     return F.filter(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: u != "")
 
 
@@ -84,7 +88,7 @@ def likeness(a: Column, b: Column) -> Column:
     """Cosine of two vectors, not below 0; two zero vectors are alike, and only equal vectors have exactly 1."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a) * dot(b, b))
-    return F.when(a == b, F.lit(1.0)).when(norm == 0, F.lit(0.0)).otherwise(F.least(F.greatest(dot(a, b) / norm, F.lit(0.0)), F.lit(1.0)))
+    return F.when(a == b, F.lit(1.0)).when(norm == 0, F.lit(0.0)).otherwise(F.least(F.greatest(dot(a, b) / norm, F.lit(0.0)), F.lit(BELOW_ONE)))
 
 
 def _neighbours(ids: DataFrame) -> DataFrame:
@@ -118,16 +122,27 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    at = docs.select(k.alias("k"), text.alias("text")).repartition("k")  # texts move once: all uses below take these two columns
+    rows = docs.select(k.alias("k"), text.alias("text"))
+    # ids of very many rows (bounded in number, so they are broadcast) are shared out over tasks, all others move once: every use below takes these two columns
+    limit = hot_limit(docs.count(), HOT_ROWS)
+    hot = F.broadcast(written(rows.groupBy("k").count().filter(F.col("count") > limit).select("k", F.ceil(F.col("count") / limit).cast("int").alias("parts")), "hot-ids"))
+    several = not hot.isEmpty()
+    at = (rows.join(hot, "k", "left_anti") if several else rows).repartition("k")
     n = F.char_length("text").cast("int")
     tail = F.floor(n / 3).cast("int")
     near = _neighbours(docs.select(k.alias("k")))
-    need = at.select("k", tail.alias("need")).groupBy("k").agg(F.max("need").alias("need")).join(near, "k")
-    first = at.groupBy("k").agg(F.min_by("text", F.xxhash64("text")).alias("head"))
+    often = rows.join(hot, "k").withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")).cast("int"))
+    parted = lambda of: of(at).unionByName(of(often)) if several else of(at)
+    need = parted(lambda t: t.select("k", tail.alias("need")).groupBy("k").agg(F.max("need").alias("need"))).join(near, "k")
+    first = parted(lambda t: t.groupBy("k").agg(F.min_by("text", F.xxhash64("text")).alias("head")))
     heads = first.join(need.select(F.col("next").alias("k"), F.col("k").alias("to"), "need"), "k")
     heads = heads.select(F.col("to").alias("k"), F.col("k").alias("next"), F.expr("substring(head, 1, need)").alias("head"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("head"), F.lit(1), tail))
-    both = at.join(heads, "k").withColumn("edited", edited).withColumn("row", F.monotonically_increasing_id())
+    joined = at.join(heads, "k")
+    if several:
+        spread = heads.join(hot, "k").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        joined = joined.unionByName(often.drop("parts").join(spread, ["k", "part"]).drop("part"))
+    both = joined.withColumn("edited", edited).withColumn("row", F.monotonically_increasing_id())
     doc = F.struct("row", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("text").alias("order"))
     side = lambda i, t: F.struct(F.lit(i).alias("side"), units(F.col(t)).alias("u"))
     keyed = both.select("k", "next", doc.alias("doc"), F.explode(F.array(side(0, "text"), side(1, "edited"))).alias("s")).select("k", "next", "doc", "s.side", "s.u")
@@ -137,7 +152,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sums = written(sums, "fingerprints")  # read twice below
     after = sums.groupBy("k").agg(F.min_by(F.struct("n", "c"), F.col("doc.order")).alias("after")).withColumnRenamed("k", "next")
     vector = lambda n, c: reduced(lanes(F.col(n), F.col(c)))
-    vectors = sums.join(after, "next").select(F.nullif(F.col("k"), F.lit(-(1 << 63))).alias("id"), "doc", vector("n", "c").alias("a"), vector("en", "ec").alias("b"), vector("after.n", "after.c").alias("d"))
+    after = after.join(sums.groupBy("next").agg(F.count("*").alias("rows")), "next")
+    vectors = join_counted(sums, after, ["next"], "rows", sums.count(), HOT_ROWS).select(F.nullif(F.col("k"), F.lit(-(1 << 63))).alias("id"), "doc", vector("n", "c").alias("a"), vector("en", "ec").alias("b"), vector("after.n", "after.c").alias("d"))
     return vectors.select(
         F.col("id").alias(id_col), "doc.n_chars", "doc.edited_sha256", digest(F.col("a")).alias("fingerprint"), digest(F.col("b")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("d")).alias("near_next"),
