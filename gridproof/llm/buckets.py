@@ -16,14 +16,14 @@ HOT_KEYS = 1_000_000
 TILE = 1024
 
 
-def hot_limit(rows: int, most: int) -> int:
-    """Rows from which on a key is hot: over `most`, and so many that there can't be more than HOT_KEYS hot keys."""
-    return max(most, -(-rows // HOT_KEYS))
+def hot_limit(rows: int, most: int, keys: int = HOT_KEYS) -> int:
+    """Rows from which on a key is hot: over `most`, and so many that there can't be more than `keys` hot keys."""
+    return max(most, -(-rows // keys))
 
 
-def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int, most: int = 100_000) -> DataFrame:
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], count: str, total: int, most: int = 100_000, hot_keys: int = HOT_KEYS) -> DataFrame:
     """rows joined on keys with side, which has one row a key and in `count` how many of `rows` have it: hot keys by broadcast, so that their rows stay where they are."""
-    limit = hot_limit(total, most)
+    limit = hot_limit(total, most, hot_keys)
     hot, rest = side.filter(F.col(count) > limit), side.filter(F.col(count) <= limit)
     there = rows.join(F.broadcast(hot), keys, "left")
     return there.filter(F.col(count).isNotNull()).unionByName(there.filter(F.col(count).isNull()).select(*rows.columns).join(rest, keys))
