@@ -383,7 +383,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError(f"length must be over {GRAM} and at most {255 - RUN}")
     rows = docs.drop(*[c for c in docs.columns if c.startswith("sx_")])
     plan = _Plan(rows.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)
-    at = rows.withColumn("sx_block", F.pmod(F.xxhash64(F.col(id_col), F.lit("block")), F.lit(plan.blocks))).repartition("sx_block")
+    at = rows.withColumn("sx_block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("block")), F.lit(plan.blocks))).repartition("sx_block")  # by the row, as an id may stand in many rows
     slim = at.groupBy("sx_block")
 
     def send_keys(f: pd.DataFrame) -> pd.DataFrame:
