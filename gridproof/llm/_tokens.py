@@ -58,8 +58,25 @@ def _characters() -> tuple[str, ...]:
     return tuple(sorted({c for kind in found.values() for c in kind} | set("'’_-.<|#")))
 
 
+def crosses_spaces(tokenizer) -> bool:
+    """Whether a token of the vocabulary has white space after another character: then a merge can reach over a space, whatever is tried.
+
+    Tokens are read as plain text, with the mark of SentencePiece as a space, and as the bytes of a byte-level file; halves of characters are no space.
+    """
+    byte = {letter: b for b, letter in _byte_letters().items()}
+    for token in tokenizer.get_vocab(with_added_tokens=True):
+        forms = [token.replace("\u2581", " ")]
+        if all(c in byte for c in token):
+            forms.append(bytes(byte[c] for c in token).decode("utf-8", "replace"))
+        if any(re.search(r"\S\s", form) for form in forms):
+            return True
+    return False
+
+
 def cuts_at_spaces(tokenizer) -> bool:
-    """Whether encoding a text is encoding its pieces, for all pairs of characters around a space or a line end."""
+    """Whether encoding a text is encoding its pieces: no token crosses a space, and all pairs of characters around a space or a line end agree."""
+    if crosses_spaces(tokenizer):
+        return False
     chars = _characters()
     ids = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     alone, spaced, line = ids(list(chars)), ids([" " + c for c in chars]), ids(["\n"])[0]
