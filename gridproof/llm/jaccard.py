@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ LEAST = (4, 5)  # a similarity of 4/5 or more links
 BANDS, ROWS = 32, 6  # a pair at 0.8 meets in no band with probability (1 - 0.8**6)**32, under 1 in 10,000
 COORDINATES = BANDS * ROWS
 FAR = 41  # differing bits of 192 (19.2 expected at 0.8, standard deviation 4.2: under 1 in 100,000 pairs has more)
-MEMO_WORDS = 200_000
-BATCH = 1 << 17  # shingles that are sketched at once
+MEMO_WORDS = 50_000
+BATCH = 1 << 16  # shingles that are sketched at once
 BUCKET = 8192  # rows of a band's bucket in a task
 GROUP = 1 << 20  # shingles of a group of candidates in a task, twice where blocks meet
 
@@ -55,9 +56,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(33)
 
 
-def shingles(text: str | None, memo: dict[bytes, int], size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; a text of fewer words is one shingle, one without words has none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingles(text: str | bytes | None, memo: dict[bytes, int], size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text (or its UTF-8 bytes); a text of fewer words is one shingle, one without words has none."""
+    words = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).lower().split()
     if not words:
         return np.empty(0, np.uint64)
     each = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
@@ -115,25 +116,27 @@ def sketched(docs: DataFrame, size: int, prints: bool, id_col: str, text_col: st
     """id, t (a hash of the text), h1 and h2 (of the shingle set), n, keys (null without words), b0 to b2, fp for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _Words()
-
-        def made(f: pd.DataFrame, sets: list[np.ndarray]) -> pd.DataFrame:
-            sketch = sketches(sets)
-            keys, bits, hashes = band_keys(sketch), sketch_bits(sketch), np.array([_set_hash(s) for s in sets], np.int64).reshape(-1, 2)
-            out = {"id": f["id"].astype("Int64").to_numpy(), "t": f["t"].to_numpy(), "h1": hashes[:, 0], "h2": hashes[:, 1], "n": [len(s) for s in sets], "keys": [k if len(s) else None for k, s in zip(keys, sets)]}
-            return pd.DataFrame(out | {f"b{i}": bits[:, i] for i in range(3)} | {"fp": [set_simhash(s) if prints else 0 for s in sets]}).astype({"id": "Int64"})
+    def made(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
+        sketch, n = sketches(sets), np.array([len(s) for s in sets])
+        hashes, bits = np.array([_set_hash(s) for s in sets], np.int64).reshape(-1, 2), sketch_bits(sketch)
+        offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, mask=np.append(n == 0, False))
+        keys = pa.ListArray.from_arrays(offsets, pa.array(band_keys(sketch).reshape(-1)))
+        fp = [set_simhash(s) for s in sets] if prints else np.zeros(len(sets), np.int64)
+        columns = {"id": batch.column("id"), "t": batch.column("t"), "h1": hashes[:, 0], "h2": hashes[:, 1], "n": n, "keys": keys, **{f"b{i}": bits[:, i] for i in range(3)}, "fp": fp}
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns.values()], list(columns))
 
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Words()
+        for batch in batches:  # texts are taken one by one, so that a batch of long ones is not held twice
             sets, first, grams = [], 0, 0
-            for i, text in enumerate(f["text"]):
-                sets.append(shingles(text, memo, size))
+            for i, text in enumerate(batch.column("text")):
+                sets.append(shingles(text.as_buffer().to_pybytes() if text.is_valid else None, memo, size))
                 grams += len(sets[-1])
-                if grams >= BATCH or i + 1 == len(f):
-                    yield made(f.iloc[first : i + 1], sets)
+                if grams >= BATCH or i + 1 == batch.num_rows:
+                    yield made(batch.slice(first, i + 1 - first), sets)
                     sets, first, grams = [], i + 1, 0
 
-    return rows.mapInPandas(run, "id long, t long, h1 long, h2 long, n long, keys array<long>, b0 long, b1 long, b2 long, fp long")
+    return rows.mapInArrow(run, "id long, t long, h1 long, h2 long, n long, keys array<long>, b0 long, b1 long, b2 long, fp long")
 
 
 def _may_link(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -273,15 +276,21 @@ def similar_edges(docs: DataFrame, nodes: DataFrame, size: int, prints: bool, te
     groups = written(connected_components(links).selectExpr("id AS node", "component AS key"), "groups")
     wanted = written(nodes.select("node", "t", "h1", "h2", "n").join(groups, "node"), "wanted")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = _Words()
-        for f in frames:
-            sets = [shingles(t, memo, size) for t in f["text"]]
-            hashes = np.array([_set_hash(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"h1": hashes[:, 0], "h2": hashes[:, 1], "grams": [s.tobytes() for s in sets]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, names = _Words(), ["h1", "h2", "grams"]
+        out: list[tuple[int, int, bytes]] = []
+        for batch in batches:
+            for text in batch.column("text"):
+                grams = shingles(text.as_buffer().to_pybytes() if text.is_valid else None, memo, size)
+                out.append((*_set_hash(grams), grams.tobytes()))
+                if len(out) == 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names)
 
     texts = docs.select(F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).join(wanted.select("t").hint("merge"), "t", "left_semi").dropDuplicates(["t", "text"])  # texts move, at every size
-    grams = texts.mapInPandas(run, "h1 long, h2 long, grams binary")  # one text stands for all with its set: its own hash names it
+    grams = texts.mapInArrow(run, "h1 long, h2 long, grams binary")  # one text stands for all with its set: its own hash names it
     sets = grams.join(wanted.drop("t"), ["h1", "h2"]).select("key", "node", "n", "grams")
     return verified_links(written(sets, "shingles"))
 
