@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import values_equivalent
+from ..functions.parse import family, values_equivalent
 from ..functions.rounding import rate
 from .shape import multiset_difference
 
@@ -37,34 +37,52 @@ def originals_unchanged(before: DataFrame, after: DataFrame, columns: list[str])
 
 
 def distractor_check(after: DataFrame, target: str, added: str) -> DataFrame:
-    """target_values, coverage, different, passed: enough of the added column is filled and differs from its target."""
+    """target_values, coverage, different, passed: enough of the added column is filled, has values of a kind that its target has, and differs from it."""
+    a, b = F.col(added), F.col(target)
+    kind = lambda c: F.collect_set(F.when(c.isNotNull(), family(c.cast("string"))))  # noqa: E731 (five at most)
     sums = after.agg(
-        F.count(target).alias("target_values"), F.count_if(F.col(added).isNotNull() & F.col(target).isNotNull()).alias("both"),
-        F.count_if(F.col(added).isNotNull() & F.col(target).isNotNull() & (F.col(added) != F.col(target))).alias("apart"), F.count(added).alias("filled"),
+        F.count(target).alias("target_values"), F.count_if(a.isNotNull() & b.isNotNull()).alias("both"), F.count_if(a.isNotNull() & b.isNotNull() & (a.cast("string") != b.cast("string"))).alias("apart"), F.count(added).alias("filled"),
+        kind(a).alias("added_kinds"), kind(b).alias("target_kinds"),
     )
-    out = sums.select("target_values", rate(F.col("filled"), F.col("target_values")).alias("coverage"), rate(F.col("apart"), F.col("both")).alias("different"))
-    return out.withColumn("passed", (F.col("coverage") >= DISTRACTOR_COVERAGE) & (F.col("different") >= DISTRACTOR_DIFFERENT))
+    kinds = F.arrays_overlap("added_kinds", "target_kinds") | (F.size("added_kinds") == 0) | (F.size("target_kinds") == 0)
+    out = sums.select("target_values", rate(F.col("filled"), F.col("target_values")).alias("coverage"), rate(F.col("apart"), F.col("both")).alias("different"), kinds.alias("kinds"))
+    return out.withColumn("passed", F.col("kinds") & (F.col("coverage") >= DISTRACTOR_COVERAGE) & (F.col("different") >= DISTRACTOR_DIFFERENT)).drop("kinds")
+
+
+def _matched(before: DataFrame, after: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """Pairs of the compared columns (before: after) as a{i} and b{i}, for each key of either side, with damaged: the row is lost or added, or another column differs."""
+    rest = [c for c in before.columns if c != key and c not in columns]
+    others = [c for c in after.columns if c != key and c not in columns.values()]
+    if sorted(rest) != sorted(others):
+        raise ValueError(f"columns {sorted(set(rest) ^ set(others))} are on one side only")
+    side = lambda t, names, x: t.select(key, F.struct(F.lit(x).alias("there"), *rest).alias(f"r{x}"), *[F.col(c).alias(f"{x}{i}") for i, c in enumerate(names)])
+    joined = side(before, columns, "a").join(side(after, columns.values(), "b"), key, "full")
+    same = reduce(lambda x, y: x & y, [F.col(f"ra.{c}").eqNullSafe(F.col(f"rb.{c}")) for c in rest], F.col("ra.there").isNotNull() & F.col("rb.there").isNotNull())
+    return joined.withColumn("damaged", ~same)
 
 
 def reencoding_check(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """column, cells, changed, inequivalent, missing_changed, passed for each recoded column."""
-    a = before.select(key, *[F.col(c).cast("string").alias(f"{c}_a") for c in columns])
-    b = after.select(key, *[F.col(c).cast("string").alias(f"{c}_b") for c in columns])
-    joined = a.join(b, key)
-    flat = joined.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_a").alias("a"), F.col(f"{c}_b").alias("b")) for c in columns])).alias("x")).select("x.*")
+    """column, cells, changed, inequivalent, missing_changed, passed for each recoded column; none passes if rows are lost or added or another column changed."""
+    joined = _matched(before, after, key, {c: c for c in columns})
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a{i}").cast("string").alias("a"), F.col(f"b{i}").cast("string").alias("b")) for i, c in enumerate(columns)])
+    flat = joined.select("damaged", F.explode(pairs).alias("x")).select("damaged", "x.*")
     sums = flat.groupBy("column").agg(
-        F.count("a").alias("cells"), F.count_if(F.col("a") != F.col("b")).alias("changed"), F.count_if(~values_equivalent(F.col("a"), F.col("b"))).alias("inequivalent"), F.count_if(F.col("a").isNull() != F.col("b").isNull()).alias("missing_changed")
-    )
-    return sums.withColumn("passed", (F.col("inequivalent") == 0) & (F.col("missing_changed") == 0) & (F.col("changed") >= REENCODED * F.col("cells")))
+        F.count("a").alias("cells"), F.count_if(F.col("a") != F.col("b")).alias("changed"), F.count_if(~values_equivalent(F.col("a"), F.col("b"))).alias("inequivalent"),
+        F.count_if(F.col("a").isNull() != F.col("b").isNull()).alias("missing_changed"), F.count_if("damaged").alias("damaged"),
+    )
+    passed = (F.col("damaged") == 0) & (F.col("inequivalent") == 0) & (F.col("missing_changed") == 0) & (F.col("changed") >= REENCODED * F.col("cells"))
+    return sums.withColumn("passed", passed).drop("damaged")
 
 
 def unit_check(before: DataFrame, after: DataFrame, key: str, column: str, renamed: str) -> DataFrame:
-    """values, least_ratio, most_ratio, zero_changed, passed: one factor for all values that are not zero."""
-    j = before.select(key, F.col(column).alias("a")).join(after.select(key, F.col(renamed).alias("b")), key)
+    """values, least_ratio, most_ratio, zero_changed, passed: one factor for all values that are not zero, a new name, no row lost or added, no value lost, no other column changed."""
+    j = _matched(before, after, key, {column: renamed}).withColumnsRenamed({"a0": "a", "b0": "b"})
     ratio = F.when(F.col("a") != 0, F.col("b") / F.col("a"))
-    sums = j.agg(F.count("a").alias("values"), F.min(ratio).alias("lo"), F.max(ratio).alias("hi"), F.count_if((F.col("a") == 0) & (F.col("b") != 0)).alias("zero_changed"))
+    gone = F.col("damaged") | (F.col("a").isNull() != F.col("b").isNull())
+    sums = j.agg(F.count("a").alias("values"), F.min(ratio).alias("lo"), F.max(ratio).alias("hi"), F.count_if((F.col("a") == 0) & (F.col("b") != 0)).alias("zero_changed"), F.count_if(gone).alias("damaged"))
     same = F.abs(F.col("hi") - F.col("lo")) <= F.greatest(F.lit(1e-9) * F.abs(F.col("hi")), F.lit(1e-12))
-    return sums.select("values", F.round("lo", 6).alias("least_ratio"), F.round("hi", 6).alias("most_ratio"), "zero_changed", (same & (F.col("zero_changed") == 0) & (F.abs(F.col("hi") - 1) > 1e-9)).alias("passed"))
+    passed = same & (F.col("zero_changed") == 0) & (F.abs(F.col("hi") - 1) > 1e-9) & (F.col("damaged") == 0) & F.lit(column != renamed)
+    return sums.select("values", F.round("lo", 6).alias("least_ratio"), F.round("hi", 6).alias("most_ratio"), "zero_changed", passed.alias("passed"))
 
 
 def coverage_check(after: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.rounding import fmt
 from ..sources.grid import number_rows
 
+BROADCAST_GROUPS = 1_000_000
+
 
 def draw(seed: str, *keys: Column) -> Column:
     """An md5 of seed and keys, the same in any engine."""
@@ -68,6 +70,7 @@ def unit_scale(df: DataFrame, column: str, factor: float, name: str) -> DataFram
 def decoy_features(df: DataFrame, key: str, value: str, group: str) -> DataFrame:
     """Three columns at the right that look like facts: a forecast, a rounded value and whether it is over its group's mean. All rows stay; null is a group too."""
     mean = df.groupBy(F.col(group).alias("_group")).agg(F.avg(value).alias("_mean"))
+    mean = F.broadcast(mean) if mean.count() <= BROADCAST_GROUPS else mean  # the rows of a large group stay where they are
     out = df.join(mean, F.col(group).eqNullSafe(F.col("_group")), "left")
     return out.select(*df.columns, (F.floor(F.col(value) * 110 + 0.5) / 100).alias(f"{value}_forecast"), F.floor(F.col(value) / 1000).cast("long").alias(f"{value}_band"), (F.col(value) > F.col("_mean")).alias(f"{value}_above_mean"))
 
@@ -111,6 +114,11 @@ def evidence_conflict(df: DataFrame, column: str, facts: Column, other: Column)
     return df.unionByName(df.filter(facts).withColumn(column, other.cast(df.schema[column].dataType)))
 
 
+def conflicting_header(grid: DataFrame, field: str, other: str) -> DataFrame:
+    """A grid in whose first row one field carries the name of another; its values stay."""
+    return grid.withColumn("value", F.when((F.col("row") == 1) & (F.col("value") == field), F.lit(other)).otherwise(F.col("value")))
+
+
 def header_conflict(columns: list[str], field: str, other: str) -> list[str]:
     """Headers in which one field carries the name of another; values stay, so only the grid form can hold them."""
     return [other if c == field else c for c in columns]

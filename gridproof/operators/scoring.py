@@ -16,8 +16,9 @@ def label_id(x):
 
 
 def last_labels(labels: DataFrame) -> DataFrame:
-    """id, name, value with each name once an id: the one with the greatest ordinal, or without that column the greatest value."""
-    value = F.max_by("value", "ordinal") if "ordinal" in labels.columns else F.max("value")
+    """id, name, value with each name once an id: the one with the greatest ordinal. Without that column a name that repeats with another value raises: which is the last can't be told."""
+    told = F.when(F.min("value").eqNullSafe(F.max("value")) & (F.count("value").isin(F.lit(0), F.count("*"))), F.max("value")).otherwise(F.raise_error(F.lit("a label repeats, and there is no ordinal")).cast("string"))
+    value = F.max_by("value", "ordinal") if "ordinal" in labels.columns else told
     return labels.groupBy("id", "name").agg(value.alias("value"))
 
 

@@ -15,7 +15,9 @@ def wide_to_long(df: DataFrame, ids: list[str], values: list[str], name: str = "
 
 
 def long_to_wide(df: DataFrame, ids: list[str], values: list[str], name: str = "field", value: str = "value") -> DataFrame:
-    return df.groupBy(*ids).pivot(name, values).agg(F.first(value))
+    """The inverse of wide_to_long; a key that repeats raises, as either value could be meant."""
+    one = F.when(F.count(F.lit(1)) <= 1, F.max(value)).otherwise(F.raise_error(F.lit("a key repeats in the long form")).cast(df.schema[value].dataType))
+    return df.groupBy(*ids).pivot(name, values).agg(one)
 
 
 def reshape_check(wide: DataFrame, long: DataFrame, ids: list[str], values: list[str], name: str = "field", value: str = "value") -> DataFrame:

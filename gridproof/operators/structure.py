@@ -134,11 +134,15 @@ def relayout_issues(before: DataFrame, after: DataFrame, starts: DataFrame) -> D
 def sheet_issues(before: DataFrame, after: DataFrame, operator: str) -> DataFrame:
     """Issues of a sheet's frame: size, merged ranges, filters, tables, hidden rows and columns, header styles; each where the operator must leave it alone.
 
-    before and after: file, sheet, rows, cols, merges, filter_ref, tables, hidden_rows, hidden_cols, header_styles.
+    before and after: file, sheet, rows, cols, merges, filter_ref, tables, hidden_rows, hidden_cols, header_styles, and maybe position (of the sheet in its file). A sheet that
+    only one side has, or that stands elsewhere, breaks sheet_names_changed; its other parts are not compared. Moving records between sheets may change them.
     """
     fields = ["rows", "cols", "merges", "filter_ref", "tables", "hidden_rows", "hidden_cols", "header_styles"]
     a = before.select(*_SHEET, *[F.col(f).alias(f"a_{f}") for f in fields])
     both = a.join(after.select(*_SHEET, *[F.col(f).alias(f"b_{f}") for f in fields]), _SHEET)
+    place = "position" if "position" in before.columns and "position" in after.columns else None
+    at = lambda t, c: t.select(*_SHEET, (F.col(place) if place else F.lit(0)).alias(c))
+    moved = at(before, "was").join(at(after, "is"), _SHEET, "full").filter(F.lit(operator != "excel_cross_sheet_relayout") & ~F.col("was").eqNullSafe(F.col("is")))
     differs = lambda f: ~F.col(f"a_{f}").eqNullSafe(F.col(f"b_{f}"))
     in_order = lambda f: ~F.array_sort(f"a_{f}").eqNullSafe(F.array_sort(f"b_{f}"))
     common = F.least(F.size("a_header_styles"), F.size("b_header_styles"))
@@ -154,7 +158,8 @@ def sheet_issues(before: DataFrame, after: DataFrame, operator: str) -> DataFram
         "header_style_changed": (operator in KEEP_HEADER_STYLE, F.slice("a_header_styles", F.lit(1), common) != F.slice("b_header_styles", F.lit(1), common)),
     }
     broken = F.array_compact(F.array(*[F.when(rule, F.lit(code)) for code, (applies, rule) in rules.items() if applies]))
-    return both.select(*_SHEET, F.explode(broken).alias("code")).withColumn("n", F.lit(1).cast("long"))
+    found = both.select(*_SHEET, F.explode(broken).alias("code")).unionByName(moved.select(*_SHEET, F.lit("sheet_names_changed").alias("code")))
+    return found.withColumn("n", F.lit(1).cast("long"))
 
 
 def issue_report(issues: DataFrame, files: DataFrame) -> DataFrame:

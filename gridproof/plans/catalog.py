@@ -484,11 +484,14 @@ def file_missing(s, d):
     return integrity.package_diff(inventory, inventory.filter("p_size % 5 <> 0"))
 
 
-@query("SELECT 1 AS \"row\", unnest([1, 2, 3]) AS col, unnest(['s_suppkey', 's_nationkey', 's_nationkey']) AS value, unnest([false, false, true]) AS repeated")
+@query("""WITH numbered AS (SELECT *, 1 + row_number() OVER (ORDER BY s_suppkey) AS r FROM supplier)
+SELECT 1::INTEGER AS "row", unnest([1, 2, 3])::INTEGER AS col, unnest(['s_suppkey', 's_nationkey', 's_nationkey']) AS value, unnest([false, false, true]) AS repeated
+UNION ALL SELECT r::INTEGER, unnest([1, 2, 3])::INTEGER, unnest([s_suppkey::VARCHAR, s_name, s_nationkey::VARCHAR]), NULL FROM numbered""")
 def header_conflict(s, d):
-    names = perturb.header_conflict(["s_suppkey", "s_name", "s_nationkey"], "s_name", "s_nationkey")
-    heads = s.createDataFrame([("supplier", "", 1, i + 1, n) for i, n in enumerate(names)], "file string, sheet string, row int, col int, value string")
-    return heads.join(profile.column_names(heads).select("col", "repeated"), "col").select("row", "col", "value", "repeated")
+    cells = grid.from_table(table(s, d, "supplier").select("s_suppkey", "s_name", "s_nationkey"), "supplier", ["s_suppkey"])
+    conflict = perturb.conflicting_header(cells, "s_name", "s_nationkey")
+    names = profile.column_names(conflict.filter("row = 1")).select("col", "repeated")
+    return conflict.join(F.broadcast(names), "col").select("row", "col", "value", F.when(F.col("row") == 1, F.col("repeated")).alias("repeated"))
 
 
 @query("""WITH c AS (SELECT o_orderstatus, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS v FROM orders), g AS (SELECT o_orderstatus, count(*) AS n, count(v) AS n_known FROM c GROUP BY 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, parse
 from ..operators import canonical, files, reliability, robust, scoring, select
+from ..sources import grid
 from . import fixtures as fx
 from .fixtures import robust_sql, rounded, table, with_views
 from .registry import query
@@ -135,12 +136,12 @@ def first_rejection_reasons(s, d):
     return select.first_rejections(e, e.filter("value > 150").select("sample", "operator").distinct())
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_custkey % 2 = 0 THEN 'QA_' ELSE 'da_' END, c_custkey)::INTEGER AS position FROM customer WHERE c_custkey < 200")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_custkey % 2 = 0 THEN 'QA_' ELSE 'da_' END, c_custkey)::INTEGER AS position FROM customer")
 def natural_sort(s, d):
-    from pyspark.sql import Window
-
     name = F.concat(F.when(F.col("c_custkey") % 2 == 0, "QA_").otherwise("da_"), F.col("c_custkey").cast("string"))
-    return table(s, d, "customer").filter("c_custkey < 200").select("c_custkey", F.row_number().over(Window.orderBy(*ids.natural_order(name))).alias("position"))  # a page of ids
+    order = {f"_k{i}": k for i, k in enumerate(ids.natural_order(name))}
+    rows = grid.number_rows(table(s, d, "customer").select("c_custkey", *[k.alias(n) for n, k in order.items()]), list(order), "position")
+    return rows.select("c_custkey", F.col("position").cast("int").alias("position"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 5 < 4 THEN c_custkey END AS k FROM customer")

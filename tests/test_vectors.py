@@ -163,3 +163,52 @@ def test_selection(spark):
 def test_source_ids(spark):
     df = spark.createDataFrame([(" qa_1 ", "x"), (None, "qa_12__op__001"), ("", "zz"), (None, None)], "source_id string, judgment_id string")
     assert [r[0] for r in df.select(reliability.source_of(F.col("source_id"), F.col("judgment_id"))).collect()] == ["QA_1", "QA_12", "", ""]
+
+
+def test_value_checks_see_lost_rows_and_other_columns(spark):
+    from gridproof.operators import integrity, perturb
+
+    t = spark.range(100).selectExpr("id AS k", "cast(id * 10 + 10 AS double) AS v", "concat('n', id) AS name")
+    scaled, recoded = perturb.unit_scale(t, "v", 100.0, "v_cents"), perturb.reencode(t, {"v": "thousands"})
+    for good, check in ((scaled, lambda x: integrity.unit_check(t, x, "k", "v", "v_cents")), (recoded, lambda x: integrity.reencoding_check(t, x, "k", ["v"]))):
+        passed = lambda x: check(x).first().passed  # noqa: B023, E731
+        assert passed(good)
+        assert not passed(good.filter("k < 50")) and not passed(good.unionByName(good.filter("k = 3").withColumn("k", F.lit(1000).cast("long"))))
+        assert not passed(good.withColumn("name", F.lit("damaged"))) and not passed(good.withColumn("name", F.when(F.col("k") != 7, F.col("name"))))
+    assert not integrity.unit_check(t, scaled.withColumn("v_cents", F.when(F.col("k") != 7, F.col("v_cents"))), "k", "v", "v_cents").first().passed
+    with pytest.raises(ValueError, match="one side only"):
+        integrity.unit_check(t, scaled.drop("name"), "k", "v", "v_cents")
+
+
+def test_distractor_of_another_kind_fails(spark):
+    from gridproof.operators import integrity
+
+    t = spark.range(20).selectExpr("id AS k", "cast(id AS double) AS price", "cast(id * 2 + 1 AS double) AS list", "'no number' AS words")
+    assert integrity.distractor_check(t, "price", "list").first().passed and not integrity.distractor_check(t, "price", "words").first().passed
+
+
+def test_repeats_raise(spark):
+    from gridproof.operators import scoring, shape
+
+    long = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (1, "a", "z")], "k long, field string, value string")
+    with pytest.raises(Exception, match="a key repeats"):
+        shape.long_to_wide(long, ["k"], ["a", "b"]).collect()
+    assert shape.long_to_wide(long.filter("value <> 'z'"), ["k"], ["a", "b"]).first().asDict() == {"k": 1, "a": "x", "b": "y"}
+    labels = spark.createDataFrame([("1", "n", "5"), ("1", "n", "4"), ("2", "m", "7"), ("2", "m", "7")], "id string, name string, value string")
+    with pytest.raises(Exception, match="a label repeats"):
+        scoring.last_labels(labels).collect()
+    assert [tuple(r) for r in scoring.last_labels(labels.filter("id = '2'")).collect()] == [("2", "m", "7")]
+    last = scoring.last_labels(labels.withColumn("ordinal", F.when(F.col("value") == "4", 2).otherwise(1))).collect()
+    assert sorted(map(tuple, last)) == [("1", "n", "4"), ("2", "m", "7")]
+
+
+def test_sheets_that_one_side_lacks_or_that_moved(spark):
+    from gridproof.operators.structure import sheet_issues
+
+    schema = "file string, sheet string, position int, rows int, cols int, merges array<string>, filter_ref string, tables array<string>, hidden_rows array<int>, hidden_cols array<string>, header_styles array<string>"
+    row = lambda s, p: ("w.xlsx", s, p, 3, 2, [], None, [], [], [], ["1"])
+    before = spark.createDataFrame([row("a", 1), row("b", 2), row("c", 3)], schema)
+    after = spark.createDataFrame([row("a", 1), row("c", 2), row("d", 3)], schema)
+    found = lambda o: {(r.sheet, r.code) for r in sheet_issues(before, after, o).collect()}
+    assert found("unit_scale_conversion") == {("b", "sheet_names_changed"), ("c", "sheet_names_changed"), ("d", "sheet_names_changed")}
+    assert found("excel_cross_sheet_relayout") == set() and sheet_issues(before.drop("position"), before, "row_order_shuffle").count() == 0
