@@ -25,8 +25,8 @@ _SHEET = ["file", "sheet"]
 
 
 def token(grid: DataFrame) -> Column:
-    """Type, value, formula and style of a cell as one text."""
-    parts = [F.col(c) for c in ("vtype", "value", "formula", "style") if c in grid.columns]
+    """Type, value, formula, style and number format of a cell as one text."""
+    parts = [F.col(c) for c in ("vtype", "value", "formula", "style", "format") if c in grid.columns]
     return F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})
 
 
