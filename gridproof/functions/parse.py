@@ -74,11 +74,25 @@ def family(x: Column) -> Column:
     return F.when(~has_text(x), "blank").when(t.isin("true", "false", "yes", "no"), "boolean").when(parse_number(x).isNotNull(), "number").when(parse_date(x).isNotNull(), "date").otherwise("text")
 
 
+def field_pairs(x: Column) -> Column:
+    """All @name[value] in a text, in order, as structs of k and v; one pass of one expression."""
+    whole = F.regexp_extract_all(x, F.lit(r"@(?U:\w+)\[(?s:.*?)\]"), F.lit(0))
+
+    def parts(m: Column) -> Column:
+        n = F.length(F.substring_index(m, "[", 1))
+        return F.struct(F.substring(m, F.lit(2), n - 1).alias("k"), F.substring(m, n + 2, F.length(m) - n - 2).alias("v"))
+
+    return F.transform(whole, parts)
+
+
+def last_value(pairs: Column, name: Column) -> Column:
+    """The value of the last pair of that name, or null."""
+    return F.try_element_at(F.filter(pairs, lambda p: p["k"] == name), F.lit(-1))["v"]
+
+
 def extract_fields(x: Column) -> Column:
     """Map of all @name[value] in a text; of a repeated name the last counts."""
-    names = F.regexp_extract_all(x, F.lit(r"(?sU)@(\w+)\[(.*?)\]"), F.lit(1))
-    values = F.regexp_extract_all(x, F.lit(r"(?s)@(?:(?U)\w+)\[(.*?)\]"), F.lit(1))
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
+    pairs = field_pairs(x)
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda r: r["k"] == p["k"]))
     return F.map_from_entries(last)
 

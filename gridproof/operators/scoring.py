@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import answers_equal, extract_fields
+from ..functions.parse import answers_equal, field_pairs, last_value
 from ..functions.rounding import rate
 
 
@@ -29,9 +29,10 @@ def score_answers(responses: DataFrame, labels: DataFrame) -> DataFrame:
     order: the run and its answer, then the label, then the fields.
     """
     keyed = last_labels(labels).groupBy(F.col("id").alias("label_id")).agg(F.collect_list(F.struct("name", "value")).alias("fields"))
-    rows = responses.withColumn("label_id", label_id(F.col("id"))).join(keyed, "label_id", "left").withColumn("found", extract_fields(F.col("response")))
-    told = F.filter("fields", lambda f: answers_equal(F.element_at("found", f["name"]), f["value"]))
-    absent = F.filter("fields", lambda f: F.element_at("found", f["name"]).isNull())
+    rows = responses.withColumn("label_id", label_id(F.col("id"))).join(keyed, "label_id", "left").withColumn("found", field_pairs(F.col("response")))
+    rows = rows.withColumn("told", F.transform("fields", lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value"), last_value(F.col("found"), f["name"]).alias("got"))))
+    told = F.filter("told", lambda f: answers_equal(f["got"], f["value"]))
+    absent = F.filter("told", lambda f: f["got"].isNull())
     no_run = (F.col("status") != "success") | (F.coalesce(F.trim("response"), F.lit("")) == "")
     status = F.when(no_run, "run_failed").when(F.col("fields").isNull(), "label_not_found").otherwise("scored")
     scored = rows.withColumns({"status": status, "right": told, "absent": absent})
