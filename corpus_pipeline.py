@@ -46,8 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the token ids of all documents in sequences of 1024."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    """Pack the token ids of all documents in sequences of 1024. Workers keep fewer ids than alone, as the executors' heaps are full of the stages before."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2, memo=120_000)
 
 
 STAGES = [("language_id", languages), ("simhash_dedup", near_dedup), ("suffix_dedup", cut_repeats), ("mixing", mix_sources), ("packing", pack)]

@@ -96,14 +96,14 @@ def _probes() -> tuple[str, ...]:
 
 
 class _Memo(dict):
-    """Values by piece, in two generations of MEMO_LIMIT at most.
+    """Values by piece, in two generations of `most` (MEMO_LIMIT by default) at most.
 
     When the younger is full it becomes the older, and a piece that is met again moves back, so frequent pieces stay.
     """
 
-    def __init__(self, make: Callable[[str], object]):
+    def __init__(self, make: Callable[[str], object], most: int | None = None):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.older, self.most = make, {}, most or MEMO_LIMIT
 
     def __missing__(self, piece: str):
         value = self.older.get(piece)
@@ -113,7 +113,7 @@ class _Memo(dict):
         return value
 
     def keep(self, piece: str, value) -> None:
-        if len(self) >= MEMO_LIMIT:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         if len(piece) <= LONGEST:
@@ -123,7 +123,7 @@ class _Memo(dict):
 class Encoder:
     """Ids of texts as bytes or, with lengths_only, their number."""
 
-    def __init__(self, path: str, lengths_only: bool = False):
+    def __init__(self, path: str, lengths_only: bool = False, memo: int | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -135,9 +135,9 @@ class Encoder:
         self._code = "H" if self.dtype == "<u2" else "I"
         self._model = self.tokenizer.model.tokenize
         self._line = self._value(self._encode("\n"))
-        self.marks = _Memo(lambda x: self._value(self._encode(x)))
+        self.marks = _Memo(lambda x: self._value(self._encode(x)), memo)
         self.marks[""] = self._value([])
-        self.spaced, self.bare, self.forms = _Memo(lambda x: self._piece(x, 0)), _Memo(lambda x: self._piece(x, 1)), None
+        self.spaced, self.bare, self.forms = _Memo(lambda x: self._piece(x, 0), memo), _Memo(lambda x: self._piece(x, 1), memo), None
         if lengths_only or not self.cuts:
             return  # counts come from batches of the library
         probes = _probes()
@@ -222,6 +222,6 @@ class PieceModel:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, lengths_only: bool = False) -> Encoder | PieceModel:
+def encoder(path: str, lengths_only: bool = False, memo: int | None = None) -> Encoder | PieceModel:
     """One encoder for each file and worker: tokenizers for .json, sentencepiece for .model."""
-    return PieceModel(path) if path.endswith(".model") else Encoder(path, lengths_only)
+    return PieceModel(path) if path.endswith(".model") else Encoder(path, lengths_only, memo)

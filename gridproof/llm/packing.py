@@ -24,11 +24,11 @@ SLOT = ["row", "length", "sequence_id", "gap", "slot"]
 _TASK, _ROUND = 33, 54  # bits below the task in a row's number, and below the round in a sequence's
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece, with a number of its own (row) once written. No shuffle."""
+def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", memo: int | None = None) -> DataFrame:
+    """One row a piece, with a number of its own (row) once written. No shuffle. memo: pieces of texts whose ids a worker keeps."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, row = encoder(tokenizer_path), TaskContext.get().partitionId() << _TASK
+        enc, row = encoder(tokenizer_path, memo=memo), TaskContext.get().partitionId() << _TASK
         end = np.array([end_id], "<u4")
         for f in frames:
             rows = []
@@ -185,11 +185,11 @@ def _opened(waiting: DataFrame, low: int, top: int, capacity: int, rounds: int)
     return waiting.select("row", "length", (F.lit(rounds << _ROUND) + number.cast("long")).alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"), F.col("rank").alias("slot"))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", memo: int | None = None) -> DataFrame:
     """Encode, cut and pack whole documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is one piece with the end id alone. Null ids and repeated rows are packed like others, one set
     of pieces a row. Only texts over `capacity` tokens are cut, into pieces of `capacity`; the first may be shorter.
     Pieces are written to the shared folder once, so texts are encoded once. Columns other than these two are ignored.
     """
-    return pack(written(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces"), capacity)
+    return pack(written(cut_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, memo), "pieces"), capacity)
