@@ -75,3 +75,25 @@ def catalog_order(rows: DataFrame, operator: str, known: list[str]) -> DataFrame
     """rows with catalog_index: known operators by their place in the catalog, unknown ones after them."""
     place = F.array_position(F.array(*[F.lit(x) for x in known]), F.col(operator)) - 1
     return rows.withColumn("catalog_index", F.when(place >= 0, place).otherwise(len(known)).cast("int"))
+
+
+#: What a validator has to affirm, in the order of the checks, and operators that must be hard.
+CORE_FIELDS = ("independent_check_completed", "original_answerable", "attack_rule_valid", "question_preservation_valid", "file_edit_scope_valid", "unique_answer_impossible", "no_alternative_answer_path")
+HARD_OPERATORS = ("deep_analysis_missing", "structural_context_missing")
+
+
+def validator_gate(results: DataFrame) -> DataFrame:
+    """All columns with accepted, failed and reason: the first field of a validator's result that is not as it must be, and what it says.
+
+    results: operator, verdict, the CORE_FIELDS, hardness_valid, can_answer, should_refuse, fabricated_answer (booleans, null where not given), original_files_checked and
+    final_files_checked (arrays), failure_reason, refusal_reason. A verdict that is not `passed` gives the reason that the validator states itself.
+    """
+    hard = F.col("operator").isin(*HARD_OPERATORS)
+    seen = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rules = {"verdict": F.col("verdict") == "passed"} | {c: true(c) for c in CORE_FIELDS}
+    rules |= {"hardness_valid": ~hard | true("hardness_valid"), "can_answer": ~F.coalesce("can_answer", F.lit(True)), "should_refuse": true("should_refuse"), "fabricated_answer": ~true("fabricated_answer")}
+    rules |= {"original_files_checked": seen("original_files_checked"), "final_files_checked": seen("final_files_checked")}
+    gated = first_failure(results, rules)
+    told = F.when(F.col("failed") == "verdict", F.coalesce("failure_reason", "refusal_reason", F.concat(F.lit("verdict="), F.coalesce("verdict", F.lit("null"))))).when(F.col("failed").endswith("_checked"), F.concat(F.lit("evidence missing: "), F.col("failed")))
+    return gated.withColumn("reason", F.when(F.col("failed").isNotNull(), F.coalesce(told, F.concat(F.lit("field failed: "), F.col("failed")))))

@@ -86,3 +86,42 @@ def package_profile(files: DataFrame) -> DataFrame:
     kind = F.when(suffix.isin(".xlsx", ".xlsm", ".xltx", ".xltm"), "excel").when(suffix == ".xls", "legacy_excel").when(suffix.isin(".csv", ".tsv", ".txt"), "delimited").when(suffix.isin(".jsonl", ".ndjson"), "jsonl").when(suffix == ".json", "json").otherwise("unsupported")
     rows = files.withColumn("kind", kind).groupBy("package").agg(F.count("file").alias("file_count"), F.count_if("found").alias("existing_file_count"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     return rows.withColumn("all_files_exist", (F.col("file_count") > 0) & (F.col("file_count") == F.col("existing_file_count")))
+
+
+PREVIEW_COLS = 200
+
+
+def sheet_report(grid: DataFrame) -> DataFrame:
+    """One row a sheet with all that a profile says of it.
+
+    file, sheet, max_row, max_column, n_rows (below the header), column_count, profiled_column_count, column_profile_truncated, header_row_number, raw_columns, columns (blanks named, repeats
+    numbered), dtypes, sample_rows (the first SAMPLE_ROWS below the header), header_preview (the first HEADER_ROWS), unnamed_column_count, unnamed_columns, duplicate_like_columns, duplicate_base_names,
+    possible_multirow_header, possible_duplicate_header, dimension_suspect. Lists go by column; at most PREVIEW_COLS columns and the first rows of a sheet are gathered.
+    """
+    keys = ["file", "sheet"]
+    cut = grid.filter(F.col("col") <= PREVIEW_COLS)
+    sizes = grid.groupBy(*keys).agg(F.max("row").alias("max_row"), F.max("col").alias("max_column")).join(header_row(cut).select(*keys, "header_row"), keys).join(multirow_header(cut), keys)
+    wide = F.least(F.col("max_column"), F.lit(PREVIEW_COLS))
+    first = F.greatest(F.lit(HEADER_ROWS), F.col("header_row") + SAMPLE_ROWS)
+    places = sizes.select(*keys, "header_row", F.explode(F.sequence(F.lit(1), wide)).alias("col"))
+    known = cut.join(sizes.select(*keys, "header_row", first.alias("last"), F.col("max_row")), keys).filter("row <= last").select(*keys, "row", "col", "value", "header_row")
+    heads = places.join(known.filter("row = header_row").select(*keys, "col", "value"), [*keys, "col"], "left")
+    kinds = known.filter("row > header_row").withColumn("f", family(F.col("value"))).groupBy(*keys, "col").agg(F.array_sort(F.collect_set(F.when(F.col("f") != "blank", F.col("f")))).alias("s"))
+    dtype = F.when(F.coalesce(F.size("s"), F.lit(0)) <= 0, "empty").when(F.size("s") == 1, F.element_at("s", 1)).otherwise("mixed")
+    named = column_names(heads).join(heads.select(*keys, "col", "value"), [*keys, "col"]).join(kinds, [*keys, "col"], "left").withColumn("dtype", dtype)
+    listed = lambda c, when=None: F.transform(F.array_sort(F.collect_list(F.struct("col", F.col(c).alias("x")) if when is None else F.when(when, F.struct("col", F.col(c).alias("x"))))), lambda p: p["x"])
+    unnamed = F.lower("name").startswith("unnamed:")
+    columns = named.groupBy(*keys).agg(
+        listed("value").alias("raw_columns"), listed("name").alias("columns"), listed("dtype").alias("dtypes"), F.count_if(unnamed).alias("unnamed_column_count"), listed("name", unnamed).alias("unnamed_columns"),
+        listed("name", F.col("name").rlike(r"\.\d+$")).alias("duplicate_like_columns"), F.array_distinct(listed("base", F.col("repeated"))).alias("duplicate_base_names"),
+    )
+    rows = known.groupBy(*keys, "row", "header_row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("cells"))
+    gathered = lambda when: F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("row", F.map_entries("cells").alias("cells"))))), lambda r: r["cells"])
+    some = rows.groupBy(*keys).agg(gathered(F.col("row") > F.col("header_row")).alias("sampled"), gathered(F.col("row") <= HEADER_ROWS).alias("headed"))
+    whole = sizes.join(columns, keys).join(some, keys)
+    filled = lambda c: F.transform(c, lambda r: F.transform(F.sequence(F.lit(1), wide), lambda i: F.try_element_at(F.map_from_entries(r), i)))
+    return whole.select(
+        *keys, "max_row", "max_column", F.greatest(F.lit(0), F.col("max_row") - F.col("header_row")).alias("n_rows"), F.col("max_column").alias("column_count"), wide.alias("profiled_column_count"), (F.col("max_column") > wide).alias("column_profile_truncated"),
+        F.col("header_row").alias("header_row_number"), "raw_columns", "columns", "dtypes", filled("sampled").alias("sample_rows"), filled("headed").alias("header_preview"), "unnamed_column_count", "unnamed_columns", "duplicate_like_columns", "duplicate_base_names",
+        F.col("looks_multirow").alias("possible_multirow_header"), (F.size("duplicate_base_names") > 0).alias("possible_duplicate_header"), ((F.col("max_row") >= 1_000_000) | (F.col("max_column") >= 10_000)).alias("dimension_suspect"),
+    )

@@ -8,7 +8,7 @@ from ..functions import code, ids, parse
 from ..functions.rounding import fmt
 from ..operators import canonical, files, gates, integrity, perturb, profile, reliability, robust, scoring, select, shape
 from ..sources import grid
-from . import decomposition, evaluation, packages, selection, structure  # noqa: F401
+from . import decomposition, evaluation, packages, profiles, selection, structure  # noqa: F401
 from . import fixtures as fx
 from .fixtures import ratio, robust_sql, rounded, table, with_views
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
