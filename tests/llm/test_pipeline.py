@@ -78,7 +78,7 @@ def test_run_and_queries(spark):
         names = [x[0] for x in found.description]
         assert sorted(df.columns) == sorted(names)
         assert sorted(map(tuple, df.select(*names).collect())) == sorted(found.fetchall())
-    assert len(queries.QUERIES) == 10
+    assert len(queries.QUERIES) == 13
 
 
 def test_near_dedup_without_ids(spark):
