@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages; each takes the documents its predecessor kept.
 
-Language identification, near-dedup (SimHash of 5-word shingles with multi-index hashing first, MinHash bands for what lies farther, and the
+Language identification, near-dedup (SimHash of 5-word shingles with multi-index hashing first, bands of fast similarity sketches for what lies farther, and the
 Jaccard similarity of whole shingle sets to decide), removal of repeated strings, mixing of sources, and packing.
 """
 
@@ -57,7 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = last = written(stage(spark, docs, sf_dir), name, last)  # the table of the stage before is deleted
     return STAGES[-1][1](spark, docs, sf_dir)
