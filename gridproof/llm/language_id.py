@@ -43,13 +43,17 @@ def has_letter(text: str | None) -> bool:
 def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray]:
     """Languages, and the matrix W (places x languages) with scores = (bits @ W) / sqrt(number of bits)."""
     names = sorted(set(labels))
-    x = bits.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    base = x[np.linspace(0, len(x) - 1, min(landmarks, len(x))).astype(int)]  # the rows are in the order of a hash
+
+    def unit(rows: np.ndarray) -> np.ndarray:
+        x = rows.astype(np.float32)
+        x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        return x
+
+    base = unit(bits[np.linspace(0, len(bits) - 1, min(landmarks, len(bits))).astype(int)])  # the rows are in the order of a hash
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     to_map = vectors[:, keep] / np.sqrt(values[keep])
-    z = (x @ base.T).astype(np.float64) @ to_map
+    z = np.concatenate([(unit(bits[i : i + BATCH]) @ base.T).astype(np.float64) for i in range(0, len(bits), BATCH)]) @ to_map  # a batch of rows as numbers at a time
     y = np.where(np.array(labels)[:, None] == np.array(names)[None], 1.0, -1.0)
     alpha = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ y)
     return names, np.ascontiguousarray(base.T @ (to_map @ alpha), np.float32)
@@ -68,7 +72,7 @@ def limits(bits: np.ndarray, labels: list[str]) -> tuple[np.ndarray, np.ndarray]
     if not held.any():
         return seen, np.full(len(names), 0.5)
     known = np.stack([bits[o & ~held].any(0) for o in own.T], 1).astype(np.float32)
-    rows = bits[held].astype(np.float32)
+    rows = bits[held].astype(np.float32)  # a fifth of the sample
     share = rows @ known / np.maximum(rows.sum(1, keepdims=True), 1)
     least = np.empty(len(names))
     for i in range(len(names)):
@@ -103,7 +107,10 @@ def sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str
     if not rows:
         return np.empty((0, 1 << BITS), bool), []
     kept = sorted(rows, key=lambda r: (r["h"], r["lang"], bytes(r["bits"])))
-    return np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in kept]).astype(bool), [r["lang"] for r in kept]
+    bits = np.empty((len(kept), 1 << BITS), bool)
+    for i, r in enumerate(kept):
+        bits[i] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
+    return bits, [r["lang"] for r in kept]
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
