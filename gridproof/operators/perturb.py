@@ -119,11 +119,6 @@ def conflicting_header(grid: DataFrame, field: str, other: str) -> DataFrame:
     return grid.withColumn("value", F.when((F.col("row") == 1) & (F.col("value") == field), F.lit(other)).otherwise(F.col("value")))
 
 
-def header_conflict(columns: list[str], field: str, other: str) -> list[str]:
-    """Headers in which one field carries the name of another; values stay, so only the grid form can hold them."""
-    return [other if c == field else c for c in columns]
-
-
 def deep_analysis_missing(df: DataFrame, group: str, value: str, blocked: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three steps that need one another (filter, sum by group, rank) over data whose last step lacks its input: each step's result."""
     cut = data_missing(df, value, blocked)

@@ -95,13 +95,13 @@ def preview_jsonl(spark: SparkSession, path: str | list[str], sample: int = 8, p
     Variants sort the keys of an object, so keys are read from the text. All lines are counted, only the first are parsed; a bad one of them raises.
     """
     lines = read_lines(spark, path, pattern, numbered=True)
-    counts = lines.groupBy("file").agg(F.count("*").alias("rows"), F.slice(F.array_sort(F.collect_list(F.when(F.col("line") <= F.lit(sample), F.struct("line", "value")))), 1, sample).alias("head"))
-    # blank lines push the first ones further down than `sample`: these files take their first lines by a window of one row a line, after a bound
-    short = counts.filter((F.size("head") < sample) & (F.size("head") < F.col("rows")))
-    bound = lines.join(short.select("file"), "file", "left_semi")
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # a row a split
+    early = splits.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < sample)  # the splits in which the first lines stand
     first = Window.partitionBy("file").orderBy("line")
-    later = bound.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= sample).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("later"))
-    head = counts.join(later, "file", "left").select("file", "rows", F.coalesce("later", "head").alias("head"))
+    top = lines.join(early.select("file", "block"), ["file", "block"], "left_semi").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= sample)
+    heads = top.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("head"))
+    head = splits.groupBy("file").agg(F.sum("n").alias("rows")).join(heads, "file")
     flat = head.select("file", F.posexplode("head").alias("at", "x")).select("file", "at", F.pandas_udf(_keys_in_order, "array<string>")("x.value").alias("keys"))
     seen = flat.select("file", "at", F.posexplode("keys").alias("place", "key")).groupBy("file", "key").agg(F.min(F.struct("at", "place")).alias("first"))
     columns = seen.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "key"))), lambda k: k["key"]).alias("columns"))
