@@ -57,8 +57,15 @@ def require_fields(rows: DataFrame, fields: list[str], row: str = "row") -> Data
 
 
 def computed_aggregates(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, n (values that are not blank), total, mean, least, most over the numbers in a text column; null without numbers."""
+    """by, n (values that are not blank), total, mean, least, most over the numbers in a text column; null without numbers.
+
+    Numbers that ten decimals hold are added as decimals, so total and mean are exact in any order of rows; a group with any other number (or a sum of over 28 digits before the point) is added as doubles.
+    """
     from ..functions.parse import has_text, parse_number
 
     x = parse_number(F.col(value))
-    return values.groupBy(*by).agg(F.count_if(has_text(F.col(value))).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"))
+    ten = x.try_cast("decimal(28, 10)")
+    exact = F.when(ten.cast("double") == x, ten)
+    rows = values.select(*by, value, x.alias("_x"), exact.alias("_exact"))
+    total = F.coalesce(F.when(F.count("_exact") == F.count("_x"), F.try_sum("_exact").cast("double")), F.sum("_x"))
+    return rows.groupBy(*by).agg(F.count_if(has_text(F.col(value))).alias("n"), total.alias("total"), F.try_divide(total, F.count("_x")).alias("mean"), F.min("_x").alias("least"), F.max("_x").alias("most"))

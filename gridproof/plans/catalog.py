@@ -638,7 +638,7 @@ def missing_table_report(s, d):
 @query("SELECT o_orderstatus, count(*) AS n, format('{:.2f}', sum(round(o_totalprice, 2)::DECIMAL(18,2))) AS total, format('{:.4f}', sum(round(o_totalprice, 2)::DECIMAL(18,2))::DOUBLE / count(*)) AS mean, min(round(o_totalprice, 2)) AS least, max(round(o_totalprice, 2)) AS most FROM orders GROUP BY 1")
 def computed_aggregates(s, d):
     o = table(s, d, "orders").select("o_orderstatus", fmt(F.col("o_totalprice"), "#,##0.00").alias("v"))
-    return files.computed_aggregates(o, ["o_orderstatus"], "v").withColumns({"total": F.format_string("%.2f", "total"), "mean": F.format_string("%.4f", "mean")})
+    return files.computed_aggregates(o, ["o_orderstatus"], "v").withColumns({"total": fmt(F.col("total"), "0.00"), "mean": fmt(F.col("mean"), "0.0000")})
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'requests' WHEN event_id % 3 = 1 THEN 'c:\\' END AS fragment FROM events")
