@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def wide_to_long(df: DataFrame, ids: list[str], values: list[str], name: str = "field", value: str = "value") -> DataFrame:
     """One row for each id and value column, nulls kept; an Expand without a shuffle. Values are carried as text."""
@@ -88,12 +90,29 @@ def rejoin_from_largest(tables: dict[str, DataFrame], keys: list[str]) -> DataFr
     return reduce(lambda a, b: a.join(b, keys), [tables[base], *[t for name, t in tables.items() if name != base]])
 
 
+def _rows_differing(original: DataFrame, whole: DataFrame, keys: list[str]) -> int:
+    """How many rows two tables differ by as multisets; whole has no null in its keys. Rows are counted and two 64-bit hashes of them added by key; only the rows of keys that differ in that are compared themselves."""
+    columns = original.columns
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]  # a hash leaves nulls out
+    halves = [(F.xxhash64(F.lit(seed), *parts), half) for seed in (1, 2) for half in ("high", "low")]
+    added = [F.sum(F.shiftright(h, 32) if half == "high" else h.bitwiseAND(F.lit(0xFFFFFFFF))) for h, half in halves]  # in halves, as sums of whole hashes overflow
+    prints = lambda df, name: df.groupBy(*keys).agg(F.struct(F.count("*").alias("n"), *[x.alias(f"h{i}") for i, x in enumerate(added)]).alias(name))
+    nameless = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    differ = original.filter(nameless).count()
+    keyed = original.filter(~nameless)
+    off = written(prints(keyed, "_a").join(prints(whole, "_b"), keys, "full").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys), "keys")
+    if not off.isEmpty():
+        rows = multiset_difference(keyed.join(off, keys, "left_semi").select(*columns), whole.join(off, keys, "left_semi").select(*columns))
+        differ += rows.agg(F.sum(F.abs("surplus"))).first()[0] or 0
+    return int(differ)
+
+
 def relational_issues(original: DataFrame, tables: dict[str, DataFrame], keys: list[str] | None = None) -> DataFrame:
     """issue, part, n: what keeps two or three tables from being a lossless decomposition of the original. Without keys, the columns that all tables have.
 
-    Forms are checked first: number of tables, keys that a table lacks, fields in two tables or in none. Then one grouping of all tables' keys finds keys with a null,
-    keys that repeat outside the largest table (the base), base rows without a match, and keys that the base lacks. Only where all that holds are the tables joined, from the base on, and compared
-    with the original as multisets: n is how many rows differ.
+    Forms are checked first: number of tables, keys that a table lacks, fields in two tables or in none. Then rows a key of the largest table (the base) beside those of each other table find keys with a null,
+    keys that repeat outside the base, base rows without a match, and keys that the base lacks. Only where all that holds are the tables joined, from the base on, and compared
+    with the original as multisets: n is how many rows differ. All is grouped and joined by the keys, so tables in buckets of the keys move nothing but what differs.
     """
     spark = original.sparkSession
     keys = keys or shared_keys(tables)
@@ -109,24 +128,24 @@ def relational_issues(original: DataFrame, tables: dict[str, DataFrame], keys: l
     if not keys:
         found.append(("join_key_missing", None, 1))
     if not found:
-        names = list(tables)
         base = _base(tables)
-        flat = reduce(DataFrame.unionByName, [t.select(*keys, F.lit(i).alias("_t")) for i, t in enumerate(tables.values())])
-        per_key = flat.groupBy(*keys).agg(*[F.count_if(F.col("_t") == i).alias(f"_n{i}") for i in range(len(names))])
+        others = [name for name in tables if name != base]
+        per_key = lambda name, n: tables[name].groupBy(*keys).agg(F.count("*").alias(n))
         null = reduce(lambda a, b: a | b, [F.col(k).isNull() | (F.col(k).cast("string") == "") for k in keys])
-        b = F.col(f"_n{names.index(base)}")
-        rules = {}
-        for i, name in enumerate(names):
-            n = F.col(f"_n{i}")
-            rules["null_join_key", name] = F.sum(F.when(null, n).otherwise(0))
-            if name != base:
-                rules["unsafe_join_cardinality", name] = F.count_if(~null & (n > 1))
-                rules["join_record_missing", name] = F.sum(F.when(~null & (n == 0), b).otherwise(0))
-                rules["orphan_join_record", name] = F.count_if(~null & (n > 0) & (b == 0))
-        counts = per_key.agg(*[x.alias(f"r{i}") for i, x in enumerate(rules.values())]).first()
-        found += [(issue, name, int(n)) for (issue, name), n in zip(rules, counts) if n]
+        b, n = F.coalesce("_b", F.lit(0)), F.coalesce("_n", F.lit(0))
+        total = lambda when, x: F.coalesce(F.sum(F.when(when, x)), F.lit(0))
+        rules = {
+            "null_join_key": total(null, n), "unsafe_join_cardinality": F.count_if(~null & (n > 1)), "join_record_missing": total(~null & (n == 0), b), "orphan_join_record": F.count_if(~null & (n > 0) & (b == 0)), "base": total(null, b),
+        }
+        sums = [per_key(base, "_b").join(per_key(name, "_n"), keys, "full").agg(*[x.alias(rule) for rule, x in rules.items()]).withColumn("part", F.lit(name)) for name in others]
+        counts = {r["part"]: r for r in reduce(DataFrame.unionByName, sums).collect()}  # one row a table
+        for name in tables:
+            if name == base:
+                found += [("null_join_key", name, n)] if (n := counts[others[0]]["base"]) else []
+            else:
+                found += [(rule, name, n) for rule in rules if rule != "base" and (n := counts[name][rule])]
         if not found:
-            whole = reduce(lambda x, y: x.join(y, keys), [tables[base], *[t for name, t in tables.items() if name != base]])
-            differ = multiset_difference(original, whole).agg(F.sum(F.abs("surplus"))).first()[0]
-            found += [("relational_inverse_mismatch", None, int(differ))] if differ else []
+            whole = reduce(lambda x, y: x.join(y, keys), [tables[base], *[tables[name] for name in others]])
+            differ = _rows_differing(original, whole, keys)
+            found += [("relational_inverse_mismatch", None, differ)] if differ else []
     return spark.createDataFrame(found, "issue string, part string, n long")

@@ -8,16 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import shape
+from ..sources.shared import bucketed, forget
 from .fixtures import table
 from .registry import query
 
 
-def _joined(s, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The whole relation, its lines, and the orders' fields in two tables; keys are pairs."""
+KEYS = ["k1", "k2"]
+ROWS = 500_000  # lines of a bucket
+
+
+def _tables(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole relation, its lines and its orders, each written once in buckets of the keys, which are pairs."""
     lines = table(s, d, "lineitem").selectExpr("l_orderkey AS k1", "l_orderkey % 3 AS k2", "l_partkey", "l_quantity")
     orders = table(s, d, "orders").selectExpr("o_orderkey AS k1", "o_orderkey % 3 AS k2", "o_custkey", "o_orderstatus")
-    seen = orders.join(lines.select("k1").distinct(), "k1", "left_semi").select("k1", "k2", "o_custkey", "o_orderstatus")
-    return lines.join(seen, ["k1", "k2"]), lines, seen.select("k1", "k2", "o_custkey"), seen.select("k1", "k2", "o_orderstatus")
+    buckets = min(10_000, max(s.sparkContext.defaultParallelism, lines.count() // ROWS))
+    all_lines, all_orders = bucketed(lines, "all_lines", KEYS, buckets), bucketed(orders, "all_orders", KEYS, buckets)
+    kept = bucketed(all_lines.join(all_orders.select(*KEYS), KEYS, "left_semi").select(*lines.columns), "lines", KEYS, buckets)
+    seen = bucketed(all_orders.join(all_lines.select(*KEYS), KEYS, "left_semi").select(*orders.columns), "orders", KEYS, buckets)
+    whole = bucketed(kept.join(seen, KEYS), "whole", KEYS, buckets)
+    forget(all_lines, all_orders)
+    return whole, kept, seen
 
 
 _WITH = """
@@ -40,8 +50,8 @@ SELECT kind, issue, part, n FROM (
 ) WHERE n > 0
 """)
 def relational_issue_cases(s, d):
-    whole, lines, customer, status = _joined(s, d)
-    lines = lines.join(customer.select("k1"), "k1", "left_semi").select(*lines.columns)
+    whole, lines, seen = _tables(s, d)
+    customer, status = seen.select(*KEYS, "o_custkey"), seen.select(*KEYS, "o_orderstatus")
     parts = {"lines": lines, "customer": customer, "status": status}
     first = lines.groupBy("k1", "k2").agg(F.min_by(F.struct("l_partkey", "l_quantity"), F.struct("l_partkey", "l_quantity")).alias("x")).select("k1", "k2", "x.*")
     cases = {
@@ -50,7 +60,9 @@ def relational_issue_cases(s, d):
         "altered": parts | {"status": status.withColumn("o_orderstatus", F.when(F.col("k1") % 83 == 0, "X").otherwise(F.col("o_orderstatus")))}, "lost line": parts | {"lines": first},
         "fields": parts | {"status": status.withColumn("more", F.lit(1))}, "twice": parts | {"status": status.join(customer, ["k1", "k2"])}, "one table": {"all": whole},
     }
-    return reduce(DataFrame.unionByName, [shape.relational_issues(whole, t, ["k1", "k2"]).select(F.lit(kind).alias("kind"), "issue", "part", "n") for kind, t in cases.items()])
+    issues = reduce(DataFrame.unionByName, [shape.relational_issues(whole, t, ["k1", "k2"]).select(F.lit(kind).alias("kind"), "issue", "part", "n") for kind, t in cases.items()])
+    forget(whole, lines, seen)
+    return issues
 
 
 @query("""

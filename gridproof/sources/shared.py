@@ -25,6 +25,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/gridproof-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """As written, as a table of the session in buckets of the keys: tables with as many buckets are joined and grouped by these keys without a shuffle. forget() takes it out of the catalog."""
+    path = new_path(df.sparkSession, name)
+    table = f"gridproof_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+    found = df.sparkSession.table(table)
+    found.bucketed_table = table
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    for t in tables:
+        t.sparkSession.sql(f"DROP TABLE {t.bucketed_table}")  # the files stay, as those of written do
+
+
 def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing.
 
