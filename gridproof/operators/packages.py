@@ -90,15 +90,20 @@ class Contracts:
         return spark.createDataFrame([], self.schemas[name]) if found is None else found
 
 
+FIELDS = ["vtype", "value", "formula", "style"]  # what a cell holds
+
+
 def _token() -> Column:
-    return F.to_json(F.struct("vtype", "value", "formula", "style"), {"ignoreNullFields": "false"})
+    """A cell as one text: each field after its length, so no two cells have the same; null is a dash."""
+    return F.concat(*[F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-")) for c in FIELDS])
 
 
-def _kind() -> Column:
-    """blank, formula, boolean, date, number or text: by the text in delimited files, by the cell's type in sheets."""
-    typed = F.when(F.col("vtype").isin("boolean", "date", "timestamp"), F.col("vtype")).when(F.col("vtype").rlike("number|int|double|float|decimal|short|byte|long"), "number").otherwise("text")
-    blank = F.col("value").isNull() | (F.col("value") == "")
-    return F.when(blank, "blank").when(F.col("formula").isNotNull(), "formula").when(F.col("sheet") == "", family(F.col("value"))).otherwise(typed)
+def _kind(cell: str = "") -> Column:
+    """blank, formula, boolean, date, number or text: by the text in delimited files, by the cell's type in sheets. cell: the struct that holds its fields, if any."""
+    vtype, value, formula = (F.col(f"{cell}.{c}" if cell else c) for c in ("vtype", "value", "formula"))
+    typed = F.when(vtype.isin("boolean", "date", "timestamp"), vtype).when(vtype.rlike("number|int|double|float|decimal|short|byte|long"), "number").otherwise("text")
+    blank = value.isNull() | (value == "")
+    return F.when(blank, "blank").when(formula.isNotNull(), "formula").when(F.col("sheet") == "", family(value)).otherwise(typed)
 
 
 def _long(rows: DataFrame, facts: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
@@ -117,7 +122,7 @@ class _Grids:
     """What all checks share, each written once: cells with their operator, extents, headers, and cells matched by place."""
 
     def __init__(self, cells: DataFrame, packages: DataFrame):
-        self.cells = written(cells.join(packages.select("package", "operator"), "package").withColumn("token", _token()).withColumn("kind", _kind()), "cells")
+        self.cells = written(cells.join(packages.select("package", "operator"), "package"), "cells")
         self.keys = ["operator", *K]
         before, after = F.col("side") == "before", F.col("side") == "after"
         size = lambda c, s, name: F.max(F.when(s, F.col(c))).alias(name)
@@ -130,12 +135,13 @@ class _Grids:
         widths = heads.groupBy(*self.keys, "side").agg(F.max(F.when(has_text(F.col("value")), F.col("col"))).alias("width"))
         self.heads = written(heads.join(widths, [*self.keys, "side"]).filter("col <= width").select(*self.keys, "side", "col", F.coalesce("value", F.lit("")).alias("name")), "heads")
         at = [*self.keys, "row", "col"]
-        part = lambda s, p: F.max(F.when(s, F.struct("token", "value", "kind", F.to_json(F.struct("vtype", "formula", "style")).alias("form")))).alias(p)
-        placed = self.cells.groupBy(*at).agg(part(before, "old"), part(after, "new")).withColumn("differs", ~F.col("old.token").eqNullSafe(F.col("new.token")))
+        part = lambda s, p: F.max(F.when(s, F.struct(*FIELDS))).alias(p)
+        read = ~F.col("operator").isin(COLUMN_SHUFFLE, DISTRACTOR, CROSS_SHEET, DECOMPOSITION) & ((F.col("operator") != ROW_SHUFFLE) | (F.col("row") == 1))  # all that any check reads by place
+        placed = self.cells.filter(read).groupBy(*at).agg(part(before, "old"), part(after, "new")).withColumn("differs", ~F.col("old").eqNullSafe(F.col("new")))
         self.placed = written(placed, "placed")
 
-    def side(self, name: str) -> DataFrame:
-        return self.cells.filter(F.col("side") == name)
+    def side(self, name: str, *operators: str) -> DataFrame:
+        return self.cells.filter((F.col("side") == name) & F.col("operator").isin(*operators))
 
     def of(self, *operators: str) -> DataFrame:
         return self.placed.filter(F.col("operator").isin(*operators))
@@ -158,7 +164,7 @@ def _package_facts(g: _Grids) -> DataFrame:
 
 def _row_hashes(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """keys, h1, h2: two sums of hashes over the cells of a row, so the order of cells does not matter and rows of different columns compare."""
-    hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col(name), F.col("token")).cast("decimal(38, 0)"))
+    hashed = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col(name), _token()).cast("decimal(38, 0)"))
     return rows.groupBy(*keys).agg(hashed(1).alias("h1"), hashed(2).alias("h2"))
 
 
@@ -191,7 +197,7 @@ def _heading_facts(g: _Grids) -> DataFrame:
     counts = pairs.groupBy(*g.keys).agg(F.count_if(F.expr("new_col IS NULL")).alias("missing"), F.count_if(F.expr("old_col IS NULL")).alias("added"), F.count_if(F.expr("old_col <> new_col")).alias("moved"), F.count("old_col").alias("n"))
     turned = ordered.groupBy(*g.keys).agg(F.count_if(F.expr("before > new_col")).alias("turned"))
     matched = ordered.select(*g.keys, "name", "old_col", "new_col")
-    at = lambda s, c: g.side(s).withColumnRenamed("col", c).join(matched, [*g.keys, c]).select(*g.keys, "name", "row", F.lit(s).alias("side"), "token")
+    at = lambda s, c: g.side(s, *operators).withColumnRenamed("col", c).join(matched, [*g.keys, c]).select(*g.keys, "name", "row", F.lit(s).alias("side"), _token().alias("token"))
     pick = lambda s: F.max(F.when(F.col("side") == s, F.col("token")))
     cells = at("before", "old_col").unionByName(at("after", "new_col")).groupBy(*g.keys, "name", "row").agg(pick("before").alias("a"), pick("after").alias("b"))
     changed = cells.filter(~F.col("a").eqNullSafe(F.col("b"))).groupBy(*g.keys, "name").count().groupBy(*g.keys).agg(F.count("*").alias("columns"), F.sum("count").alias("cells"))
@@ -216,8 +222,9 @@ def _synonym_facts(g: _Grids, packages: DataFrame, c: dict[str, DataFrame]) -> D
     wanted = c["renames"].select("package", F.col("old").alias("from"), F.col("new").alias("to"))
     cells = g.of(SYNONYM).join(g.same.select(*g.keys), g.keys).filter("differs").withColumn("from", F.coalesce("old.value", F.lit("None"))).withColumn("renamed", ~F.col("old.value").eqNullSafe(F.col("new.value")))
     joined = cells.join(wanted, ["package", "from"], "left")
+    form = lambda s: F.to_json(F.when(F.col(s).isNotNull(), F.struct(f"{s}.vtype", f"{s}.formula", f"{s}.style")))
     undeclared = F.col("renamed") & ~F.coalesce(F.col("to") == F.col("new.value"), F.lit(False))
-    counts = joined.groupBy(*g.keys).agg(F.count_if("renamed").alias("renamed"), F.count_if(undeclared).alias("undeclared"), F.count_if(F.col("renamed") & ~F.col("old.form").eqNullSafe(F.col("new.form"))).alias("restyled"), F.count_if(~F.col("renamed")).alias("other"))
+    counts = joined.groupBy(*g.keys).agg(F.count_if("renamed").alias("renamed"), F.count_if(undeclared).alias("undeclared"), F.count_if(F.col("renamed") & ~form("old").eqNullSafe(form("new"))).alias("restyled"), F.count_if(~F.col("renamed")).alias("other"))
     counts = g.same.filter(F.col("operator") == SYNONYM).select(*g.keys).join(counts, g.keys, "left").fillna(0)
     actual = cells.filter("renamed").select(*g.keys, F.col("from").alias("old"), F.col("new.value").alias("new")).distinct().withColumn("s", F.lit(1))
     declared = g.same.filter(F.col("operator") == SYNONYM).select(*g.keys).join(c["renames"].select("package", "old", "new"), "package").withColumn("s", F.lit(-1))
@@ -250,7 +257,7 @@ def _distractor_facts(g: _Grids, packages: DataFrame, contracts: DataFrame) -> D
     places = find("target_field", "target").join(find("distractor_field", "distractor"), g.keys)
     new = g.by_name().filter("old_col IS NULL").join(sheets, g.keys).join(contracts.select("package", "distractor_field"), "package", "left")
     undeclared = new.groupBy(*g.keys).agg(F.count_if(~F.coalesce(F.col("name") == F.col("distractor_field"), F.lit(False))).alias("n"))
-    cells = g.side("after").filter("row > 1").join(places, g.keys).filter("col IN (target, distractor)")
+    cells = g.side("after", DISTRACTOR).filter("row > 1").join(places, g.keys).filter("col IN (target, distractor)").withColumn("kind", _kind())
     pick = lambda c, what: F.max(F.when(F.col("col") == F.col(c), F.col(what))).alias(f"{c}_{what}")
     rows = cells.groupBy(*g.keys, "row").agg(pick("target", "value"), pick("distractor", "value"), pick("target", "kind"), pick("distractor", "kind"))
     filled = lambda c: F.coalesce(F.col(f"{c}_kind") != "blank", F.lit(False))
@@ -269,15 +276,17 @@ def _value_facts(g: _Grids) -> DataFrame:
     """Re-encodings and unit conversions: cells of equal sheets, place by place."""
     cells = g.of(REENCODING, UNIT).join(g.same.select(*g.keys), g.keys).filter("differs")
     old, new = F.col("old.value"), F.col("new.value")
-    blank = lambda s: F.coalesce(F.col(f"{s}.kind"), F.lit("blank")) == "blank"
+    kinds = lambda s: F.when(F.col(s).isNotNull(), _kind(s)).alias(f"{s}_kind")
+    cells = cells.select("*", kinds("old"), kinds("new"))
+    blank = lambda s: F.coalesce(f"{s}_kind", F.lit("blank")) == "blank"
     gone = blank("old") != blank("new")
     changed = ~old.eqNullSafe(new)
     columns = cells.filter(F.col("operator") == REENCODING).groupBy(*g.keys, "col").agg(F.count_if(~blank("old")).alias("total"), F.count_if(changed).alias("altered"))
     weak = columns.groupBy(*g.keys).agg(F.max(F.when(F.col("total") > 0, F.col("altered") / F.col("total"))).alias("share"))
     recoded = cells.filter(F.col("operator") == REENCODING).groupBy(*g.keys).agg(F.count("*").alias("n"), F.count_if(gone).alias("gone"), F.count_if(~gone & ~blank("old") & ~F.coalesce(values_equivalent(old, new), F.lit(False))).alias("other"))
     recoded = g.same.filter(F.col("operator") == REENCODING).select(*g.keys).join(recoded, g.keys, "left").fillna(0)
-    number = (F.col("old.kind") == "number") & (F.col("new.kind") == "number")
-    number, label = F.coalesce(number, F.lit(False)), F.coalesce((F.col("row") <= LABEL_ROWS) & (F.col("old.kind") == "text") & (F.col("new.kind") == "text"), F.lit(False))
+    number = (F.col("old_kind") == "number") & (F.col("new_kind") == "number")
+    number, label = F.coalesce(number, F.lit(False)), F.coalesce((F.col("row") <= LABEL_ROWS) & (F.col("old_kind") == "text") & (F.col("new_kind") == "text"), F.lit(False))
     was, now = parse_plain_number(old), parse_plain_number(new)
     ratio = F.when(number & (was != 0), now / was)
     scaled = cells.filter(F.col("operator") == UNIT).groupBy(*g.keys).agg(F.count_if(number).alias("numbers"), F.count_if(~number & label).alias("labels"), F.count_if(~number & ~label).alias("others"), F.min(ratio).alias("lo"), F.max(ratio).alias("hi"))
@@ -290,7 +299,7 @@ def _value_facts(g: _Grids) -> DataFrame:
 
 
 def _column_kinds(g: _Grids, cells: DataFrame, name: str) -> DataFrame:
-    return cells.filter("kind <> 'blank'").groupBy(*g.keys, "col").agg(F.collect_set("kind").alias(name))  # six at most
+    return cells.withColumn("kind", _kind()).filter("kind <> 'blank'").groupBy(*g.keys, "col").agg(F.collect_set("kind").alias(name))  # six at most
 
 
 def _decoy_facts(g: _Grids, packages: DataFrame, packs: DataFrame, features: DataFrame) -> DataFrame:
@@ -310,14 +319,14 @@ def _decoy_facts(g: _Grids, packages: DataFrame, packs: DataFrame, features: Dat
     fine = declared.filter(~head_wrong & ~shape_wrong)
     kept = cells.join(fine.select(*g.keys), g.keys, "left_semi").filter("row <= rows_before AND col <= cols_before").groupBy(*g.keys).agg(F.count_if("differs").alias("n"))
     wanted = fine.select(*g.keys, "cols_before", "rows_before").join(features.select("package", "ordinal", "name", "source_field"), "package").withColumn("col", F.col("ordinal") + F.col("cols_before"))
-    heads = g.side("after").filter("row = 1").select(*g.keys, "col", F.col("value").alias("stands"))
+    heads = g.side("after", DECOY).filter("row = 1").select(*g.keys, "col", F.col("value").alias("stands"))
     named = wanted.join(heads, [*g.keys, "col"], "left")
     off = named.groupBy(*g.keys).agg(F.count_if(~F.col("name").eqNullSafe(F.col("stands"))).alias("n"))
     sources = g.heads.filter("side = 'before'").groupBy(*g.keys, F.col("name").alias("source_field")).agg(F.min("col").alias("source_col"))
     sourced = wanted.join(sources, [*g.keys, "source_field"], "left")
-    was = _column_kinds(g, g.side("before").filter("row > 1"), "was").withColumnRenamed("col", "source_col")
-    body = g.side("after").filter("row > 1")
-    filled = body.groupBy(*g.keys, "col").agg(F.count_if(F.col("kind") != "blank").alias("filled"))
+    was = _column_kinds(g, g.side("before", DECOY).filter("row > 1"), "was").withColumnRenamed("col", "source_col")
+    body = g.side("after", DECOY).filter("row > 1")
+    filled = body.groupBy(*g.keys, "col").agg(F.count_if(_kind() != "blank").alias("filled"))
     judged = sourced.filter("source_col IS NOT NULL").join(was, [*g.keys, "source_col"], "left").join(_column_kinds(g, body, "is"), [*g.keys, "col"], "left").join(filled, [*g.keys, "col"], "left")
     sparse = (F.coalesce("filled", F.lit(0)) < DECOY_FILLED * F.greatest(F.lit(1), F.col("rows_before") - 1)) | F.col("is").isNull()
     other = F.col("was").isNotNull() & F.col("is").isNotNull() & (F.size(F.array_except("is", "was")) > 0)
@@ -346,12 +355,12 @@ def _non_observation_facts(g: _Grids, packages: DataFrame, rows: DataFrame, mark
     fine = declared.filter(~shape_wrong)
     mine_cells = cells.join(fine.select(*g.keys), g.keys, "left_semi")
     kept = mine_cells.filter("row <= rows_before AND col <= cols_before").groupBy(*g.keys).agg(F.count_if("differs").alias("n"))
-    after = g.side("after").join(fine, g.keys)
+    after = g.side("after", NON_OBSERVATION).join(fine, g.keys)
     last = after.filter("marker IS NOT NULL AND col = cols_after").groupBy(*g.keys).agg(F.count_if((F.col("row") == 1) & ~F.col("value").eqNullSafe(F.col("marker"))).alias("head"), F.count_if((F.col("row") > 1) & (F.col("row") <= F.col("rows_before")) & F.col("value").eqNullSafe(F.col("observation_value"))).alias("marked"), F.max(F.col("rows_before") - 1).alias("n"))
     ranges = rows.join(fine.select(*g.keys), K).select(*g.keys, F.col("row_start").cast("long").alias("start"), F.col("row_end").cast("long").alias("end"), "marker_field", "marker_value")
     wanted = fine.select(*g.keys, (F.col("rows_before") + 1).cast("long").alias("start"), F.col("rows_after").cast("long").alias("end"))
     covered = cover(ranges.select(*g.keys, "start", "end"), wanted, g.keys)
-    heads = g.side("after").filter("row = 1").groupBy(*g.keys, F.col("value").alias("marker_field")).agg(F.min("col").alias("marker_col"))
+    heads = g.side("after", NON_OBSERVATION).filter("row = 1").groupBy(*g.keys, F.col("value").alias("marker_field")).agg(F.min("col").alias("marker_col"))
     placed = ranges.join(heads, [*g.keys, "marker_field"], "left")
     homeless = placed.groupBy(*g.keys).agg(F.count_if(F.expr("marker_col IS NULL")).alias("n"))
     # each appended row looks back to the last range that begins at it or before; only such a range can hold it, as ranges that overlap are an issue of their own
@@ -360,7 +369,7 @@ def _non_observation_facts(g: _Grids, packages: DataFrame, rows: DataFrame, mark
     back = Window.partitionBy(*g.keys, "col").orderBy("row", "what").rowsBetween(Window.unboundedPreceding, 0)
     looked = spans.unionByName(appended).withColumn("held", F.last("span", ignorenulls=True).over(back)).filter("what = 1 AND row <= held.end")
     mismarked = looked.groupBy(*g.keys).agg(F.count_if(~F.col("value").eqNullSafe(F.col("held.marker_value"))).alias("n"))
-    was = _column_kinds(g, g.side("before").filter("row > 1"), "was")
+    was = _column_kinds(g, g.side("before", NON_OBSERVATION).filter("row > 1"), "was")
     now = _column_kinds(g, after.filter("row > rows_before AND col <= cols_before"), "is")
     other = now.join(was, [*g.keys, "col"]).groupBy(*g.keys).agg(F.count_if(F.size(F.array_except("is", "was")) > 0).alias("n"))
     most = F.greatest(F.lit(5), F.ceil(F.greatest(F.lit(1), F.col("rows_before") - 1) * 0.1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import packages as pk
 from ..operators.intervals import cover
+from ..sources.shared import written
 from .fixtures import table
 from .registry import query
 
@@ -28,10 +29,10 @@ def _cells(rows: DataFrame, side: str, columns: list[tuple[str, str, str, str]],
 
 
 def _packages(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, pk.Contracts]:
-    rows = _rows(s, d)
+    rows = written(_rows(s, d), "rows")
     base = rows.withColumn("file", F.expr("if(k = 8, 'book.xlsx', 'orders.csv')")).withColumn("sheet", F.expr("if(k = 8, 'all', '')"))
     plain = [("1", "bigint", "o_orderkey", "true"), ("2", "double", "o_totalprice", "true"), ("3", "string", "o_orderstatus", "true"), ("4", "string", "o_orderdate", "true")]
-    one = base.filter("i = 1")
+    one = written(base.filter("i = 1"), "first_rows")
     head = [(str(i + 1), "string", f"'{c}'", "true") for i, c in enumerate(COLUMNS)]
     before = _cells(base, "before", plain).unionByName(_cells(one, "before", head, "1"))
     # after: headers and values by operator and damage
